@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import string
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Few rows to an Arrow batch while whole texts go to Python; holds for what is executed inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> bool:
     """Whether a table, at ``row_bytes`` a row, is proven to stay under the broadcast limit. Counts the table."""
     return df.count() * row_bytes <= limit

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from talus.llm.common import table
 from talus.llm.exact_dedup import exact_duplicates
 from talus.llm.licenses import license_sql, scan_licenses
+from talus.llm.minhash import near_duplicates
 from talus.llm.packing import pack_documents
+from talus.llm.quality import score_quality
+from talus.llm.toxicity import score_toxicity
 from talus.llm.url_filter import Rule, filter_urls
 from talus.llm.warc import archive_pages
 
@@ -28,14 +31,26 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op6_license_scan, op8_packing, op9_url_filter, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc)}
 
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
