@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from talus.llm.common import table
+from talus.llm.decontaminate import contamination
 from talus.llm.exact_dedup import exact_duplicates
 from talus.llm.licenses import license_sql, scan_licenses
 from talus.llm.minhash import near_duplicates
@@ -39,6 +40,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -64,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op4_decontamination, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc)}
 
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
