@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talus.llm.common import table
 from talus.llm.decontaminate import contamination
 from talus.llm.exact_dedup import exact_duplicates
 from talus.llm.licenses import license_sql, scan_licenses
+from talus.llm.line_dedup import line_dedup
 from talus.llm.minhash import near_duplicates
 from talus.llm.packing import pack_documents
 from talus.llm.quality import score_quality
@@ -36,6 +38,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
@@ -69,7 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_exact_dedup, op4_decontamination, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_exact_dedup, op4_decontamination, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc)}
 
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
