@@ -1,0 +1 @@
+"""Stratified transcript-evaluation analytics on Spark."""
