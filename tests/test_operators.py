@@ -130,14 +130,13 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert {0, 1, 498, 499} <= {r["id"] for r in sampling.edges_and_sample(df, 10, "id").collect()}
 
 
-class Flaky:
-    def transcribe(self, inputs):
-        if len(inputs) > 1 and "b" in inputs or inputs == ["x"]:
-            raise RuntimeError("no")
-        return [i * 2 for i in inputs]
-
-
 def test_inference_retries_rows_and_resumes(spark, tmp_path):
+    class Flaky:  # local, so that it travels to the workers by value
+        def transcribe(self, inputs):
+            if (len(inputs) > 1 and "b" in inputs) or inputs == ["x"]:
+                raise RuntimeError("no")
+            return [i * 2 for i in inputs]
+
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "x")], "k int, s string").coalesce(1)
     got = {r["k"]: (r["pred"], r["inference_error"]) for r in infer.batch_infer(df, Flaky, key="k", source="s").collect()}
     assert got == {"1": ("aa", ""), "2": ("bb", ""), "3": ("", "RuntimeError: no")}
