@@ -25,8 +25,11 @@ SLICE = 1 << 18
 
 
 def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other, each padded with zeros to whole blocks and beyond a filter's width; blocks of each."""
-    blocks = np.array([(len(t) + WIDTH) // BLOCK + 1 for t in texts])
+    """Texts one after the other, each padded with zeros to whole blocks and by one more block; blocks of each.
+
+    The last block is no part of the text: it keeps filters at a text's end from reaching into the next text.
+    """
+    blocks = np.array([(len(t) + WIDTH) // BLOCK + 2 for t in texts])
     return np.frombuffer(b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, blocks, strict=True)), np.uint8), blocks
 
 
@@ -65,10 +68,11 @@ class ByteConvNet:
         """Filters by chunk, the document of each chunk, and the places behind them."""
         best, where = self.blocks(data, places)
         first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-        chunks = np.maximum(-(-(blocks - CHUNK) // STEP), 0) + 1
+        own = blocks - 1
+        chunks = np.maximum(-(-(own - CHUNK) // STEP), 0) + 1
         doc = np.repeat(np.arange(len(blocks)), chunks)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        start, stop = first[doc] + STEP * nth, (first + blocks - 1)[doc]
+        start, stop = first[doc] + STEP * nth, (first + own - 1)[doc]
         members = np.minimum(start[:, None] + np.arange(CHUNK), stop[:, None])
         held = best[members]
         top = held.argmax(axis=1)
