@@ -69,31 +69,49 @@ NOTICES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
 ]
 
-#: Regular expressions applied in this order to lower-cased text; they mean the same to Java and RE2.
-CANONICAL_RULES: list[tuple[str, str]] = [
+#: Regular expressions applied in this order to lower-cased text, which mean the same to Java and RE2. Each comes with the
+#: strings of which a text must hold one for the rule to change it; without any, the rule is for every text.
+CANONICAL_RULES: list[tuple[tuple[str, ...], str, str]] = [
     # lines that hold nothing but a copyright statement, and "all rights reserved"
-    (r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4}|<|\[)[^\n]*$", " "),
-    (r"(?m)^[ \t#*/;-]*all rights reserved[.]?[ \t\r]*$", " "),
+    (("copyright", "(c)", "©"), r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4}|<|\[)[^\n]*$", " "),
+    (("all rights reserved",), r"(?m)^[ \t#*/;-]*all rights reserved[.]?[ \t\r]*$", " "),
     # equivalent spellings
-    (r"\bhttps\b", "http"),
-    (r"\blicence", "license"),
-    (r"\bsub[ -]licen[cs]e", "sublicense"),
-    (r"\backnowledgement", "acknowledgment"),
-    (r"\bnon[ -]infringement", "noninfringement"),
-    (r"\bcopyright owner", "copyright holder"),
-    (r"\bper cent\b", "percent"),
-    (r"&", " and "),
+    (("https",), r"\bhttps\b", "http"),
+    (("licence",), r"\blicence", "license"),
+    (("sub licen", "sub-licen", "sublicen"), r"\bsub[ -]licen[cs]e", "sublicense"),
+    (("acknowledgement",), r"\backnowledgement", "acknowledgment"),
+    (("infringement",), r"\bnon[ -]infringement", "noninfringement"),
+    (("copyright owner",), r"\bcopyright owner", "copyright holder"),
+    (("per cent",), r"\bper cent\b", "percent"),
+    (("&",), r"&", " and "),
     # ASCII punctuation, typographic quotes, dashes and white space
-    (r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{2018}\x{2019}\x{201C}\x{201D}\x{2013}\x{2014}\x{2026}\x{00A9}\x{00A0}]+", " "),
+    ((), r"[\x00-\x2F\x3A-\x60\x7B-\x7F\x{2018}\x{2019}\x{201C}\x{201D}\x{2013}\x{2014}\x{2026}\x{00A9}\x{00A0}]+", " "),
 ]
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines or punctuation, in one spelling, words separated by one space."""
+    """A text in lower case, without copyright lines or punctuation, in one spelling and spacing; blank for null.
+
+    A rule's regular expression only sees texts that hold a string it is about. Each rule takes its text as the one element
+    of an array, so that the expression names its input once, however often the rule does.
+    """
     out = ascii_lower(F.coalesce(text, F.lit("")))
-    for pattern, to in CANONICAL_RULES:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    for needles, pattern, to in CANONICAL_RULES:
+        if needles:
+            out = _guarded(out, needles, pattern, to)
+        else:
+            out = F.regexp_replace(out, pattern, to)
+    return F.coalesce(F.trim(out), F.lit(""))
+
+
+def _guarded(text: Column, needles: tuple[str, ...], pattern: str, to: str) -> Column:
+    def rule(t: Column) -> Column:
+        found = t.contains(needles[0])
+        for needle in needles[1:]:
+            found = found | t.contains(needle)
+        return F.when(found, F.regexp_replace(t, pattern, to)).otherwise(t)
+
+    return F.transform(F.array(text), rule)[0]
 
 
 def canonical_digest(text: Column) -> Column:
@@ -101,9 +119,14 @@ def canonical_digest(text: Column) -> Column:
 
 
 def license_table(spark, texts: Sequence[tuple[str, str]]) -> DataFrame:
-    """license_id and digest of each known text; of two ids with equal texts the first in order stays."""
-    known = spark.createDataFrame([*texts], "license_id string, text string")
-    return known.groupBy(canonical_digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    """license_id and digest of each known text that is not blank; of two ids with equal texts the first in order stays.
+
+    The given texts are on the driver already, and so are their digests: as a table of values they impose no conditions on
+    what they are joined to.
+    """
+    known = spark.createDataFrame([*texts], "license_id string, text string").select("license_id", canonical(F.col("text")).alias("c"))
+    rows = known.filter("c <> ''").groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license_id").alias("license_id")).collect()
+    return spark.createDataFrame([tuple(r) for r in rows], "digest string, license_id string")
 
 
 def scan_licenses(
@@ -130,13 +153,12 @@ def scan_licenses(
     known = license_table(spark, [*licenses, *notices])
     if 100 * (len(licenses) + len(notices)) <= broadcast_limit:
         known = F.broadcast(known)
-    empty = F.sha2(F.lit(""), 256)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     whole = rows.select("doc_id", canonical_digest(F.col("text")).alias("canonical_sha256")).distinct()
-    found = whole.join(known, (F.col("canonical_sha256") == F.col("digest")) & (F.col("digest") != empty), "left").drop("digest")
+    found = whole.join(known, F.col("canonical_sha256") == F.col("digest"), "left").drop("digest")
     lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", canonical_digest(F.col("line")).alias("d"))
     hits = (
-        lines.join(known, (F.col("d") == F.col("digest")) & (F.col("digest") != empty))
+        lines.join(known, F.col("d") == F.col("digest"))
         .groupBy("doc_id")
         .agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notice_lines"))
     )
@@ -153,7 +175,7 @@ def license_sql(docs: str = "documents") -> str:
 
     def canon(expr: str) -> str:
         out = f"translate(coalesce({expr}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        for pattern, to in CANONICAL_RULES:
+        for _, pattern, to in CANONICAL_RULES:
             out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to)}, 'g')"
         return f"trim({out}, ' ')"
 
