@@ -14,6 +14,8 @@ from talus.llm.common import BROADCAST_LIMIT, Scratch, ascii_lower, broadcast_if
 
 #: What separates words: ASCII characters other than digits and lower-case letters, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word in text that is not lower-cased yet.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -41,7 +43,8 @@ class BenchmarkIndex:
         items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words_of(F.col(item_text_col)).alias("words")).filter(F.size("words") > 0)
         self.items = scratch.save(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
         terms = scratch.save(self.items.select(F.explode("words").alias("term")).distinct(), "terms")
-        self.documents = scratch.save(self.rows.select("doc_id", "doc_key", F.size(words_of(F.col("text"))).cast("long").alias("n_words")), "documents")
+        counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+        self.documents = scratch.save(self.rows.select("doc_id", "doc_key", counted.alias("n_words")), "documents")
 
         # how often each benchmark term occurs in the training texts; counted map-side before the shuffle
         tokens = self.rows.select(F.explode(words_of(F.col("text"))).alias("term"))
