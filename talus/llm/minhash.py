@@ -5,8 +5,9 @@ into bit planes, and bit counts of two such signatures estimate a similarity, co
 confirmed on the full sets, so every reported link is exact.
 
 No bucket's pairs are all emitted. First each node meets the smallest node of its buckets; confirmed links form
-components. Then only nodes outside their bucket's largest component meet the members of other components. A pair
-within one component needs no test, so the components are those of all pairs that share a band.
+components. Then only nodes outside their bucket's largest component ask members of other components, first a few each and
+at last all that remain. A pair within one component needs no test, so the components are those of all pairs that share a
+band.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from talus.llm.components import connected_components
 HASHES, ROWS, BITS = 128, 4, 2
 #: A pair is confirmed on full sets if its estimate is within this many standard errors of the threshold.
 ERRORS = 6.0
+#: All pairs between components are tested once they are at most so many for each member of the buckets.
+EASY = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -169,6 +172,40 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxh3_128_digest(np.ascontiguousarray(shingles).tobytes())
 
 
+def _across(links: _Links, shared: DataFrame, scratch: Scratch) -> None:
+    """Tests what is left between components that share a bucket.
+
+    Only members outside their bucket's largest component ask. While all their pairs would be many more than the members,
+    each asks one member of the largest component per bucket, another one in each round; their number is linear, and what
+    it links shrinks the rest. Once that is small, or a round links nothing more, every remaining pair is tested.
+    """
+    before, turn = -1, 0
+    while True:
+        turn += 1
+        placed = scratch.save(links.labelled(shared, "nid", "comp"), f"placed-{turn}")
+        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("total"))
+        mixed = scratch.save(mixed.filter("most < total"), f"mixed-{turn}")
+        cost = mixed.agg(F.sum(F.col("total") - F.col("most")).alias("asking"), F.sum("total").alias("rows"), F.sum((F.col("total") - F.col("most")) * F.col("total")).alias("pairs")).first()
+        if not cost["asking"]:
+            return
+        within = placed.join(mixed.select("key", "largest"), "key")
+        asking = within.filter("comp <> largest").select("key", F.col("nid").alias("a"), F.col("comp").alias("ca"))
+        every = cost["pairs"] <= EASY * cost["rows"] or cost["asking"] == before
+        if every:
+            met = asking.join(within, "key").filter((F.col("comp") != F.col("ca")) & ((F.col("comp") == F.col("largest")) | (F.col("a") < F.col("nid"))))
+            pairs = met.select("a", F.col("nid").alias("b"))
+        else:
+            chance = F.xxhash64("nid", "key", F.lit(turn))
+            chosen = within.filter("comp = largest").groupBy("key").agg(F.min_by("nid", chance).alias("b"))
+            pairs = asking.join(chosen, "key").select("a", "b")
+        links.confirm(scratch.save(pairs.distinct(), f"pairs-{turn}"))
+        scratch.drop(f"placed-{turn}", f"mixed-{turn}", f"pairs-{turn}")
+        if every:
+            return
+        before = cost["asking"]
+
+
 def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -226,23 +263,13 @@ def near_duplicates(
     apart = scratch.save(apart, "apart")
     if not apart.isEmpty():
         links.confirm(apart)
-    # members outside their bucket's largest component meet members of other components
-    placed = scratch.save(links.labelled(shared.select("key", "nid"), "nid", "comp"), "placed")
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = scratch.save(mixed.select("key", "largest"), "mixed")
-    within = placed.join(mixed, "key")
-    asking = within.filter("comp <> largest").select("key", F.col("nid").alias("a"), F.col("comp").alias("ca"))
-    met = asking.join(within, "key").filter((F.col("comp") != F.col("ca")) & ((F.col("comp") == F.col("largest")) | (F.col("a") < F.col("nid"))))
-    left = scratch.save(met.select("a", F.col("nid").alias("b")).distinct(), "left")
-    if not left.isEmpty():
-        links.confirm(left)
+    _across(links, shared.select("key", "nid"), scratch)
 
     comps = links.labelled(nodes.select("nid", "set_hash", "first_doc"), "nid", "comp")
     comps = scratch.save(comps, "final")
     first = comps.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
     named = comps.join(first, "comp").select("set_hash", "component_id")
-    scratch.drop("buckets", "shared", "apart", "placed", "mixed", "left")
+    scratch.drop("buckets", "shared", "apart")
     joined = signed.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return joined.select(
