@@ -252,6 +252,17 @@ def test_packing(spark):
     assert packing.pack_documents(table(spark, []), q.tokenizer_path()).count() == 0
 
 
+def test_packing_pads_short_texts_little(spark):
+    pytest.importorskip("public_tokenizers")
+    rng, encoder = random.Random(2), packing.TokenBytes(q.tokenizer_path())
+    docs = [(i, rng.choice((None, "a b c d e f g h", sentence(rng, 8))) if i % 3 == 0 else sentence(rng, rng.randrange(20, 500))) for i in range(900)]
+    for rows in (docs, [(i, None) for i in range(2000)], [(i, "a b c d e f g h") for i in range(2000)]):
+        total = sum(len(encoder.encode(t or "")) // 4 + 1 for _, t in rows)
+        got = packing.pack_documents(table(spark, rows), q.tokenizer_path()).collect()
+        assert sum(r["length"] for r in got) == total
+        assert len({r["sequence_id"] for r in got}) <= -(-total // 2048) * 1.01 + 1
+
+
 def test_urls(spark):
     rules = [*q.URL_RULES, url_filter.Rule("block", "b.example.com", ""), url_filter.Rule("allow", "b.example.com", "/x/y"), url_filter.Rule("allow", "dup.net"), url_filter.Rule("block", "dup.net")]
     urls = ["https://A.example.ORG/es/1?q", "http://example.org/en/12", "http://x.org", "http://x.org/", "http://b.example.com", "http://b.example.com/x/yz", "http://b.example.com/x/", "http://c.com/de/", "http://example.com/fr/a#b", "nothing", None, "http://notexample.org/es/", "http://dup.net/", "http://x.org:80/a", "a://b.dup.net/é?x://y"]
