@@ -50,12 +50,12 @@ def score_split(df: DataFrame, ratios: tuple[float, float, float], focal_speaker
     return score.agg(F.sum("s").alias("score"))
 
 
-def search_split(df: DataFrame, group: str, ratios: tuple[float, float, float], *, seed: int = 7, trials: int = 2000, focal_speaker: str = "", max_groups: int = 100_000) -> DataFrame:
+def search_split(df: DataFrame, group: str, ratios: tuple[float, float, float], *, seed: int = 7, trials: int = 30_000, focal_speaker: str = "", max_groups: int = 100_000, max_cells: int = 1 << 24) -> DataFrame:
     """Best of ``trials`` random assignments of groups to splits: group, split and score.
 
     Groups are reduced to count vectors before anything reaches the driver, and their number is checked. One random stream
-    on the driver makes the orders, so trials do not depend on the cluster; chunks of trials are scored by tasks, and only
-    the best is gathered.
+    on the driver makes the orders, so trials do not depend on the cluster; chunks of trials, each of about ``max_cells``
+    places, are scored by tasks, and only the best is gathered, the first of equals.
     """
     spark = df.sparkSession
     fields = list(FIELD_WEIGHTS)
@@ -90,21 +90,32 @@ def search_split(df: DataFrame, group: str, ratios: tuple[float, float, float],
                 score += sum(max(0.0, least - held[k]) * weight for k, (least, weight) in LEAST.items())
         return float(score)
 
-    rng, orders = random.Random(seed), []
-    for _ in range(trials):
-        order = list(range(len(names)))
-        rng.shuffle(order)
-        orders.append(order)
-    shared = spark.sparkContext.broadcast(np.array(orders, np.int32))  # trials times groups, both bounded
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(score=[penalty(shared.value[t]) for t in batch["trial"]])
-
-    best = spark.range(trials).withColumnRenamed("id", "trial").mapInPandas(score, "trial long, score double").agg(F.min_by("trial", F.struct("score", "trial")).alias("t"), F.min("score").alias("score")).first()
-    order, out, start = orders[best["t"]], [], 0
+    def best_of(orders: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(orders)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(score=[penalty(shared.value[t]) for t in batch["trial"]])
+
+        scored = spark.range(len(orders)).withColumnRenamed("id", "trial").mapInPandas(score, "trial long, score double")
+        best = scored.agg(F.min_by("trial", F.struct("score", "trial")).alias("t"), F.min("score").alias("score")).first()
+        shared.destroy()
+        return best["score"], orders[best["t"]]
+
+    rng, chunk = random.Random(seed), max(1, max_cells // max(len(names), 1))
+    lowest, order = np.inf, np.arange(0)
+    for first in range(0, trials, chunk):
+        orders = np.empty((min(chunk, trials - first), len(names)), np.int32)
+        for t in range(len(orders)):
+            places = list(range(len(names)))
+            rng.shuffle(places)
+            orders[t] = places
+        found, best = best_of(orders)
+        if found < lowest:
+            lowest, order = found, best
+    out, start = [], 0
     for s in SPLITS:
-        out += [(names[i], s, best["score"]) for i in order[start : start + wanted[s]]]
+        out += [(names[i], s, lowest) for i in order[start : start + wanted[s]].tolist()]
         start += wanted[s]
     return spark.createDataFrame(out, f"{group} string, split string, score double")
 

@@ -428,7 +428,7 @@ def split_score(spark, sf):
 
 @query()
 def split_search(spark, sf):
-    return splits.search_split(utterances(spark, sf).withColumn("g", F.concat_ws("/", "speaker_id", "disease_tag")), "g", (0.8, 0.1, 0.1), trials=300, focal_speaker="src1")
+    return splits.search_split(utterances(spark, sf).withColumn("g", F.concat_ws("/", "speaker_id", "disease_tag")), "g", (0.8, 0.1, 0.1), trials=30_000, focal_speaker="src1")
 
 
 # audits

@@ -1,11 +1,13 @@
 """Operators on small tables with known answers."""
 
+import inspect
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from talus.operators import audit, compare, components, dedupe, infer, leakage, manifest, sampling, splits, summary
+from talus.plans import queries
 from talus.sources import audio, tables
 from talus.sources.sample import write_sample_tree
 from talus.streaming import windows
@@ -101,6 +103,17 @@ def test_search_agrees_with_scorer_and_beats_the_worst(spark):
     assert scored == pytest.approx(best.first()["score"]) and best.count() == 12
 
 
+def test_search_runs_all_trials_of_the_reference(spark, monkeypatch):
+    df = spark.createDataFrame([(f"g{i % 30}", f"s{i % 7}", ("hard", "easy", "medium")[i * i % 3], ("short", "long")[i % 5 == 0], ("HD", "SCA")[i % 4 == 0]) for i in range(95)], "g string, speaker_id string, zero_shot_bucket string, duration_bucket string, disease_tag string")
+    whole = sorted(map(tuple, splits.search_split(df, "g", (0.8, 0.1, 0.1), trials=500).collect()))
+    assert whole == sorted(map(tuple, splits.search_split(df, "g", (0.8, 0.1, 0.1), trials=500, max_cells=30 * 180).collect()))
+    asked, search = [], splits.search_split
+    monkeypatch.setattr(splits, "search_split", lambda *a, **k: asked.append(k.get("trials")))
+    monkeypatch.setattr(queries, "utterances", lambda *a: df.withColumn("disease_tag", df.disease_tag))
+    queries.QUERIES["split_search"](spark, "")
+    assert asked == [30_000] and inspect.signature(search).parameters["trials"].default == 30_000
+
+
 def test_issue_rows(spark):
     df = spark.createDataFrame([(1, 5.0, None), (2, None, "x")], "id int, v double, s string")
     found = audit.issues(df, [audit.Check("error", "big", F.col("v") > 1, F.lit("v")), audit.Check("warning", "blank", F.col("s").isNull(), F.lit("s"))], "id")
