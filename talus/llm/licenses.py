@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +63,48 @@ LICENSES: list[tuple[str, str]] = [
         "distribution.",
     ),
 ]
+LICENSES.append(
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors "
+        "of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication "
+        "for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be "
+        "an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+        + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS")
+        + "\n\nFor more information, please refer to <http://unlicense.org/>",
+    )
+)
+#: Title lines that usual files of a licence begin with.
+TITLES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License"),
+    "Unlicense": ("The Unlicense",),
+}
+
+
+def _variants() -> list[tuple[str, str]]:
+    """Full texts from files, without appendices and with bullets for clause numbers where such forms are usual; then titles."""
+    texts = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        texts.append((path.stem, text))
+        if path.stem.startswith("BSD"):
+            texts.append((path.stem, re.sub(r"(?m)^[1-3][.] ", "* ", text)))
+        if "END OF TERMS AND CONDITIONS" in text:
+            head = text[: text.index("END OF TERMS AND CONDITIONS")]
+            texts += [(path.stem, head), (path.stem, head + "END OF TERMS AND CONDITIONS")]
+    titled = [(i, f"{title}\n\n{text}") for i, text in [*LICENSES, *texts] for title in TITLES.get(i, ())]
+    return [*titled, *texts]
+
+
+LICENSES[:0] = _variants()
 NOTICES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),

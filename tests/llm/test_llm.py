@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -14,6 +15,7 @@ from talus.llm import queries as q
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
+LICENSE_TEXTS = Path(licenses.__file__).parent / "license_texts"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, kept boolean"
 
 
@@ -154,6 +156,25 @@ def test_licences(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_licences_of_usual_files(spark):
+    mit, zlib_text = dict(licenses.LICENSES)["MIT"], dict(licenses.LICENSES)["Zlib"]
+    bsd = (LICENSE_TEXTS / "BSD-3-Clause.txt").read_text()
+    two = (LICENSE_TEXTS / "BSD-2-Clause.txt").read_text()
+    apache, gpl = (LICENSE_TEXTS / "Apache-2.0.txt").read_text(), (LICENSE_TEXTS / "GPL-3.0.txt").read_text()
+    docs = [
+        (1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit), (2, "The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + mit), (3, "zlib License\n\n(C) 2020 X\n\n" + zlib_text),
+        (4, "BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n" + bsd), (5, "Copyright (c) 2020, X\n\n" + two.replace("1. ", "* ").replace("2. ", "* ")),
+        (6, apache.replace("[yyyy] [name of copyright owner]", "2020 X")), (7, gpl.replace("https:", "http:")), (8, apache[: apache.index("END OF TERMS")]), (9, gpl + " more"), (10, "MIT License"),
+    ]
+    found = licenses.scan_licenses(table(spark, docs)).collect()
+    got = {r["doc_id"]: r["license_id"] for r in found}
+    assert got == {1: "MIT", 2: "MIT", 3: "Zlib", 4: "BSD-3-Clause", 5: "BSD-2-Clause", 6: "Apache-2.0", 7: "GPL-3.0", 8: "Apache-2.0", 9: None, 10: None}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    assert sorted(map(tuple, found), key=repr) == sorted(con.execute(licenses.license_sql()).fetchall(), key=repr)
+
+
 def make_labelled(n=400, seed=9):
     rng = random.Random(seed)
     docs, labels = [], []
