@@ -90,8 +90,8 @@ class SubwordBag:
         if not n:
             return 0.0
         sums = np.concatenate([[0.0], np.cumsum(values)])
-        starts = np.unique(np.append(np.arange(0, max(n - self.window, 0) + 1, self.window // 2), max(n - self.window, 0)))
-        return float(((sums[np.minimum(starts + self.window, n)] - sums[starts]) / self.window).max())
+        width = min(self.window, n)
+        return float((sums[width:] - sums[:-width]).max() / self.window)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:

@@ -203,6 +203,14 @@ def test_toxicity_finds_unseen_spellings(spark):
     assert toxicity.score_toxicity(table(spark, []), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_worst_window_starts_at_every_word():
+    model = toxicity.SubwordBag(np.zeros(1, np.float32), 1.0, 0.0)
+    for before in range(9):
+        values = np.array([0.0] * before + [5.0, 0.0, 0.0, 5.0] + [0.0] * 9)
+        assert model.worst(values) == 10 / model.window
+    assert model.worst(np.array([5.0])) == 5 / model.window and model.worst(np.array([])) == 0.0
+
+
 def test_quality_sees_the_whole_text(spark):
     rng, docs, labels = random.Random(1), [], []
     for i in range(300):
