@@ -4,14 +4,16 @@ Each distinct shingle set is one node. Bands of full minima propose candidates;
 into bit planes, and bit counts of two such signatures estimate a similarity, corrected for chance agreement. What passes is
 confirmed on the full sets, so every reported link is exact.
 
-No bucket's pairs are all emitted. First each node meets the smallest node of its buckets; confirmed links form
-components. Then only nodes outside their bucket's largest component ask members of other components, first a few each and
-at last all that remain. A pair within one component needs no test, so the components are those of all pairs that share a
-band.
+No bucket's pairs are all emitted. First each node meets the centers of its buckets, the members with most company, and is
+confirmed against the one that its signature is nearest to. Most buckets then lie in one component and need no more. What
+is left are nodes in buckets of several components: these are joined by the rarest shingles of their sets. Two sets can
+only be similar enough if they share a shingle of such a prefix, so no pair that shares a band is lost, and a shingle that
+all copies have is in few prefixes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,20 @@ from pyspark.sql import functions as F
 from talus.llm.common import BROADCAST_LIMIT, Scratch, small_batches, with_null_safe
 from talus.llm.components import connected_components
 
-#: Minima, rows a band, and low bits kept of each minimum.
-HASHES, ROWS, BITS = 128, 4, 2
+#: Minima a signature may have, and the probability with which bands may miss a pair at the threshold.
+MINIMA, MISS = 360, 1e-6
+#: Minima whose low bits are packed, and how many bits of each.
+PACKED, BITS = 256, 2
 #: A pair is confirmed on full sets if its estimate is within this many standard errors of the threshold.
-ERRORS = 6.0
-#: All pairs between components are tested once they are at most so many for each member of the buckets.
-EASY = 8
+ERRORS = 5.0
+
+
+def band_shape(percent: int) -> tuple[int, int]:
+    """Rows a band and bands: as many rows as ``MINIMA`` allow while a pair at the threshold is missed with ``MISS`` at most."""
+    s = min(percent / 100, 1 - 1e-9)
+    bands = {rows: math.ceil(math.log(MISS) / math.log1p(-(s**rows))) for rows in range(1, 17)}
+    rows = max((r for r, b in bands.items() if r * b <= MINIMA), default=1)
+    return rows, bands[rows]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,40 +65,46 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 
 class Signer:
-    """Minima of ``HASHES`` multiply-shift permutations, band keys and bit planes."""
+    """Minima of multiply-add permutations of 32 bits, band keys and bit planes."""
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, rows: int, bands: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+        self.rows, self.count = rows, bands
+        size = max(rows * bands, PACKED)
+        self.a = rng.integers(0, 1 << 31, size, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+        self.room = np.empty((512, size), np.uint32)
 
     def minima(self, shingles: np.ndarray) -> np.ndarray:
-        least = np.full(HASHES, np.iinfo(np.uint64).max)
-        for s in range(0, len(shingles), 2048):
-            block = shingles[s : s + 2048, None] * self.a
-            block += self.b
+        high = (shingles >> np.uint64(32)).astype(np.uint32)
+        least = np.full(len(self.a), np.iinfo(np.uint32).max, np.uint32)
+        for s in range(0, len(high), len(self.room)):
+            part = high[s : s + len(self.room), None]
+            block = self.room[: len(part)]
+            np.multiply(part, self.a, out=block)
+            np.add(block, self.b, out=block)
             np.minimum(least, block.min(axis=0), out=least)
-        return least >> np.uint64(20)
+        return least
 
     def bands(self, minima: np.ndarray) -> np.ndarray:
-        rows = minima.reshape(-1, ROWS)
-        key = np.arange(len(rows), dtype=np.uint64)
-        for k in range(ROWS):
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+        parts = minima[: self.rows * self.count].reshape(self.count, self.rows).astype(np.uint64)
+        key = np.arange(self.count, dtype=np.uint64)
+        for k in range(self.rows):
+            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
         return key.view(np.int64)
 
     def planes(self, minima: np.ndarray) -> list[int]:
-        """Bit by bit, ``HASHES`` / 64 longs each."""
-        mixed = _mix(minima)
+        """Bit by bit, ``PACKED`` / 64 longs each."""
+        mixed = _mix(minima[:PACKED].astype(np.uint64))
         return [int(x) for k in range(BITS) for x in np.packbits((mixed >> np.uint64(k)).astype(np.uint8) & 1).view(np.int64)]
 
 
-PLANES = [f"p{i}" for i in range(BITS * HASHES // 64)]
+PLANES = [f"p{i}" for i in range(BITS * PACKED // 64)]
 
 
 def estimate(left: str, right: str) -> Column:
     """Estimated similarity of two packed signatures: equal minima by bit counts, less those equal by chance."""
-    per, agree = HASHES // 64, F.lit(0)
+    per, agree = PACKED // 64, F.lit(0)
     for part in range(per):
         differ = F.lit(0).cast("long")
         for bit in range(BITS):
@@ -96,74 +112,15 @@ def estimate(left: str, right: str) -> Column:
             differ = differ.bitwiseOR(F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}")))
         agree = agree + F.bit_count(F.bitwise_not(differ))
     chance = 0.5**BITS
-    return (agree / HASHES - chance) / (1 - chance)
-
-
-class _Links:
-    """Confirms pairs of nodes on full sets, and keeps the components that confirmed links make."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, scratch: Scratch, words: int, percent: int):
-        self.docs, self.nodes, self.scratch, self.words, self.percent = docs, nodes, scratch, words, percent
-        self.round = 0
-        self.comps: DataFrame | None = None
-        p = percent / 100 * (1 - 0.5**BITS) + 0.5**BITS
-        self.least = percent / 100 - ERRORS * (p * (1 - p) / HASHES) ** 0.5 / (1 - 0.5**BITS)
-
-    def labelled(self, rows: DataFrame, node: str, name: str) -> DataFrame:
-        """Adds the component of a node as ``name``; a node without links is its own."""
-        if self.comps is None:
-            return rows.withColumn(name, F.col(node))
-        found = self.comps.select(F.col("node").alias(node), F.col("comp").alias("__comp"))
-        return rows.join(found, node, "left").withColumn(name, F.coalesce("__comp", node)).drop("__comp")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Tests pairs (a, b), estimates first, and merges the components of those that are similar."""
-        self.round += 1
-        n, words, percent, scratch = self.round, self.words, self.percent, self.scratch
-        signature = F.struct("nid", *PLANES)
-        close = (
-            pairs.distinct()
-            .join(self.nodes.select(F.col("nid").alias("a"), signature.alias("x")), "a")
-            .join(self.nodes.select(F.col("nid").alias("b"), signature.alias("y")), "b")
-            .filter(estimate("x", "y") >= self.least)
-            .select("a", "b")
-        )
-        close = scratch.save(close, f"close-{n}")
-        needed = close.select(F.col("a").alias("nid")).unionByName(close.select(F.col("b").alias("nid"))).distinct()
-        wanted = scratch.save(self.nodes.join(needed, "nid", "left_semi").select("nid", "set_hash", "first_doc"), f"wanted-{n}")
-        ids = wanted.select(F.col("first_doc").alias("id")).distinct()
-        if wanted.count() * 16 <= BROADCAST_LIMIT:
-            ids = F.broadcast(ids)
-        texts = with_null_safe(self.docs, ids, ["id"], "left_semi")
-
-        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [shingle_hashes(t or "", words).view(np.int64) for t in batch["text"]]
-                yield pd.DataFrame({"set_hash": [_digest(s) for s in found], "shingles": found})
-
-        with small_batches(scratch.spark):
-            rows = texts.mapInPandas(sets, "set_hash binary, shingles array<long>")
-            full = scratch.save(rows.join(wanted, "set_hash").select("nid", "shingles").dropDuplicates(["nid"]), f"sets-{n}")
-        inter = F.size(F.array_intersect("s", "t")).cast("long")
-        links = (
-            close.join(full.select(F.col("nid").alias("a"), F.col("shingles").alias("s")), "a")
-            .join(full.select(F.col("nid").alias("b"), F.col("shingles").alias("t")), "b")
-            .withColumn("inter", inter)
-            .filter(100 * F.col("inter") >= percent * (F.size("s") + F.size("t") - F.col("inter")))
-            .select("a", "b")
-        )
-        links = scratch.save(links, f"links-{n}")
-        scratch.drop(f"close-{n}", f"wanted-{n}", f"sets-{n}")
-        if self.comps is not None:  # links between components join what they stand for
-            links = self.labelled(self.labelled(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = connected_components(links, scratch, f"cc-{n}")
-        if self.comps is None:
-            self.comps = merged
-        else:
-            up = merged.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
-            old = self.comps.join(up, "comp", "left").select("node", F.coalesce("higher", "comp").alias("comp"))
-            own = merged.join(self.comps.select("node"), "node", "left_anti").select("node", "comp")
-            self.comps = scratch.save(old.unionByName(own), f"comps-{n}")
+    return (agree / PACKED - chance) / (1 - chance)
+
+
+def _may_link(left: str, right: str, percent: int) -> Column:
+    """Whether sizes and signatures of two nodes leave a link possible."""
+    p = percent / 100 * (1 - 0.5**BITS) + 0.5**BITS
+    least = percent / 100 - ERRORS * (p * (1 - p) / PACKED) ** 0.5 / (1 - 0.5**BITS)
+    small, large = F.least(f"{left}.n", f"{right}.n"), F.greatest(f"{left}.n", f"{right}.n")
+    return (100 * small >= percent * large) & (estimate(left, right) >= least)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -172,38 +129,83 @@ def _digest(shingles: np.ndarray) -> bytes:
     return xxh3_128_digest(np.ascontiguousarray(shingles).tobytes())
 
 
-def _across(links: _Links, shared: DataFrame, scratch: Scratch) -> None:
-    """Tests what is left between components that share a bucket.
+def _sets(rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """nid and shingles of the nodes in ``wanted`` (nid, set_hash, first_doc), each from one of its texts, stored once."""
+    ids = wanted.select(F.col("first_doc").alias("id")).distinct()
+    if wanted.count() * 16 <= BROADCAST_LIMIT:
+        ids = F.broadcast(ids)
+    texts = with_null_safe(rows, ids, ["id"], "left_semi")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_hashes(t or "", words).view(np.int64) for t in batch["text"]]
+            yield pd.DataFrame({"set_hash": [_digest(s) for s in found], "shingles": found})
+
+    with small_batches(scratch.spark):
+        shingled = texts.mapInPandas(sets, "set_hash binary, shingles array<long>")
+        return scratch.save(shingled.join(wanted, "set_hash").select("nid", "shingles").dropDuplicates(["nid"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar. Where ``a`` repeats, its side is small beside the sets already joined."""
+    inter = F.size(F.array_intersect("s", "t")).cast("long")
+    return (
+        pairs.join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("t")), "b")
+        .join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("s")), "a")
+        .select("a", "b", inter.alias("inter"), (F.size("s") + F.size("t")).alias("both"))
+        .filter(100 * F.col("inter") >= percent * (F.col("both") - F.col("inter")))
+        .select("a", "b")
+    )
+
+
+def _across(shared: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """Pairs (a, b) of different components to confirm, of all that share a bucket; None if every bucket is one component.
 
-    Only members outside their bucket's largest component ask. While all their pairs would be many more than the members,
-    each asks one member of the largest component per bucket, another one in each round; their number is linear, and what
-    it links shrinks the rest. Once that is small, or a round links nothing more, every remaining pair is tested.
+    The nodes of mixed buckets are joined by prefixes of their sets, rarest shingles first: of n shingles, two similar sets
+    share one among the first n - o + 1 of each, where o is the least overlap that a link needs. A shingle of one node
+    alone takes its place in the prefix but joins nothing. Where a shingle's nodes are mostly of one component, these are
+    not compared with each other. Before a pair is emitted, its sizes, the places of the shared shingle and the signatures
+    must leave a link possible.
     """
-    before, turn = -1, 0
-    while True:
-        turn += 1
-        placed = scratch.save(links.labelled(shared, "nid", "comp"), f"placed-{turn}")
-        sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("total"))
-        mixed = scratch.save(mixed.filter("most < total"), f"mixed-{turn}")
-        cost = mixed.agg(F.sum(F.col("total") - F.col("most")).alias("asking"), F.sum("total").alias("rows"), F.sum((F.col("total") - F.col("most")) * F.col("total")).alias("pairs")).first()
-        if not cost["asking"]:
-            return
-        within = placed.join(mixed.select("key", "largest"), "key")
-        asking = within.filter("comp <> largest").select("key", F.col("nid").alias("a"), F.col("comp").alias("ca"))
-        every = cost["pairs"] <= EASY * cost["rows"] or cost["asking"] == before
-        if every:
-            met = asking.join(within, "key").filter((F.col("comp") != F.col("ca")) & ((F.col("comp") == F.col("largest")) | (F.col("a") < F.col("nid"))))
-            pairs = met.select("a", F.col("nid").alias("b"))
-        else:
-            chance = F.xxhash64("nid", "key", F.lit(turn))
-            chosen = within.filter("comp = largest").groupBy("key").agg(F.min_by("nid", chance).alias("b"))
-            pairs = asking.join(chosen, "key").select("a", "b")
-        links.confirm(scratch.save(pairs.distinct(), f"pairs-{turn}"))
-        scratch.drop(f"placed-{turn}", f"mixed-{turn}", f"pairs-{turn}")
-        if every:
-            return
-        before = cost["asking"]
+    found = shared.select("key", "nid").join(comps, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    found = scratch.save(found, "placed")
+    mixed = found.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    nodes = found.join(mixed, "key").select("nid", "comp").distinct()
+    nodes = scratch.save(nodes.join(shared.groupBy("nid").agg(F.first("x").alias("x")), "nid"), "open")
+    if nodes.isEmpty():
+        return None
+    tokens = sets.join(nodes.select("nid"), "nid").select("nid", F.explode("shingles").alias("token"))
+    tokens = scratch.save(tokens, "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f")).filter("f > 1")
+    # a node's shingles that others have too, rarest first
+    common = tokens.join(often, "token").groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ranked"))
+    n = F.col("x.n")
+    prefix = common.join(nodes, "nid").select(
+        "nid", "comp", "x", F.transform("ranked", lambda r: r["token"]).alias("ranked"), (n - F.size("ranked")).alias("own"),
+        (n - F.ceil(percent * n / 100) + 1).alias("long"), (n - F.ceil(2 * percent * n / (100 + percent)) + 1).alias("short"),
+    )
+    prefix = prefix.withColumn("taken", F.slice("ranked", 1, F.greatest(F.col("long") - F.col("own"), F.lit(0)).cast("int")))
+    entries = prefix.select("nid", "comp", "x", "own", "short", F.posexplode("taken").alias("at", "token"))
+    entries = entries.select("token", "comp", "x", (F.col("own") + F.col("at")).alias("at"), (F.col("own") + F.col("at") < F.col("short")).alias("brief"))
+    entries = scratch.save(entries, "entries")
+
+    # of each shingle's nodes, those outside its largest component ask; a shingle within one component asks nothing
+    largest = entries.groupBy("token", "comp").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count("*").alias("comps"))
+    apart = entries.join(largest.filter("comps > 1").select("token", "largest"), "token")
+    apart = scratch.save(apart.select("token", "brief", F.struct("comp", "x", "at").alias("e"), (F.col("comp") != F.col("largest")).alias("asks")), "apart")
+
+    def side(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select("token", F.col("e").alias(name))
+
+    rest = F.least(F.col("i.x.n") - F.col("i.at"), F.col("j.x.n") - F.col("j.at"))  # all that the sets can share from here on
+    in_order = F.struct("i.x.n", "i.x.nid") < F.struct("j.x.n", "j.x.nid")
+    possible = (F.col("i.comp") != F.col("j.comp")) & in_order & (rest * (100 + percent) >= percent * (F.col("i.x.n") + F.col("j.x.n"))) & _may_link("i.x", "j.x", percent)
+    brief, asks = apart.filter("brief"), apart.filter("asks")
+    met = [side("i", brief.filter("asks")).join(side("j", apart), "token"), side("i", brief.filter("NOT asks")).join(side("j", asks), "token")]
+    pairs = [m.filter(possible).select(F.col("i.x.nid").alias("a"), F.col("j.x.nid").alias("b")) for m in met]
+    pairs = scratch.save(pairs[0].unionByName(pairs[1]).distinct(), "pairs")
+    scratch.drop("placed", "open", "tokens", "entries", "apart")
+    return pairs
 
 
 def near_duplicates(
@@ -223,9 +225,10 @@ def near_duplicates(
     scratch = Scratch(spark, "minhash")
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shape = band_shape(percent)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer()
+        signer = Signer(*shape)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["id"], batch["text"], strict=True):
@@ -243,7 +246,7 @@ def near_duplicates(
         signed = scratch.save(signed.withColumn("id", F.col("id").cast(id_type)), "signed")
 
     # one node for each distinct set; rows with equal sets have equal signatures, so any of them will do
-    content = F.struct("bands", *PLANES)
+    content = F.struct("n_shingles", "bands", *PLANES)
     nodes = (
         signed.filter("set_hash is not null")
         .groupBy("set_hash")
@@ -251,25 +254,31 @@ def near_duplicates(
         .select(F.monotonically_increasing_id().alias("nid"), "set_hash", "first_doc", "s.*")
     )
     nodes = scratch.save(nodes, "nodes")
-    members = nodes.select("nid", F.explode("bands").alias("key"))
-    buckets = scratch.save(members.groupBy("key").agg(F.min("nid").alias("center"), F.count("*").alias("n")).filter("n > 1").select("key", "center"), "buckets")
-    shared = scratch.save(members.join(buckets, "key"), "shared")  # rows of buckets with company
-
-    links = _Links(rows, nodes.drop("bands"), scratch, words, percent)
-    stars = shared.filter("nid <> center").select(F.col("nid").alias("b"), F.col("center").alias("a"))
-    links.confirm(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    # the other centers, where still in another component
-    apart = links.labelled(links.labelled(stars.distinct(), "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
-    apart = scratch.save(apart, "apart")
-    if not apart.isEmpty():
-        links.confirm(apart)
-    _across(links, shared.select("key", "nid"), scratch)
-
-    comps = links.labelled(nodes.select("nid", "set_hash", "first_doc"), "nid", "comp")
-    comps = scratch.save(comps, "final")
-    first = comps.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    named = comps.join(first, "comp").select("set_hash", "component_id")
-    scratch.drop("buckets", "shared", "apart")
+    members = nodes.select("nid", F.explode("bands").alias("key")).repartition("key")  # one shuffle for both uses
+    company = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    kept_keys = members.join(company, "key").groupBy("nid").agg(F.collect_list("key").alias("keys"), F.sum("n").alias("weight"))
+    node = F.struct("nid", F.col("n_shingles").alias("n"), *PLANES)
+    shared = kept_keys.join(nodes.drop("bands"), "nid").select(F.explode("keys").alias("key"), "nid", "weight", node.alias("x"))
+    shared = scratch.save(shared, "shared")  # rows of buckets with company, as many as bands for a node at most
+    wanted = scratch.save(nodes.join(shared.select("nid").distinct(), "nid", "left_semi").select("nid", "set_hash", "first_doc"), "wanted")
+    sets = _sets(rows, wanted, words, scratch)
+
+    centers = shared.groupBy("key").agg(F.max_by("x", F.struct("weight", -F.col("nid"))).alias("c"))
+    near = shared.join(centers, "key").filter((F.col("c.nid") != F.col("nid")) & _may_link("c", "x", percent))
+    stars = near.groupBy(F.col("nid").alias("b")).agg(F.max_by("c.nid", F.struct(estimate("c", "x"), -F.col("c.nid"))).alias("a"))
+    links = scratch.save(_confirmed(stars, sets, percent), "links-1")
+    comps = connected_components(links, scratch, "cc-1")
+    more = _across(shared, comps.withColumnRenamed("node", "nid"), sets, scratch, percent)
+    if more is not None:
+        further = scratch.save(_confirmed(more, sets, percent), "links-2")
+        if not further.isEmpty():
+            comps = connected_components(links.unionByName(further), scratch, "cc-2")
+
+    labelled = nodes.select("nid", "set_hash", "first_doc").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
+    labelled = scratch.save(labelled.withColumn("comp", F.coalesce("comp", "nid")), "final")
+    first = labelled.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
+    named = labelled.join(first, "comp").select("set_hash", "component_id")
+    scratch.drop("shared", "wanted", "sets", "links-1", "links-2", "pairs")
     joined = signed.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return joined.select(

@@ -94,9 +94,8 @@ def test_line_dedup_keeps_columns_and_handles_empty_tables(spark):
     assert line_dedup.line_dedup(table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("words", "percent", "easy"), [(3, 85, 8), (5, 80, 0), (1, 80, 0)])
-def test_near_duplicates(spark, monkeypatch, words, percent, easy):
-    monkeypatch.setattr(minhash, "EASY", easy)  # 0: rounds of few pairs come before the rest
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80), (1, 80), (1, 50), (2, 100)])
+def test_near_duplicates(spark, words, percent):
     docs = corpus(seed=words)
     got = by_id(minhash.near_duplicates(table(spark, docs), words=words, percent=percent))
     assert {d: tuple(r)[1:] for d, r in got.items()} == brute.near_duplicates(docs, words, percent)
@@ -108,8 +107,22 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_one_large_group(spark):
+    """Copies of one text with edits of every rate: most pairs are just above or below the threshold."""
+    rng, base = random.Random(3), [f"w{i}" for i in range(80)]
+    docs = []
+    for i in range(260):
+        w = list(base)
+        for k in rng.sample(range(80), i % 9):
+            w[k] = rng.choice((f"x{rng.randrange(60)}", f"y{i}", ""))
+        docs.append((i, " ".join(w)))
+    got = by_id(minhash.near_duplicates(table(spark, docs), words=3, percent=85))
+    wanted = brute.near_duplicates(docs, 3, 85)
+    assert {d: tuple(r)[1:] for d, r in got.items()} == wanted and 20 < len({r[1] for r in wanted.values()}) < 200
+
+
 def test_estimate_is_close_to_the_similarity(spark):
-    rng, signer, rows = np.random.default_rng(1), minhash.Signer(), []
+    rng, signer, rows = np.random.default_rng(1), minhash.Signer(*minhash.band_shape(85)), []
     for share in (0.0, 0.3, 0.6, 0.85, 1.0):
         for _ in range(40):
             same, rest = rng.integers(0, 1 << 63, int(400 * share), dtype=np.uint64), lambda s=share: rng.integers(0, 1 << 63, int(400 * (1 - s) / 2), dtype=np.uint64)
