@@ -1,21 +1,22 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame operations only.
 
-The index holds postings (term, document, position) of the training texts for the terms that searches start from: of each
-benchmark window, the few that are rarest in the training texts. A window's phrase can only occur where the postings of
-these terms, each moved back by its offset in the window, meet; what is left is compared word by word.
+The index holds postings (term, document, position) of the training texts for the terms that searches start from: the two
+of each benchmark window that are rarest in the training texts. A window's phrase can only occur where the postings of
+both, each moved back by its place in the item, meet. There the item's words are laid beside the text's, and every run of
+equal words that is as long as a window is an occurrence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import BROADCAST_LIMIT, Scratch, ascii_lower, broadcast_if_small, with_null_safe
+from talus.llm.common import BROADCAST_LIMIT, Scratch, ascii_lower, broadcast_if_small
 
 #: What separates words: ASCII characters other than digits and lower-case letters, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word in text that is not lower-cased yet.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term that no text has; its posting stands after a text's last word.
+END = ""
 
 
 def words_of(text: Column) -> Column:
@@ -24,38 +25,32 @@ def words_of(text: Column) -> Column:
 
 
 class BenchmarkIndex:
-    """Postings of the training texts, stored as tables, and the benchmark windows searched in them.
-
-    ``anchors``: how many of a window's rarest terms must meet before words are compared.
-    """
+    """Postings of the training texts, stored as a table, and the benchmark items searched in them."""
 
     def __init__(
-        self, docs: DataFrame, benchmark: DataFrame, *, window: int = 10, anchors: int = 3, id_col: str = "doc_id",
-        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT,
+        self, docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
+        item_col: str = "item_id", item_text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT,
     ):
-        spark = docs.sparkSession
-        self.scratch = scratch = Scratch(spark, "index")
-        self.window, self.anchors, self.limit = window, anchors, broadcast_limit
+        self.scratch = scratch = Scratch(docs.sparkSession, "index")
+        self.limit = broadcast_limit
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         # rows need a key of their own, as ids may repeat or be null: the text's digest stands for what is searched
         self.rows = rows.withColumn("doc_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
         items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words_of(F.col(item_text_col)).alias("words")).filter(F.size("words") > 0)
-        self.items = scratch.save(items.distinct().withColumn("item", F.monotonically_increasing_id()), "items")
-        terms = scratch.save(self.items.select(F.explode("words").alias("term")).distinct(), "terms")
-        counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-        self.documents = scratch.save(self.rows.select("doc_id", "doc_key", counted.alias("n_words")), "documents")
+        items = items.distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", "words", F.least(F.size("words"), F.lit(window)).alias("width"))
+        self.items = scratch.save(items, "items")
+        self.places = scratch.save(self.items.select("item", F.posexplode("words").alias("place", "term")), "places")
+        terms = scratch.save(self.places.select("term").distinct(), "terms")
 
         # how often each benchmark term occurs in the training texts; counted map-side before the shuffle
         tokens = self.rows.select(F.explode(words_of(F.col("text"))).alias("term"))
-        counts = tokens.join(broadcast_if_small(terms, 64, broadcast_limit), "term").groupBy("term").agg(F.count("*").alias("frequency"))
+        counts = tokens.join(self._small(terms, 16), "term").groupBy("term").agg(F.count("*").alias("frequency"))
         self.frequency = scratch.save(counts, "frequency")
 
         # windows start at each place that leaves room for one; a shorter item is one window
-        starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
-        windows = self.items.select("item", F.explode(starts).alias("start"), "words")
-        windows = windows.select("item", "start", F.slice("words", F.col("start") + 1, window).alias("phrase"))
-        self.windows = scratch.save(windows, "windows")
+        starts = F.sequence(F.lit(0), F.size("words") - F.col("width"))
+        windows = self.items.select("item", F.explode(starts).alias("start"), F.slice("words", F.col("start") + 1, F.col("width")).alias("phrase"))
         ranked = (
             windows.select("item", "start", F.posexplode("phrase").alias("at", "term"))
             .join(self.frequency, "term", "left")
@@ -65,70 +60,75 @@ class BenchmarkIndex:
         )
         # a window with a term that never occurs cannot be met
         live = ranked.filter(F.col("ranked")[0]["frequency"] > 0)
-        self.chosen = scratch.save(live.select("item", "start", F.slice("ranked", 1, anchors).alias("chosen")), "chosen")
-        self.anchor_terms = scratch.save(
-            self.chosen.select("item", "start", F.explode("chosen").alias("c")).select(F.col("c.term").alias("term")).distinct(), "anchors"
-        )
-        # the stored index: texts that are equal have one list of postings
-        distinct = self.rows.select("doc_key", "text")
-        placed = distinct.select("doc_key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-        postings = placed.join(broadcast_if_small(self.anchor_terms, 64, broadcast_limit), "term").select("term", "doc_key", "pos")
-        self.postings = scratch.save(postings.distinct(), "postings")
+        self.chosen = scratch.save(live.select("item", "start", F.slice("ranked", 1, 2).alias("chosen")), "chosen")
+        anchors = self.chosen.select(F.explode("chosen.term").alias("term")).unionByName(docs.sparkSession.createDataFrame([(END,)], "term string")).distinct()
+        anchors = scratch.save(anchors, "anchors")
+        placed = self.rows.select("doc_id", "doc_key", F.posexplode(F.array_append(words_of(F.col("text")), F.lit(END))).alias("pos", "term"))
+        index = scratch.save(placed.join(self._small(anchors, 16), "term"), "index")
+        self.documents = index.filter(F.col("term") == END).select("doc_id", "doc_key", F.col("pos").cast("long").alias("n_words"))
+        # texts that are equal have one list of postings
+        self.postings = scratch.save(index.filter(F.col("term") != END).select("term", "doc_key", "pos").distinct(), "postings")
+
+    def _small(self, df: DataFrame, row_bytes: int) -> DataFrame:
+        return broadcast_if_small(df, row_bytes, self.limit)
+
+    def _tokens(self, keys: DataFrame) -> DataFrame:
+        """doc_key, pos and term of each text whose key is given; equal texts once."""
+        texts = self.rows.join(self._small(keys.distinct(), 16), "doc_key", "left_semi").groupBy("doc_key").agg(F.first("text").alias("text"))
+        return texts.select("doc_key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+
+    def alignments(self) -> DataFrame:
+        """item, doc_key, shift: where the rarest terms of a window both stand at their distance. One list meets the other by equal shifts."""
+        first, last = F.col("chosen")[0], F.element_at("chosen", -1)
+        pairs = self.chosen.select("item", (F.col("start") + first["at"]).alias("a"), (F.col("start") + last["at"]).alias("b"), first["term"].alias("ta"), last["term"].alias("tb")).distinct()
+        roles = F.array(F.struct(F.col("ta").alias("term"), F.col("a").alias("place"), F.lit(1).alias("role")), F.struct(F.col("tb").alias("term"), F.col("b").alias("place"), F.lit(2).alias("role")))
+        roles = self.scratch.save(pairs.select("item", "a", "b", F.explode(roles).alias("r")).select("item", "a", "b", "r.*"), "roles")
+        lists = self.postings.join(self._small(roles, 48), "term").select("item", "a", "b", "doc_key", (F.col("pos") - F.col("place")).alias("shift"), "role")
+        met = lists.groupBy("item", "a", "b", "doc_key", "shift").agg(F.bit_or("role").alias("roles")).filter("roles = 3")
+        return self.scratch.save(met.select("item", "doc_key", "shift").distinct(), "met")
+
+    def runs(self) -> DataFrame:
+        """item, doc_key, shift, place, length: maximal runs of words that item and text share, as long as a window at least."""
+        met = self.alignments()
+        wanted = met.join(self._small(self.places, 24), "item").select("item", "doc_key", "shift", "place", "term", (F.col("place") + F.col("shift")).alias("pos"))
+        equal = wanted.join(self._tokens(met.select("doc_key")), ["doc_key", "pos", "term"]).select("item", "doc_key", "shift", "place")
+        along = Window.partitionBy("item", "doc_key", "shift").orderBy("place")  # an item's places at most
+        islands = equal.withColumn("island", F.col("place") - F.row_number().over(along))
+        found = islands.groupBy("item", "doc_key", "shift", "island").agg(F.min("place").alias("place"), F.count("*").alias("length"))
+        widths = self._small(self.items.select("item", "width"), 16)
+        return self.scratch.save(found.join(widths, "item").filter("length >= width").select("item", "doc_key", "shift", "place", "length", "width"), "runs")
 
     def phrase_matches(self) -> DataFrame:
-        """item, start, doc_key, pos: every occurrence of every window, exact.
-
-        Postings move back by the anchor's place in its item; postings of one item that fall on the same place of a text
-        meet in one group, at most as large as the item, and a window stays where all its anchors are present.
-        """
-        places = (
-            self.chosen.select("item", "start", F.explode("chosen").alias("c"))
-            .select("item", (F.col("start") + F.col("c.at")).alias("place"), F.col("c.term").alias("term"))
-            .distinct()
-        )
-        met = (
-            self.postings.join(broadcast_if_small(places, 96, self.limit), "term")
-            .select("item", "doc_key", (F.col("pos") - F.col("place")).alias("shift"), "place")
-            .groupBy("item", "doc_key", "shift")
-            .agg(F.collect_set("place").alias("places"))
-        )
-        needed = self.chosen.groupBy("item").agg(
-            F.collect_list(F.struct("start", F.transform("chosen", lambda c: F.col("start") + c["at"]).alias("need"))).alias("windows")
-        )
-        complete = (
-            met.filter(F.size("places") >= 1)
-            .join(broadcast_if_small(needed, 65536, self.limit), "item")
-            .select("item", "doc_key", "shift", F.filter("windows", lambda w: F.size(F.array_except(w["need"], F.col("places"))) == 0).alias("windows"))
-            .filter(F.size("windows") > 0)
-            .select("item", "doc_key", F.explode("windows").alias("w"), "shift")
-            .select("item", "doc_key", F.col("w.start").alias("start"), (F.col("w.start") + F.col("shift")).alias("pos"))
-            .filter("pos >= 0")
-        )
-        complete = self.scratch.save(complete, "complete")
-        # each text with candidates is split once and compared with the phrases
-        phrases = complete.join(broadcast_if_small(self.windows, 256, self.limit), ["item", "start"])
-        per_text = phrases.groupBy("doc_key").agg(F.collect_list(F.struct("item", "start", "pos", "phrase")).alias("candidates"))
-        keys = complete.select("doc_key").distinct()
-        texts = self.rows.join(broadcast_if_small(keys, 64, self.limit), "doc_key", "left_semi").groupBy("doc_key").agg(F.first("text").alias("text"))
-        held = per_text.join(texts, "doc_key").select("doc_key", words_of(F.col("text")).alias("words"), "candidates")
-        true = F.filter("candidates", lambda c: F.slice("words", c["pos"] + 1, F.size(c["phrase"])) == c["phrase"])
-        found = held.select("doc_key", F.explode(true).alias("c"))
-        return self.scratch.save(found.select("doc_key", "c.item", "c.start", "c.pos", F.size("c.phrase").cast("long").alias("length")), "matches")
+        """item, start, doc_key, pos, length: every occurrence of every window, exact."""
+        starts = F.sequence(F.col("place"), (F.col("place") + F.col("length") - F.col("width")).cast("int"))
+        each = self.runs().select("item", "doc_key", "shift", F.explode(starts).alias("start"), F.col("width").cast("long").alias("length"))
+        return each.select("item", "start", "doc_key", (F.col("start") + F.col("shift")).alias("pos"), "length")
 
     def proximity_matches(self, slop: int = 20) -> DataFrame:
-        """item, start, doc_key, first, last: windows all of whose anchors occur within ``slop`` words, in any order.
+        """item, start, doc_key, first, last: windows all of whose words occur within ``slop`` words of a text, in any order.
 
-        Postings fall into bins of ``slop`` words, and each also into the bin before, so no span is cut; the anchors of a
-        window in two bins are few, and a span is found from the latest posting before each one.
+        The index proposes stretches that hold a window's rarest terms; there all of its words are looked for.
         """
-        wanted = self.chosen.select("item", "start", F.explode(F.array_distinct(F.transform("chosen", lambda c: c["term"]))).alias("term"))
-        sizes = self.chosen.select("item", "start", F.size(F.array_distinct(F.transform("chosen", lambda c: c["term"]))).alias("n_terms"))
-        spots = self.postings.withColumn("bin", F.explode(F.array(F.floor(F.col("pos") / slop), F.floor(F.col("pos") / slop) - 1)))
+        rarest = self.chosen.select("item", "start", F.explode("chosen.term").alias("term")).distinct()
+        proposed = self._near(self.postings, rarest, slop).select("item", "start", "doc_key").distinct()
+        proposed = self.scratch.save(proposed, "proposed")
+        live = self.chosen.select("item", "start").join(self.items.select("item", "width"), "item")
+        all_words = live.join(self.places, "item").filter("place >= start AND place < start + width").select("item", "start", "term").distinct()
+        found = self._near(self._tokens(proposed.select("doc_key")), all_words, slop)
+        return found.join(proposed, ["item", "start", "doc_key"], "left_semi")
+
+    def _near(self, spots: DataFrame, wanted: DataFrame, slop: int) -> DataFrame:
+        """Spans of at most ``slop`` words that hold all wanted terms of a window.
+
+        Spots fall into bins of ``slop`` words, and each also into the bin before, so no span is cut and a bin stays small.
+        """
+        sizes = wanted.groupBy("item", "start").agg(F.count("*").alias("n_terms"))
+        binned = spots.withColumn("bin", F.explode(F.array(F.floor(F.col("pos") / slop), F.floor(F.col("pos") / slop) - 1)))
         grouped = (
-            spots.join(broadcast_if_small(wanted, 96, self.limit), "term")
+            binned.join(self._small(wanted, 32), "term")
             .groupBy("item", "start", "doc_key", "bin")
             .agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("spots"))
-            .join(broadcast_if_small(sizes, 32, self.limit), ["item", "start"])
+            .join(self._small(sizes, 32), ["item", "start"])
         )
         span = F.transform(
             "spots",
@@ -146,22 +146,15 @@ class BenchmarkIndex:
 
     def report(self) -> DataFrame:
         """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-        matches = self.phrase_matches()
-        spans = F.array_sort(F.collect_set(F.struct(F.col("pos").cast("long").alias("lo"), (F.col("pos") + F.col("length")).alias("hi"))))
+        begin = (F.col("place") + F.col("shift")).cast("long")
+        spans = self.runs().select("item", "doc_key", begin.alias("lo"), (begin + F.col("length")).alias("hi"))
         # lengths of a union of spans, in order of their beginnings
-        union = F.aggregate(
-            "spans",
-            F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("end")),
-            lambda acc, s: F.struct(
-                (acc["sum"] + F.greatest(F.lit(0).cast("long"), s["hi"] - F.greatest(s["lo"], acc["end"]))).alias("sum"),
-                F.greatest(acc["end"], s["hi"]).alias("end"),
-            ),
-            lambda acc: acc["sum"],
-        )
-        named = matches.join(broadcast_if_small(self.items.select("item", "item_id"), 64, self.limit), "item")
-        per_key = named.groupBy("doc_key").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-        per_key = per_key.select("doc_key", union.alias("n_hit"), "item_ids")
-        out = with_null_safe(self.documents, per_key, ["doc_key"], "left")
+        before = Window.partitionBy("doc_key").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("past", F.coalesce(F.max("hi").over(before), F.lit(0).cast("long")))
+        fresh = F.greatest(F.lit(0).cast("long"), F.col("hi") - F.greatest("lo", "past"))
+        named = spans.join(self._small(self.items.select("item", "item_id"), 16), "item")
+        per_key = named.groupBy("doc_key").agg(F.sum(fresh).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+        out = self.documents.join(self._small(self.scratch.save(per_key, "hits"), 32), "doc_key", "left")
         ids = F.coalesce("item_ids", F.array().cast("array<string>"))
         n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
         return out.select(
@@ -176,8 +169,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     A word is hit if it lies inside an occurrence of a benchmark window; ``n_items`` counts items with such a window, and
     ``items_sha256`` is the digest of their ids, sorted as strings and comma-joined.
 
-    Defined cases: null texts and items have no words; items without words are never found, nor are null ids lost. Repeated
-    rows each have the result of their text; repeated items count once by id. Further columns are ignored; empty tables
-    give an empty or a clean result.
+    Defined cases: null texts and items have no words; items without words are never found. An item without an id hits words
+    but is not counted or named. Repeated rows each have the result of their text; repeated items count once by id. Null ids
+    of documents stay null. Further columns are ignored; empty tables give an empty or a clean result.
     """
     return BenchmarkIndex(docs, benchmark, **options).report()

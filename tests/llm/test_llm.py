@@ -145,6 +145,18 @@ def test_contamination(spark, limit):
     assert {d: tuple(r)[1:] for d, r in got.items()} == brute.contamination(docs, items)
 
 
+def test_contamination_of_very_long_texts_and_shared_passages(spark):
+    rng, passage = random.Random(6), sentence(random.Random(1), 40)
+    items = [(1, passage), (2, sentence(rng, 12) + " " + passage), (3, "aa " * 25), (None, sentence(rng, 11))]
+    docs = [(i, f"{sentence(rng, 5)} {passage} {passage} {items[-1][1]}") for i in range(30)]
+    docs += [(50, " ".join([sentence(rng, 20_000), passage, sentence(rng, 20_000), items[1][1]])), (51, "aa " * 30_000)]
+    got = by_id(decontaminate.contamination(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")))
+    wanted = brute.contamination(docs, items[:3])
+    hit = brute.contamination(docs, items)
+    assert {d: (r["n_words"], r["n_hit"], r["contaminated"]) for d, r in got.items()} == {d: (r[0], r[1], r[4]) for d, r in hit.items()}
+    assert {d: (r["n_items"], r["items_sha256"]) for d, r in got.items()} == {d: r[2:4] for d, r in wanted.items()}
+
+
 def test_contamination_edges_and_proximity(spark):
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     docs = table(spark, [(None, "red green blue"), (1, "red green blue"), (1, "red green blue"), (2, "blue x red y green"), (3, "red " + "x " * 50 + "green blue")])
@@ -152,6 +164,7 @@ def test_contamination_edges_and_proximity(spark):
     assert sorted(((r["doc_id"], r["n_hit"]) for r in index.report().collect()), key=repr) == [(1, 3), (1, 3), (2, 0), (3, 0), (None, 3)]
     near = {(r["first"], r["last"]) for r in index.proximity_matches(slop=10).collect()}
     assert near == {(0, 2), (0, 4)}
+    assert {(r["pos"], r["length"]) for r in index.phrase_matches().collect()} == {(0, 3)}
     assert decontaminate.contamination(table(spark, []), items).count() == 0
     assert not decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count()
 
