@@ -83,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
     return {
@@ -91,6 +94,26 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w keep_id, count(*) OVER w group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER w kept, sha256(norm) text_sha256
             FROM n WINDOW w AS (PARTITION BY norm)""",
+        "op4_decontamination": f"""
+            WITH d AS (SELECT doc_id, {_WORDS.format("text")} w FROM documents),
+            i AS (SELECT item_id::VARCHAR item_id, {_WORDS.format("text")} w FROM benchmark),
+            win AS (SELECT DISTINCT item_id, least(len(w), 10) width, unnest(list_transform(range(0, len(w) - least(len(w), 10) + 1), lambda s: array_to_string(w[s + 1 : s + least(len(w), 10)], ' '))) phrase FROM i WHERE len(w) > 0),
+            spot AS (SELECT doc_id, width, unnest(range(0, len(w) - width + 1)) spot_at, w FROM d, (SELECT DISTINCT width FROM win) WHERE len(w) >= width),
+            occ AS (SELECT DISTINCT doc_id, spot_at, s.width, item_id FROM (SELECT doc_id, spot_at, width, array_to_string(w[spot_at + 1 : spot_at + width], ' ') phrase FROM spot) s JOIN win USING (width, phrase)),
+            hit AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(spot_at, spot_at + width)) p FROM occ) GROUP BY doc_id),
+            ids AS (SELECT doc_id, count(DISTINCT item_id) n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) names FROM occ GROUP BY doc_id)
+            SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+            FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+        "op5_minhash": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') w FROM documents),
+            e AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k : k + 2], ' '))) END sh FROM d),
+            s AS (SELECT doc_id, len(sh) n, unnest(sh) x FROM e),
+            k AS (SELECT a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+            links AS (SELECT a, b FROM k WHERE 100 * shared >= 85 * (na + nb - shared) UNION SELECT b, a FROM k WHERE 100 * shared >= 85 * (na + nb - shared)),
+            reach(node, comp) AS (SELECT doc_id, doc_id FROM e UNION SELECT l.b, r.comp FROM reach r JOIN links l ON l.a = r.node WHERE r.comp < l.b),
+            c AS (SELECT node, min(comp) comp FROM reach GROUP BY node)
+            SELECT doc_id, len(sh)::BIGINT n_shingles, comp component_id, doc_id = comp kept FROM e JOIN c ON node = doc_id""",
         "op6_license_scan": license_sql(),
         "op9_url_filter": f"""
             WITH rules(verdict, r_host, r_path) AS (VALUES {rules}),
