@@ -2,14 +2,15 @@
 
 A word is the average of the vectors of itself and its character n-grams, a window the average of its words, and a
 two-class softmax over the window gives its logit. As all of that is linear, a subword counts with one number once the
-model is trained: its vector times the difference of the two class vectors. A document is as toxic as its worst window,
-so a few words do not vanish in a long text.
+model is trained: its vector times the difference of the two class vectors. A document is as toxic as its worst window:
+averaged over a whole text instead, a few words vanish in a long one (README has the figures of both).
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,7 +92,7 @@ class SubwordBag:
             return 0.0
         sums = np.concatenate([[0.0], np.cumsum(values)])
         width = min(self.window, n)
-        return float((sums[width:] - sums[:-width]).max() / self.window)
+        return float((sums[width:] - sums[:-width]).max() / width)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
@@ -108,62 +109,103 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01)
     return a, b
 
 
-def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int], *, buckets: int = 1 << 17, dim: int = 8, rounds: int = 90, seed: int = 7) -> SubwordBag:
+def _words_of(texts: list[str], order: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the words of all texts in the given order as numbers in one array, and how many each text has."""
+    number: dict[str, int] = {}
+    flat, sizes = array("i"), np.zeros(len(order), np.int64)
+    for at, i in enumerate(order):
+        before = len(flat)
+        flat.extend(number.setdefault(w, len(number)) for w in WORD.findall(texts[i].lower()))
+        sizes[at] = len(flat) - before
+    return [*number], np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), sizes
+
+
+def _subword_table(words: list[str], bits: int, lengths: range, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words, word by word, and where each word's begin; numbered in steps to keep what is held small."""
+    parts, counts = [], []
+    for s in range(0, len(words), step):
+        bucket, owner = subwords(words[s : s + step], bits, lengths)
+        order = np.argsort(owner, kind="stable")
+        parts.append(bucket[order].astype(np.int32))
+        counts.append(np.bincount(owner, minlength=len(words[s : s + step])))
+    sizes = np.concatenate(counts)
+    return np.concatenate(parts), np.cumsum(sizes) - sizes
+
+
+def _spread(buckets: np.ndarray, begin: np.ndarray, value: np.ndarray, size: int, step: int = 50_000) -> np.ndarray:
+    """Sum over each bucket of the values of the words that have it."""
+    out, end = np.zeros(size), np.append(begin[1:], len(buckets))
+    for s in range(0, len(begin), step):
+        part = slice(begin[s], end[min(s + step, len(begin)) - 1])
+        out += np.bincount(buckets[part], weights=np.repeat(value[s : s + step], (end - begin)[s : s + step]), minlength=size)
+    return out
+
+
+def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int], *, buckets: int = 1 << 17, dim: int = 8, rounds: int = 250, min_texts: int = 3, doubted: float = 0.05, seed: int = 7) -> SubwordBag:
     """Vectors and softmax trained together by Adam on whole texts.
 
     For the first third of the rounds each window has its document's label. Then a toxic document teaches by its worst
-    window alone, while clean ones teach by all. A fifth of the texts is kept to turn worst windows into probabilities
-    at the classes' true shares. Without texts of both classes the score is the share of label 1, or 0 without labels.
+    window alone, while clean ones teach by all; of the toxic documents the share ``doubted`` whose worst windows are the
+    least toxic teach nothing, as labels may be wrong. Subwords of fewer than ``min_texts`` texts stay neutral. A fifth of
+    the texts is kept to turn worst windows into probabilities at the classes' true shares. Without texts of both classes
+    the score is the share of label 1, or 0 without labels.
     """
     y = np.array(labels)
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
+    neutral = SubwordBag(np.zeros(1, np.float32), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     if len(set(labels)) < 2:
-        return SubwordBag(np.zeros(1, np.float32), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        return neutral
     model = SubwordBag(np.zeros(buckets, np.float32), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held].tolist())) < 2:
         held[:] = False
-    number: dict[str, int] = {}
-    words = [np.array([number.setdefault(w, len(number)) for w in WORD.findall(t.lower())], int) for t in texts]
-    flat, of_word = subwords([*number], model.bits, model.lengths)
-    sizes = np.maximum(np.bincount(of_word, minlength=len(number)), 1)
-
-    windows, owner = [], []
-    for i, w in enumerate(words):
-        if not held[i]:
-            parts = [w[s : s + model.window] for s in range(0, len(w), model.window)]
-            windows += parts
-            owner += [i] * len(parts)
-    if not windows:
-        return SubwordBag(np.zeros(1, np.float32), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    owner = np.array(owner)
-    lens = np.array([len(w) for w in windows])
-    index = np.concatenate(windows)
-    at = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    target = y[owner].astype(float)
+    order = np.argsort(held, kind="stable")  # texts to learn from come first
+    y, n_fit = y[order], int((~held).sum())
+    words, index, sizes = _words_of(texts, order)
+    begin = np.cumsum(sizes) - sizes
+    n_windows = -(-sizes[:n_fit] // model.window)
+    if not n_windows.sum():
+        return neutral
+    flat, word_at = _subword_table(words, model.bits, model.lengths)
+    spread = np.diff(np.append(word_at, len(flat)))
+    fit = index[: sizes[:n_fit].sum()]
+    owner = np.repeat(np.arange(n_fit), n_windows)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    at = begin[owner] + model.window * nth
+    lens = np.minimum(model.window, begin[owner] + sizes[owner] - at)
+    target = y[owner].astype(np.float32)
     doc_at = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1])
-    doc_rows = np.diff(np.append(doc_at, len(owner)))
+    doc_rows, doc_y = np.diff(np.append(doc_at, len(owner))), target[doc_at]
+
+    known = np.zeros(buckets, np.int32)  # texts that have a subword
+    for i in range(n_fit):
+        own = np.unique(index[begin[i] : begin[i] + sizes[i]])
+        if len(own):
+            known[np.unique(np.concatenate([flat[word_at[w] : word_at[w] + spread[w]] for w in own]))] += 1
+    taught = (known >= min_texts)[:, None].astype(np.float32)
 
-    vectors, u, bias = rng.normal(0, 0.1, (buckets, dim)), rng.normal(0, 1.0, dim), 0.0
+    vectors, u, bias = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32) * taught, rng.normal(0, 1.0, dim), 0.0
     rates, floor = (0.05, 0.05, 0.05), 0.05
     moments = [np.zeros_like(vectors), np.zeros_like(vectors), np.zeros(dim), np.zeros(dim), 0.0, 0.0]
     for t in range(1, rounds + 1):
-        q = (vectors * u).sum(axis=1)
-        word = np.bincount(of_word, weights=q[flat], minlength=len(number)) / sizes
-        logit = np.add.reduceat(word[index], at) / model.window + bias
+        q = (vectors * u.astype(np.float32)).sum(axis=1)
+        word = np.add.reduceat(q[flat], word_at) / spread
+        logit = np.add.reduceat(word[fit], at) / lens + bias
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         weight = np.ones(len(owner))
         if t > rounds // 3:
-            top = np.repeat(np.maximum.reduceat(logit, doc_at), doc_rows)
+            worst = np.maximum.reduceat(logit, doc_at)
+            least = np.quantile(worst[doc_y == 1], doubted)
+            top = np.repeat(np.where((doc_y == 1) & (worst < least), np.inf, worst), doc_rows)
             weight[(target == 1) & (logit < top)] = 0.0
         for label in (0, 1):
             weight[target == label] /= max(weight[target == label].sum(), 1e-9) * 2
         dz = weight * (p - target)
-        dword = np.bincount(index, weights=np.repeat(dz / model.window, lens), minlength=len(number)) / sizes
-        db = np.bincount(flat, weights=dword[of_word], minlength=buckets)
-        grads = (db[:, None] * u + 1e-8 * vectors, (db[:, None] * vectors).sum(axis=0) + 1e-6 * u, dz.sum())
+        dword = np.bincount(fit, weights=np.repeat(dz / lens, lens), minlength=len(words)) / spread
+        db = _spread(flat, word_at, dword, buckets).astype(np.float32)
+        grads = ((db[:, None] * u.astype(np.float32) + np.float32(1e-8) * vectors) * taught, (db[:, None] * vectors).sum(axis=0) + 1e-6 * u, dz.sum())
         new = []
         for k, (value, grad) in enumerate(zip((vectors, u, bias), grads, strict=True)):
             m = moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * grad
@@ -174,9 +216,9 @@ def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int
         vectors, u, bias = new
 
     model.weight = (vectors * u).sum(axis=1).astype(np.float32)
-    q = model.word_logits([*number])
-    worst = np.array([model.worst(q[w]) for w in words])
-    on = held if held.any() else np.ones(len(y), bool)
+    q = np.add.reduceat(model.weight[flat], word_at) / spread
+    worst = np.array([model.worst(q[index[b : b + n]]) for b, n in zip(begin, sizes, strict=True)])
+    on = np.arange(len(y)) >= n_fit if held.any() else np.ones(len(y), bool)
     of_class = {c: max((y[on] == c).sum(), 1) for c in (0, 1)}
     weights = np.array([(share if c else 1 - share) / of_class[c] for c in y[on]]) * on.sum()
     model.scale, model.shift = _logistic(worst[on], y[on].astype(float), weights)
@@ -208,7 +250,9 @@ def score_toxicity(
     texts, y, counts = labelled_sample(
         docs, labels, label_col, modulus=modulus, held_out=held_out, per_class=per_class, max_bytes=max_bytes, id_col=id_col, text_col=text_col
     )
-    model = spark.sparkContext.broadcast(train_subword_bag(texts, y, counts))  # one number a bucket
+    trained = train_subword_bag(texts, y, counts)
+    del texts
+    model = spark.sparkContext.broadcast(trained)  # one number a bucket
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = model.value.scorer()

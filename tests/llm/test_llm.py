@@ -234,7 +234,7 @@ def test_worst_window_starts_at_every_word():
     for before in range(9):
         values = np.array([0.0] * before + [5.0, 0.0, 0.0, 5.0] + [0.0] * 9)
         assert model.worst(values) == 10 / model.window
-    assert model.worst(np.array([5.0])) == 5 / model.window and model.worst(np.array([])) == 0.0
+    assert model.worst(np.array([5.0])) == 5.0 and model.worst(np.array([])) == 0.0
 
 
 def test_quality_sees_the_whole_text(spark):
