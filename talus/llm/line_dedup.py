@@ -117,9 +117,10 @@ def delete_repeated_lines(
     that overlaps the first place deletes all that comes after that place's first copy begins to repeat.
 
     Defined cases: a null text stays null and an empty one empty. A text equal to one with a smaller id loses all lines, if
-    they have ``min_words`` words together; rows with the same id and text are one document. Null ids come last. Where
-    lines are deleted, the text is what remains of its non-blank lines; other texts are untouched, to the byte. Columns of
-    other names pass through; the three added ones replace columns of their names. An empty table gives an empty result.
+    they have ``min_words`` words together; rows with the same id and text are one document. Null ids come last. Only the
+    lines of deleted runs go, with the blank lines between them; what stays is untouched, to the byte. Spans count lines that
+    are not blank. Columns of other names pass through; the three added ones replace columns of their names. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -130,15 +131,19 @@ def delete_repeated_lines(
     found = keyed.join(broadcast_if_small(runs.select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), 96, broadcast_limit), "__key", "left")
     seen = broadcast_if_small(copies.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__seen")), 48, broadcast_limit)
     found = found.join(seen, (F.col("__key") == F.col("__seen")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    found = found.withColumn("__lines", F.coalesce(content_lines(F.col(text_col)), F.array().cast("array<string>")))
-    words = F.aggregate("__lines", F.lit(0), lambda n, line: n + F.size(F.split(line, "[ \t\r\x0b\x0c]+")))
+    found = found.withColumn("__raw", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    bare = lambda i: F.trim(F.get("__raw", i), F.lit(BLANKS))
+    found = found.withColumn("__at", F.filter(F.sequence(F.lit(0), F.size("__raw") - 1), lambda i: bare(i) != ""))  # where lines that are not blank stand
+    words = F.aggregate("__at", F.lit(0), lambda n, i: n + F.size(F.split(bare(i), "[ \t\r\x0b\x0c]+")))
     whole = F.col("__seen").isNotNull() & (words >= min_words)
-    everything = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.size("__lines").cast("long").alias("end")))
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.size("__at").cast("long").alias("end")))
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     found = found.withColumn("__spans", F.when(whole, everything).otherwise(F.coalesce("__spans", none)))
-    kept = F.filter("__lines", lambda line, i: ~F.exists("__spans", lambda s: (i >= s["begin"]) & (i < s["end"])))
-    found = found.withColumn("__n_removed", F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]))
-    found = found.withColumn("__n_lines", F.size("__lines").cast("long"))
+    # blank lines between lines of one deleted run go with them
+    gone = F.transform("__spans", lambda s: F.struct(F.get("__at", s["begin"].cast("int")).alias("lo"), F.get("__at", (s["end"] - 1).cast("int")).alias("hi")))
+    kept = F.filter("__raw", lambda line, i: ~F.exists("__gone", lambda g: (i >= g["lo"]) & (i <= g["hi"])))
+    found = found.withColumn("__gone", gone).withColumn("__n_removed", F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]))
+    found = found.withColumn("__n_lines", F.size("__at").cast("long"))
     text = F.when(F.col("__n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     return found.withColumn(text_col, text).select(*[c for c in docs.columns if c not in ("__n_lines", "__n_removed", "__spans")], "__n_lines", "__n_removed", "__spans")
 

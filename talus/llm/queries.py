@@ -89,6 +89,22 @@ _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)
     return {
+        "op2_line_dedup": r"""
+            WITH r AS (SELECT doc_id, i, ls[i] line, trim(ls[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) t
+                       FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) ls FROM documents))),
+            c AS (SELECT doc_id, i, t, row_number() OVER w pos, len(string_split_regex(t, '[ \t\r\x0b\x0c]+')) n, sum(len(string_split_regex(t, '[ \t\r\x0b\x0c]+'))) OVER w upto
+                  FROM r WHERE t <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+            p AS (SELECT a.doc_id, a.pos b, z.pos e FROM c a JOIN c z ON a.doc_id = z.doc_id AND z.pos BETWEEN a.pos AND a.pos + 50 AND z.upto - a.upto + a.n >= 50),
+            runs AS (SELECT doc_id, b, min(e) e FROM p GROUP BY doc_id, b UNION SELECT doc_id, max(b), e FROM p GROUP BY doc_id, e),
+            k AS (SELECT x.doc_id, b, e, string_agg(t, chr(10) ORDER BY pos) run FROM runs x JOIN c ON c.doc_id = x.doc_id AND pos BETWEEN b AND e GROUP BY ALL),
+            f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, b) nth FROM k),
+            g AS (SELECT DISTINCT doc_id, unnest(range(b, e + 1)) pos FROM f WHERE nth > 1),
+            h AS (SELECT c.doc_id, c.i, lead(c.pos) OVER w = c.pos + 1 AND lead(c.i) OVER w IS NOT NULL joined, lead(c.i) OVER w upto FROM g JOIN c USING (doc_id, pos) WINDOW w AS (PARTITION BY c.doc_id ORDER BY c.pos)),
+            gone AS (SELECT doc_id, unnest(range(i, CASE WHEN joined THEN upto ELSE i + 1 END)) i FROM h),
+            kept AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i), '') text FROM r ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+            SELECT doc_id, (SELECT count(*) FROM c WHERE c.doc_id = d.doc_id) n_lines, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id) n_removed,
+                   length(coalesce(kept.text, ''))::BIGINT n_chars, sha256(coalesce(kept.text, '')) text_sha256
+            FROM documents d LEFT JOIN kept USING (doc_id)""",
         "op3_exact_dedup": f"""
             WITH n AS (SELECT doc_id, {_LOWER.format("text")} norm FROM documents)
             SELECT doc_id, max(doc_id) OVER w keep_id, count(*) OVER w group_size,

@@ -61,11 +61,14 @@ def line_dedup(docs, min_words):
     """Text after deletion of every run of lines that has occurred before; runs of any length are compared."""
     seen, out = {}, {}
     for d, text in sorted(docs, key=lambda r: (r[0] is None, r[0])):
-        lines = [x for x in (line.strip(BLANKS) for line in (text or "").split("\n")) if x]
+        raw = (text or "").split("\n")
+        at = [k for k, line in enumerate(raw) if line.strip(BLANKS)]
+        lines = [raw[k].strip(BLANKS) for k in at]
         gone = set()
         for i in range(len(lines)):
             for j in range(i + 1, len(lines) + 1):
                 if sum(len(re.split("[ \t\r\x0b\x0c]+", x)) for x in lines[i:j]) >= min_words and seen.setdefault(tuple(lines[i:j]), (d, i)) != (d, i):
                     gone.update(range(i, j))
-        out[d] = (len(lines), len(gone), "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
+        dropped = {at[i] for i in gone} | {k for i in gone if i + 1 in gone for k in range(at[i], at[i + 1])}
+        out[d] = (len(lines), len(gone), "\n".join(x for k, x in enumerate(raw) if k not in dropped) if gone else text)
     return out
