@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import BROADCAST_LIMIT, ascii_lower, with_null_safe
+from talus.llm.common import BROADCAST_LIMIT, Scratch, ascii_lower, broadcast_if_small
 
 # Public licence texts and the usual one-sentence notices.
 _WARRANTY = (
@@ -189,24 +189,28 @@ def scan_licenses(
     ``n_notice_lines`` counts those lines. The digests of known texts are broadcast only where their count, 100 bytes
     each, is within ``broadcast_limit``.
 
-    Defined cases: a null text counts as empty; a canonically empty text or line matches nothing. Rows with the same id
-    and text are one document; rows with the same id and other texts have a row each, and share the notices found under
-    that id. Further columns are ignored.
+    Defined cases: a null text counts as empty; a canonically empty text or line matches nothing. Every input row has a row of
+    its own, repeated ids and repeated rows too, with what its own text holds; null ids stay null. Further columns are
+    ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     known = license_table(spark, [*licenses, *notices])
     if 100 * (len(licenses) + len(notices)) <= broadcast_limit:
         known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    whole = rows.select("doc_id", canonical_digest(F.col("text")).alias("canonical_sha256")).distinct()
+    # equal texts hold equal notices, so a text's digest stands for it
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("key"))
+    whole = rows.select("doc_id", "key", canonical_digest(F.col("text")).alias("canonical_sha256"))
     found = whole.join(known, F.col("canonical_sha256") == F.col("digest"), "left").drop("digest")
-    lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", canonical_digest(F.col("line")).alias("d"))
+    lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("key", "pos", canonical_digest(F.col("line")).alias("d"))
     hits = (
         lines.join(known, F.col("d") == F.col("digest"))
-        .groupBy("doc_id")
+        .select("key", "pos", "license_id")
+        .distinct()
+        .groupBy("key")
         .agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notice_lines"))
     )
-    return with_null_safe(found, hits, ["doc_id"], "left").select(
+    hits = Scratch(spark, "licenses").save(hits, "hits")
+    return found.join(broadcast_if_small(hits, 32, broadcast_limit), "key", "left").select(
         "doc_id", "canonical_sha256", "license_id", "notices", F.coalesce("n_notice_lines", F.lit(0).cast("long")).alias("n_notice_lines")
     )
 
@@ -227,11 +231,11 @@ def license_sql(docs: str = "documents") -> str:
     return f"""
     WITH given(license_id, text) AS (VALUES {values}),
     known AS (SELECT sha256({canon("text")}) digest, min(license_id) license_id FROM given GROUP BY 1),
-    whole AS (SELECT DISTINCT doc_id, sha256({canon("text")}) canonical_sha256 FROM {docs}),
-    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) line FROM {docs}),
-    hits AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) notices, count(*) n_notice_lines
-             FROM (SELECT doc_id, sha256({canon("line")}) d FROM lines) JOIN known ON d = digest AND digest <> sha256('') GROUP BY doc_id)
+    whole AS (SELECT doc_id, coalesce(text, '') body, sha256({canon("text")}) canonical_sha256 FROM {docs}),
+    lines AS (SELECT text body, unnest(string_split(text, chr(10))) line FROM (SELECT DISTINCT text FROM {docs})),
+    hits AS (SELECT body, string_agg(DISTINCT license_id, ',' ORDER BY license_id) notices, count(*) n_notice_lines
+             FROM (SELECT body, sha256({canon("line")}) d FROM lines) JOIN known ON d = digest AND digest <> sha256('') GROUP BY body)
     SELECT w.doc_id, canonical_sha256, license_id, notices, coalesce(n_notice_lines, 0)::BIGINT n_notice_lines
     FROM whole w LEFT JOIN known k ON w.canonical_sha256 = k.digest AND k.digest <> sha256('')
-    LEFT JOIN hits h ON h.doc_id IS NOT DISTINCT FROM w.doc_id
+    LEFT JOIN hits h ON h.body = w.body
     """
