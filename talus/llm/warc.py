@@ -13,7 +13,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from talus.llm.common import BROADCAST_LIMIT, Scratch, broadcast_if_small
 
-#: Records a file, and bytes of payload that an emitted batch holds.
+#: Records a file at most, bytes that a file's records may have, and bytes of payload that an emitted batch holds.
 ARCHIVE_RECORDS = 2000
+ARCHIVE_BYTES = 512 << 20
 BATCH_BYTES = 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Fields of an ARC header line after the url, by version of the file.
@@ -128,9 +129,9 @@ def read_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, f.read(int(head.get("content-length", 0)))
 
 
-def page_of(block: bytes, end: int) -> int | None:
-    found = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", block[:end])
-    return int(found[1]) if found else None
+def page_of(block: bytes, end: int) -> str | None:
+    found = re.search(rb"\r\nX-Page-Id: ([^\r\n]*)\r\n", block[:end])
+    return unquote(found[1].decode()) if found else None
 
 
 def in_batches(rows: Iterator[tuple], columns: dict[str, str], cost: Callable[[tuple], int]) -> Iterator[pd.DataFrame]:
@@ -149,11 +150,11 @@ def in_batches(rows: Iterator[tuple], columns: dict[str, str], cost: Callable[[t
         yield frame()
 
 
-def write_records(records: DataFrame, path: str, line_end: str) -> None:
+def write_records(records: DataFrame, path: str, line_end: str, per_file: int) -> None:
     """Writes the binary column ``record``; a cast to string keeps its bytes."""
     (records.select(F.col("record").cast("string").alias("value"))
      .write.mode("overwrite").option("lineSep", line_end).option("compression", "gzip")
-     .option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path))
+     .option("maxRecordsPerFile", per_file).text(path))
 
 
 def read_archives(spark: SparkSession, path: str, rows: Callable[[str, bytes], Iterator[tuple]], columns: dict[str, str], schema: str, cost: Callable[[tuple], int]) -> DataFrame:
@@ -165,7 +166,13 @@ def read_archives(spark: SparkSession, path: str, rows: Callable[[str, bytes], I
     return files.mapInPandas(parse, schema)
 
 
-def write_arc(pages: DataFrame, path: str, *, version: int = 1, date: str = "19700101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def records_a_file(pages: DataFrame, html_col: str = "html") -> int:
+    """So many records that even of the largest pages a file holds ``ARCHIVE_BYTES`` or one record, as readers take whole files."""
+    largest = pages.agg(F.max(F.octet_length(html_col))).first()[0] or 0
+    return max(1, min(ARCHIVE_RECORDS, ARCHIVE_BYTES // (largest + 4096)))
+
+
+def write_arc(pages: DataFrame, path: str, *, per_file: int = ARCHIVE_RECORDS, version: int = 1, date: str = "19700101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes pages as gzipped ARC files. The page id travels in an HTTP header; a null html is an empty entity."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,21 +181,21 @@ def write_arc(pages: DataFrame, path: str, *, version: int = 1, date: str = "197
             out = []
             for page_id, url, html in zip(batch["id"], batch["url"], batch["html"], strict=True):
                 body = (html or "").encode()
-                known = f"X-Page-Id: {page_id}\r\n" if page_id is not None else ""
+                known = f"X-Page-Id: {quote(page_id, safe='')}\r\n" if page_id is not None else ""
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n{known}\r\n".encode() + body
                 target = quote(url or "about:blank", safe="%/:=&?~#+!$,;'@()*[]")
                 out.append(arc_header(version, target, "0.0.0.0", date, "text/html", len(block)) + block)
             yield pd.DataFrame({"record": out})
 
     source = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    write_records(source.mapInPandas(build, "record binary"), path, "\n")
+    write_records(source.mapInPandas(build, "record binary"), path, "\n", per_file)
 
 
-def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, scratch: Scratch, *, revisit_bytes: int = 100, broadcast_limit: int = BROADCAST_LIMIT) -> None:
+def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, scratch: Scratch, *, id_type: str = "long", per_file: int = ARCHIVE_RECORDS, revisit_bytes: int = 100, broadcast_limit: int = BROADCAST_LIMIT) -> None:
     """Converts a folder of ARC files to WARC files.
 
-    Of responses with equal payloads of at least ``revisit_bytes``, the one with the smallest page id (null last, then
-    by record id) stays a response; the others become revisits that keep only their HTTP header.
+    Of responses with equal payloads of at least ``revisit_bytes``, the one with the smallest page id (as ``id_type``; null
+    last, then by record id) stays a response; the others become revisits that keep only their HTTP header.
     """
 
     def facts(archive: str, content: bytes) -> Iterator[tuple]:
@@ -199,10 +206,10 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, scratch: Scr
                     yield r.record_id(archive), page_of(r.block, r.payload_start), hashlib.sha256(payload).digest()
 
     seen = scratch.save(
-        read_archives(spark, arc_path, facts, {"record_id": "str", "page_id": "Int64", "digest": "bytes"}, "record_id string, page_id long, digest binary", lambda r: 100),
+        read_archives(spark, arc_path, facts, {"record_id": "str", "page_id": "str", "digest": "bytes"}, "record_id string, page_id string, digest binary", lambda r: 100),
         "seen",
     )
-    order = F.struct(F.col("page_id").isNull(), "page_id", "record_id")
+    order = F.struct(F.col("page_id").isNull(), F.col("page_id").try_cast(id_type), "page_id", "record_id")
     first = seen.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", F.col("first.record_id").alias("refers_to"))
     first = scratch.save(first, "first")
     later = scratch.save(
@@ -239,7 +246,7 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, scratch: Scr
             yield pd.DataFrame({"record": out})
 
     ordered = ["record_id", "kind", "date", "url", "ip", "content_type", "truncated", "payload_start", "block", "refers_to"]
-    write_records(records.select(*ordered).mapInPandas(build, "record binary"), warc_path, "\r\n\r\n")
+    write_records(records.select(*ordered).mapInPandas(build, "record binary"), warc_path, "\r\n\r\n", per_file)
 
 
 def read_warc_pages(spark: SparkSession, warc_path: str, scratch: Scratch) -> DataFrame:
@@ -258,8 +265,8 @@ def read_warc_pages(spark: SparkSession, warc_path: str, scratch: Scratch) -> Da
                 digest = hashlib.sha256(memoryview(block)[end:]).hexdigest() if own else head["warc-payload-digest"].partition(":")[2]
                 yield head["warc-record-id"], page_of(block, end), len(block) - end if own else None, digest, kind, head.get("warc-refers-to")
 
-    columns = {"record_id": "", "page_id": "Int64", "payload_bytes": "Int64", "payload_digest": "", "record_type": "", "refers_id": ""}
-    schema = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_id string"
+    columns = {"record_id": "", "page_id": "", "payload_bytes": "Int64", "payload_digest": "", "record_type": "", "refers_id": ""}
+    schema = "record_id string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_id string"
     found = scratch.save(read_archives(spark, warc_path, rows, columns, schema, lambda r: 200), "found")
     referred = found.filter("record_type = 'revisit'").select(F.col("refers_id").alias("record_id")).distinct()
     targets = found.join(referred, "record_id", "left_semi").select(
@@ -273,13 +280,15 @@ def read_warc_pages(spark: SparkSession, warc_path: str, scratch: Scratch) -> Da
 def archive_pages(pages: DataFrame, *, version: int = 1, revisit_bytes: int = 100) -> DataFrame:
     """Writes pages as ARC files, converts these to WARC, reads the WARC files back, and returns what they hold.
 
-    Defined cases: a null html is an empty payload, a null url ``about:blank``, a null id stays null. Repeated rows have a
-    record each, all but one of them a revisit where the payload is long enough. Further columns are ignored; an empty
+    Defined cases: a null html is an empty payload, a null url ``about:blank``, a null id stays null, and ids may be of any
+    type. Repeated rows have a record each, all but one of them a revisit where the payload is long enough. Further columns are ignored; an empty
     table gives archives without pages and an empty result.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    write_arc(pages, scratch.path("arc"), version=version)
-    arc_to_warc(spark, scratch.path("arc"), scratch.path("warc"), scratch, revisit_bytes=revisit_bytes)
+    per_file, id_type = records_a_file(pages), pages.schema["page_id"].dataType
+    write_arc(pages, scratch.path("arc"), per_file=per_file, version=version)
+    arc_to_warc(spark, scratch.path("arc"), scratch.path("warc"), scratch, id_type=id_type.simpleString(), per_file=per_file, revisit_bytes=revisit_bytes)
     scratch.drop("arc", "seen", "first", "later")
-    return read_warc_pages(spark, scratch.path("warc"), scratch)
+    out = read_warc_pages(spark, scratch.path("warc"), scratch)
+    return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})

@@ -87,6 +87,17 @@ def test_line_dedup(spark, limit):
             break
 
 
+def test_line_dedup_keeps_lines_to_the_byte(spark):
+    rng = random.Random(4)
+    run = "\n".join(f"    {sentence(rng, 9)}  " for _ in range(3))
+    docs = [(1, run), (2, f"\n  def f():\r\n\n        return 1\t\n{run}\n\n\tlast\n"), (None, f"head\n\n{run.replace(chr(10), chr(10) * 2)}\n \n"), (4, run.upper())]
+    docs += [(5, "\n".join([f"line {i} " + "w " * 8 for i in range(3000)] + [run])), (6, "x " * 60_000), (7, "x " * 60_000)]
+    got = by_id(line_dedup.line_dedup(table(spark, docs), min_words=20))
+    assert got[2]["text"] == "\n  def f():\r\n\n        return 1\t\n\n\tlast\n" and got[None]["text"] == "head\n\n \n"
+    assert (got[1]["n_removed"], got[4]["n_removed"], got[5]["n_removed"], got[6]["n_removed"], got[7]["text"]) == (0, 0, 3, 0, "")
+    assert len(got[5]["text"].split("\n")) == 3000
+
+
 def test_line_dedup_keeps_columns_and_handles_empty_tables(spark):
     out = line_dedup.delete_repeated_lines(table(spark, [(1, "a b"), (None, "a b"), (1, "a b")]), min_words=2)
     assert out.columns[:7] == [c.split()[0] for c in DOCS.split(", ")]
@@ -172,12 +183,15 @@ def test_contamination_edges_and_proximity(spark):
 def test_licences(spark):
     mit = dict(licenses.LICENSES)["MIT"]
     docs = [(1, "Copyright (c) 2020 Someone\n\n" + mit), (2, mit.replace('"', "“").upper().replace("\n\n", "\n")), (3, mit + " more"), (4, None), (5, ""), (6, "a\nReleased under the MIT  licence!\nLicensed under CC BY 4.0"), (7, "Copyright 2020 X\n"), (7, "Copyright 2020 X\n")]
-    got = {r["doc_id"]: (r["license_id"], r["notices"], r["n_notice_lines"]) for r in licenses.scan_licenses(table(spark, docs)).collect()}
+    docs += [(8, "plain text"), (8, mit), (None, docs[5][1]), (None, docs[5][1]), (9, "\n" * 50_000 + "Released under the MIT license")]
+    got = {r["doc_id"]: (r["license_id"], r["notices"], r["n_notice_lines"]) for r in licenses.scan_licenses(table(spark, [r for r in docs if r[0] != 8])).collect()}
+    assert got.pop(9) == ("MIT", "MIT", 1) and got.pop(None) == (None, "CC-BY-4.0,MIT", 2)
     assert got == {1: ("MIT", None, 0), 2: ("MIT", None, 0), 3: (None, None, 0), 4: (None, None, 0), 5: (None, None, 0), 6: (None, "CC-BY-4.0,MIT", 2), 7: (None, None, 0)}
     con = duckdb.connect()
     con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     mine = licenses.scan_licenses(table(spark, docs)).collect()
+    assert len(mine) == len(docs) and sorted(r["license_id"] or "" for r in mine if r["doc_id"] == 8) == ["", "MIT"]
     assert sorted(map(tuple, mine), key=repr) == sorted(con.execute(licenses.license_sql()).fetchall(), key=repr)
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
@@ -307,6 +321,26 @@ def test_packing(spark):
     assert packing.pack_documents(table(spark, []), q.tokenizer_path()).count() == 0
 
 
+def test_packing_against_the_tokenizer(spark):
+    """Every piece of every document against ids that the tokenizer itself gives; ids are texts here."""
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(q.tokenizer_path())
+    rng = random.Random(11)
+    parts = ["Hello", " world", "'s", "  ", "\n\n", "\t", "é", "ß", "123", "!?", "日本語", "🙂", "<|endoftext|>", " Wörter", "\u00a0", "_", "x" * 40]
+    docs = [(f"a{i}", "".join(rng.choice(parts) for _ in range(rng.randrange(0, 400)))) for i in range(60)] + [("z", None), ("a0", "again"), (None, "no id"), ("long", "many words " * 9000)]
+    rows = spark.createDataFrame([(d, t, 3) for d, t in docs], "doc_id string, text string, start int")
+    got = packing.pack_documents(rows, q.tokenizer_path()).collect()
+    wanted = []
+    for d, t in docs:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        wanted.append((d or "", len(ids), zlib.crc32(ids.tobytes())))
+        mine = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == d and r["doc_tokens"] == len(ids))
+        assert any(all(zlib.crc32(ids[s : s + n].tobytes()) == c for s, n, c in mine[k : k + -(-len(ids) // 2048)]) for k in range(len(mine)))
+    assert sum(r["length"] for r in got) == sum(n for _, n, _ in wanted)
+
+
 def test_packing_pads_short_texts_little(spark):
     pytest.importorskip("public_tokenizers")
     rng, encoder = random.Random(2), packing.TokenBytes(q.tokenizer_path())
@@ -352,6 +386,15 @@ def test_archives_round_trip(spark, version):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_of_text_ids_and_large_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3 << 20)  # a file for each page or two
+    rows = [("b/1 é", "u", "x" * 2_000_000), ("a\r\n", "u", "x" * 2_000_000), ("c", None, "small"), ("c", None, "small")]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got) == sorted(
+        [("a\r\n", 2_000_000, "response", None), ("b/1 é", 2_000_000, "revisit", "a\r\n"), ("c", 5, "response", None), ("c", 5, "response", None)]
+    )
+
+
 def test_arc_reader_handles_damage():
     good = warc.arc_version_block(2, "n", "20200101") + b"\n" + warc.arc_header(2, "http://u/", "1.2.3.4", "20200102030405", "text/html", 5) + b"HELLO\n" + b"garbage line\n" + warc.arc_header(2, "dns:u", "1.2.3.4", "20200102", "text/dns", 50) + b"cut"
     got = list(warc.read_arc(good))
