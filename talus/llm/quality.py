@@ -24,13 +24,17 @@ WIDTH, BLOCK, CHUNK, STEP = 6, 64, 4, 3
 SLICE = 1 << 18
 
 
-def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts one after the other, each padded with zeros to whole blocks and by one more block; blocks of each.
+def _buffer(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other, blocks of each, and the places in blocks past a text's end.
 
-    The last block is no part of the text: it keeps filters at a text's end from reaching into the next text.
+    Each text is padded with zeros to whole blocks and by one more block, which is no part of it: it keeps filters at a
+    text's end from reaching into the next text. No filter begins past a text's end; an empty text has one place.
     """
-    blocks = np.array([(len(t) + WIDTH) // BLOCK + 2 for t in texts])
-    return np.frombuffer(b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, blocks, strict=True)), np.uint8), blocks
+    sizes = np.array([len(t) for t in texts])
+    blocks = np.maximum(-(-sizes // BLOCK), 1) + 1
+    first = (np.cumsum(blocks) - blocks) * BLOCK
+    past = [np.arange(a + max(n, 1), a + (k - 1) * BLOCK) for a, n, k in zip(first.tolist(), sizes.tolist(), blocks.tolist(), strict=True)]
+    return np.frombuffer(b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, blocks, strict=True)), np.uint8), blocks, np.concatenate(past)
 
 
 @dataclass
@@ -43,7 +47,7 @@ class ByteConvNet:
     most: np.ndarray
     shift: float
 
-    def blocks(self, data: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    def blocks(self, data: np.ndarray, past: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Each filter's maximum in each block, and where it was found. A block's last filters reach into the next block."""
         n, filters = len(data) // BLOCK, self.table.shape[2]
         best, where = np.empty((n, filters), np.float32), np.empty((n, filters), np.int64) if places else None
@@ -54,6 +58,7 @@ class ByteConvNet:
             z = self.table[0].take(part[:count], axis=0)
             for k in range(1, WIDTH):
                 z += self.table[k].take(part[k : k + count], axis=0)
+            z[past[np.searchsorted(past, start) : np.searchsorted(past, start + count)] - start] = -np.inf
             z = z.reshape(-1, BLOCK, filters)
             rows = slice(start // BLOCK, (start + count) // BLOCK)
             if places:
@@ -64,9 +69,9 @@ class ByteConvNet:
                 best[rows] = z.max(axis=1)
         return best + self.bias, where
 
-    def pooled(self, data: np.ndarray, blocks: np.ndarray, places: bool = False):
+    def pooled(self, data: np.ndarray, blocks: np.ndarray, past: np.ndarray, places: bool = False):
         """Filters by chunk, the document of each chunk, and the places behind them."""
-        best, where = self.blocks(data, places)
+        best, where = self.blocks(data, past, places)
         first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
         own = blocks - 1
         chunks = np.maximum(-(-(own - CHUNK) // STEP), 0) + 1
@@ -81,8 +86,7 @@ class ByteConvNet:
         return np.maximum(value, 0), doc, chunks, at
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
-        data, blocks = _buffer(texts)
-        value, _, chunks, _ = self.pooled(data, blocks)
+        value, _, chunks, _ = self.pooled(*_buffer(texts))
         at = np.cumsum(chunks) - chunks
         mean = np.add.reduceat(value, at, axis=0) / chunks[:, None]
         most = np.maximum.reduceat(value, at, axis=0)
@@ -126,8 +130,8 @@ def train_byte_conv_net(texts: list[str], labels: list[int], counts: dict[int, i
         order = rng.permutation(len(raw))
         for s in range(0, len(order), batch):
             rows = order[s : s + batch]
-            data, blocks = _buffer([raw[i] for i in rows])
-            value, doc, chunks, at = net.pooled(data, blocks, places=True)
+            data, blocks, past = _buffer([raw[i] for i in rows])
+            value, doc, chunks, at = net.pooled(data, blocks, past, places=True)
             first = np.cumsum(chunks) - chunks
             mean = np.add.reduceat(value, first, axis=0) / chunks[:, None]
             most = np.maximum.reduceat(value, first, axis=0)

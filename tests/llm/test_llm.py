@@ -269,6 +269,43 @@ def test_quality_sees_the_whole_text(spark):
     assert net.scores([long])[0] == pytest.approx(net.scores([long, "x"])[0]) and net.scores([long + "%%% ### " * 50])[0] != net.scores([long])[0]
 
 
+def test_convolution_against_loops():
+    """Scores of a network with random weights, against filters laid on every byte one by one."""
+    rng = np.random.default_rng(5)
+    width, block, chunk, step = quality.WIDTH, quality.BLOCK, quality.CHUNK, quality.STEP
+    net = quality.ByteConvNet(rng.normal(0, 1, (width, 256, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32), rng.normal(0, 1, 3), rng.normal(0, 1, 3), 0.3)
+    texts = ["", "a", "xyz" * 40, "é" * 500, "q" * block, "q" * (block - 1), "end" * 333, "words and more " * 70]
+    for text, got in zip(texts, net.scores(texts), strict=True):
+        raw = text.encode() or b"\0"
+        at = [net.bias + sum(net.table[k, (raw + bytes(width))[i + k]] for k in range(width)) for i in range(len(raw))]
+        blocks = [np.max(at[s : s + block], axis=0) for s in range(0, len(at), block)]
+        starts = range(0, max(len(blocks) - chunk, 0) + step, step) if len(blocks) > chunk else [0]
+        pooled = np.maximum([np.max(blocks[s : s + chunk], axis=0) for s in starts if s < len(blocks)], 0)
+        z = (pooled.mean(axis=0) * net.mean).sum() + (pooled.max(axis=0) * net.most).sum() + net.shift
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-5)
+
+
+def test_quality_edges(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = [(i, ("good words here " if i % 2 else "### %%% ") * 9) for i in range(40)]
+    assert quality.score_quality(table(spark, []), labels).count() == 0
+    got = quality.score_quality(table(spark, [*rows, rows[3], (None, None), (77, "good " * 100_000)]), labels).collect()
+    assert len(got) == 43 and len({r["score"] for r in got if r["doc_id"] == 3}) == 1
+
+
+def test_word_logits_against_loops():
+    """A word's logit is the average over itself and its marked n-grams, each found anew."""
+    rng = np.random.default_rng(2)
+    model = toxicity.SubwordBag(rng.normal(0, 1, 1 << 10).astype(np.float32), 1.0, 0.0)
+    for word in ("a", "ab", "grün", "misspelled", "日本語"):
+        buckets, owner = toxicity.subwords([word], model.bits, model.lengths)
+        marked = f"<{word}>"
+        assert len(buckets) == 1 + sum(max(len(marked) - n + 1, 0) for n in model.lengths) and set(owner) == {0}
+        assert model.word_logits(["x", word, "yy"])[1] == pytest.approx(np.mean([model.weight[b] for b in buckets]))
+    one, two = (set(toxicity.subwords([w], model.bits, model.lengths)[0].tolist()) for w in ("idiotic", "xidiotic"))
+    assert len(one & two) >= 9  # n-grams inside are shared, whatever their place
+
+
 def test_token_bytes_equal_the_tokenizer():
     pytest.importorskip("public_tokenizers")
     encoder = packing.TokenBytes(q.tokenizer_path())
