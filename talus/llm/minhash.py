@@ -209,9 +209,9 @@ def _across(shared: DataFrame, comps: DataFrame, sets: DataFrame, scratch: Scrat
 
 
 def near_duplicates(
-    docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None
 ) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, and ``key_col`` as text where it is given.
 
     Two texts are linked if the distinct ``words``-word shingles they share are at least ``percent`` in 100 of those
     either has. ``component_id`` is the smallest id reachable over links; the row that has it stays.
@@ -226,6 +226,7 @@ def near_duplicates(
     id_type = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = band_shape(percent)
+    keys = [key_col] if key_col else []
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(*shape)
@@ -238,11 +239,12 @@ def near_duplicates(
                     out.append((doc_id, len(shingles), _digest(shingles), signer.bands(minima), *signer.planes(minima)))
                 else:
                     out.append((doc_id, 0, None, None, *[0] * len(PLANES)))
-            yield pd.DataFrame(out, columns=["id", "n_shingles", "set_hash", "bands", *PLANES])
+            yield pd.DataFrame(out, columns=["id", "n_shingles", "set_hash", "bands", *PLANES]).assign(**{c: batch[c].to_numpy() for c in keys})
 
-    schema = "id string, n_shingles long, set_hash binary, bands array<long>, " + ", ".join(f"{p} long" for p in PLANES)
+    schema = "".join(f"`{c}` string, " for c in keys) + "id string, n_shingles long, set_hash binary, bands array<long>, " + ", ".join(f"{p} long" for p in PLANES)
     with small_batches(spark):
-        signed = rows.withColumn("id", F.col("id").cast("string")).mapInPandas(sign, schema)
+        source = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), *[F.col(c).cast("string").alias(c) for c in keys])
+        signed = source.mapInPandas(sign, schema)
         signed = scratch.save(signed.withColumn("id", F.col("id").cast(id_type)), "signed")
 
     # one node for each distinct set; rows with equal sets have equal signatures, so any of them will do
@@ -279,8 +281,8 @@ def near_duplicates(
     first = labelled.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
     named = labelled.join(first, "comp").select("set_hash", "component_id")
     scratch.drop("shared", "wanted", "sets", "links-1", "links-2", "pairs")
-    joined = signed.select("id", "n_shingles", "set_hash").join(named, "set_hash", "left")
+    joined = signed.select("id", "n_shingles", "set_hash", *keys).join(named, "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return joined.select(
-        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
+        F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *keys
     )

@@ -147,8 +147,8 @@ def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int
     For the first third of the rounds each window has its document's label. Then a toxic document teaches by its worst
     window alone, while clean ones teach by all; of the toxic documents the share ``doubted`` whose worst windows are the
     least toxic teach nothing, as labels may be wrong. Subwords of fewer than ``min_texts`` texts stay neutral. A fifth of
-    the texts is kept to turn worst windows into probabilities at the classes' true shares. Without texts of both classes
-    the score is the share of label 1, or 0 without labels.
+    the texts is kept to turn worst windows into probabilities at the classes' true shares. Without texts with words of both
+    classes the score is the share of label 1, or 0 without labels.
     """
     y = np.array(labels)
     total = sum(counts.values())
@@ -178,6 +178,8 @@ def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int
     target = y[owner].astype(np.float32)
     doc_at = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1])
     doc_rows, doc_y = np.diff(np.append(doc_at, len(owner))), target[doc_at]
+    if len(set(doc_y.tolist())) < 2:
+        return neutral
 
     known = np.zeros(buckets, np.int32)  # texts that have a subword
     for i in range(n_fit):
@@ -237,8 +239,9 @@ def score_toxicity(
     held_out: int = 2,
     per_class: int = 3000,
     max_bytes: int = 16 << 20,
+    key_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
+    """One row per input row: doc_id, held_out, score, predicted, and ``key_col`` as text where it is given.
 
     The model is fitted on a sample bounded by ``per_class`` documents and ``max_bytes`` of text, from ids that are not
     held out; then every whole text is scored. Ids, languages and sources are no inputs of a score.
@@ -254,18 +257,21 @@ def score_toxicity(
     del texts
     model = spark.sparkContext.broadcast(trained)  # one number a bucket
 
+    keys = [key_col] if key_col else []
+
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = model.value.scorer()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": score([t or "" for t in batch["text"]])})
+            yield batch.assign(score=score([t or "" for t in batch["text"]])).drop(columns="text")
 
     rows = docs.select(
+        *[F.col(c).cast("string").alias(c) for c in keys],
         F.col(id_col).cast("string").alias("doc_id"),
         F.coalesce(id_bucket(F.col(id_col), modulus) == held_out, F.lit(False)).alias("held_out"),
         F.col(text_col).alias("text"),
     )
     with small_batches(spark):
-        found = Scratch(spark, "toxicity").save(rows.mapInPandas(scored, "doc_id string, held_out boolean, score double"), "scores")
+        found = Scratch(spark, "toxicity").save(rows.mapInPandas(scored, "".join(f"`{c}` string, " for c in keys) + "doc_id string, held_out boolean, score double"), "scores")
     return found.select(
-        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keys
     )

@@ -50,7 +50,7 @@ def test_stages(spark, sf):
     toxic = {d for d in before if d < 240 and d % 6 == 0}
     assert len(toxic & set(after)) <= 2 and len(set(before) - set(after) - toxic) <= 2
     before, after = kept["line_dedup"]
-    wanted = {d: t for d, (_, n, t) in brute.line_dedup(list(before.items()), 50).items() if not (n and t == "")}
+    wanted = {d: t for d, (lines, n, t) in brute.line_dedup(list(before.items()), 50).items() if not (n and n == lines)}
     assert after == wanted and 300 not in after and after[61] != before[61]
     before, after = kept["near_dedup"]
     assert set(after) == {d for d, r in brute.near_duplicates(list(before.items()), 5, 80).items() if r[2]} and 301 not in after
@@ -59,6 +59,43 @@ def test_stages(spark, sf):
     assert set(before) - set(after) == {d for d, r in brute.contamination(list(before.items()), item).items() if r[4]} == {91}
 
 
+PACKED = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
 def test_run(spark, sf):
+    """The whole run against its stages one by one, and the pieces against the documents that the stages keep."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        stage(spark, docs, sf).write.parquet(f"{sf}/run-{k}")
+        docs = spark.read.parquet(f"{sf}/run-{k}")
     out = pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
+    rows = out.collect()
+    assert out.columns == PACKED and {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+    for d in {r["doc_id"] for r in rows}:
+        mine = sorted((r["start"], r["length"], r["doc_tokens"]) for r in rows if r["doc_id"] == d)
+        assert mine[0][0] == 0 and sum(n for _, n, _ in mine) == mine[0][2]
+
+
+def test_rows_stand_by_their_own_text(spark, sf, tmp_path):
+    """Null ids, ids that occur twice, null and empty texts, repeated rows, and columns named like inner ones."""
+    bad, item = "grobianax grobianbj grobianc", spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rng = random.Random(5)
+    t = [sentence(rng, 60) for _ in range(6)]
+    rows = [(None, f"{t[0]} {bad}"), (None, t[0]), (5, f"{t[1]} {item}"), (5, t[1]), (6, None), (7, ""), (8, t[2]), (8, t[2]), (None, t[2] + " more"), (9, "  \n "), (10, t[3])]
+    made = [(d, x, "en", None, len(x or ""), "k", False, "p") for d, x in rows]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, key string, kept boolean, p0 string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    at = str(tmp_path)
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    left = lambda df: sorted(((r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
+    rest = lambda *gone: sorted((d or 0, x or "") for k, (d, x) in enumerate(rows) if k not in gone)
+    assert left(pipeline.near_dedup(spark, docs, at)) == rest(8)
+    assert left(pipeline.decontamination(spark, docs, at)) == rest(2)
+    assert left(pipeline.line_dedup(spark, docs, at)) == rest()
+    assert pipeline.toxicity(spark, docs, at).columns == docs.columns
+    none = docs.limit(0)
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, none, at)
+        assert out.count() == 0 and out.columns == docs.columns
+    assert pipeline.packing(spark, none, at).count() == 0 and pipeline.packing(spark, docs, at).filter("length = 1").count() == 2
