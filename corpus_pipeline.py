@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, line dedup, near dedup, benchmark decontamination, packing.
 
 Each stage takes the documents that its predecessor kept; ``run`` writes every stage's rows and reads them again, so each
-stage works on stored data and survives lost executors.
+stage works on stored data and survives lost executors. Stages decide on rows: a row is known by its id and its text, so
+rows that share an id, or have none, stand or fall by their own text. Null texts count as empty and are never rejected;
+repeated rows share a verdict; further columns pass through; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import Scratch, broadcast_if_small, table, with_null_safe
+from talus.llm.common import Scratch, broadcast_if_small, table
 from talus.llm.decontaminate import contamination
 from talus.llm.line_dedup import delete_repeated_lines
 from talus.llm.minhash import near_duplicates
@@ -17,36 +19,57 @@ from talus.llm.packing import pack_documents
 from talus.llm.queries import tokenizer_path
 from talus.llm.toxicity import score_toxicity
 
+KEY = "__row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key of id and text; a missing id differs from any text of one."""
+    text = F.md5(F.coalesce("text", F.lit("")))
+    return docs.withColumn(KEY, F.concat(text, F.coalesce(F.concat(F.lit("-"), F.col("doc_id").cast("string")), F.lit(""))))
+
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not rejected; null ids can be rejected too."""
-    ids = rejected.select("doc_id").distinct()
-    return with_null_safe(docs, broadcast_if_small(ids, 16), ["doc_id"], "left_anti")
+    """Rows of ``docs`` whose key is not rejected."""
+    keys = rejected.select(F.col(rejected.columns[0]).alias(KEY)).distinct()
+    return _keyed(docs).join(broadcast_if_small(keys, 16), KEY, "left_anti").drop(KEY)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
-    return _without(docs, score_toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    """Documents that the toxicity model rejects go.
+
+    Empty texts have the score of a neutral window, which is kept unless nearly all labels are toxic; ties are scored alike.
+    """
+    scored = score_toxicity(_keyed(docs), table(spark, sf_dir, "labels"), key_col=KEY)
+    return _without(docs, scored.filter("predicted = 1").select(KEY))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs leave the texts; documents of which nothing remains go."""
-    out = delete_repeated_lines(docs).filter("NOT (__n_removed > 0 AND text = '')")
+    """Later copies of repeated line runs leave the texts; documents of which no line remains go.
+
+    Of equal runs the first in order of id and line stays, null ids last. Rows equal in id and text are one document and all
+    stay. Empty and blank texts lose nothing and stay as they are; ``n_chars`` follows a changed text.
+    """
+    out = delete_repeated_lines(docs).filter("NOT (__n_removed > 0 AND __n_removed = __n_lines)")
     return out.withColumn("n_chars", F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays."""
-    return _without(docs, near_duplicates(docs, words=5, percent=80).filter("NOT kept"))
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one with the smallest id stays.
+
+    A row without an id yields to any with one; where no row of a group has an id, they all stay, as do empty texts.
+    """
+    found = near_duplicates(_keyed(docs), words=5, percent=80, key_col=KEY)
+    return _without(docs, found.filter("NOT kept").select(KEY))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    """Documents that hold a window of a benchmark item go; items without words reject nothing."""
+    found = contamination(_keyed(docs), table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return _without(docs, found.filter("contaminated").select("doc_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of 2048."""
+    """Token pieces in sequences of 2048; an empty text is its end id alone, and repeated rows are packed as often as they occur."""
     return pack_documents(docs, tokenizer_path())
 
 
