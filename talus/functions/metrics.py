@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talus.functions.text import normalize_full
+
 CRITICAL = 0.5
 
 
@@ -65,3 +69,28 @@ def step_grid(last: Column, every: int) -> Column:
     """Every so many steps, and the last."""
     grid = F.when(last >= every, F.sequence(F.lit(every).cast("long"), last.cast("long"), F.lit(every).cast("long"))).otherwise(F.array().cast("array<bigint>"))
     return F.array_union(grid, F.array(last.cast("long")))
+
+
+def score_row(df: DataFrame, *, gt: str = "gt", pred: str = "pred", error: str | None = None, normalise: Callable[[Column], Column] = normalize_full, on_raw: bool = True) -> DataFrame:
+    """Adds normal_gt, normal_pred, cer, critical and reason: normaliser, distance, rate, flag and reason of a row.
+
+    ``on_raw``: the raw prediction must be blank to fail, and the rounded rate decides; otherwise the normalised prediction
+    and the unrounded rate.
+    """
+    failed = None if error is None else F.col(error)
+    out = df.withColumns({"normal_gt": normalise(F.coalesce(gt, F.lit(""))), "normal_pred": normalise(F.coalesce(pred, F.lit("")))})
+    rate = cer(F.col("normal_gt"), F.col("normal_pred"))
+    blank = F.col(pred) if on_raw else F.col("normal_pred")
+    out = out.withColumns({"__rate": rate})
+    return out.withColumns(
+        {"cer": rounded(F.col("__rate")), "critical": critical(F.col("__rate"), blank, error=failed, on_rounded=on_raw), "reason": critical_reason(F.col("__rate"), blank, error=failed)}
+    ).drop("__rate")
+
+
+def peak(samples: Column) -> Column:
+    """The largest magnitude of an array of samples; 0 for none."""
+    return F.coalesce(F.array_max(F.transform(samples, lambda v: F.abs(v).cast("double"))), F.lit(0.0))
+
+
+def mean_square(samples: Column) -> Column:
+    return F.aggregate(samples, F.lit(0.0), lambda s, v: s + v.cast("double") * v) / F.greatest(F.size(samples), F.lit(1))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
+
+from talus.functions.text import safe_id
+from talus.operators.dedupe import require_rows
 
 
 @dataclass(frozen=True)
@@ -64,3 +71,40 @@ def frame_checks(arrays: dict[str, int], equal_length: list[str], tolerance: flo
         again = F.zip_with(F.zip_with("aligned", "norm", lambda a, n: F.zip_with(a, n, lambda x, y: x - y)), F.col("residual"), lambda d, r: F.zip_with(d, r, lambda x, y: F.abs(x - y)))
         out.append(Check("error", "residual_mismatch", F.exists(again, lambda f: F.exists(f, lambda x: x > tolerance)), F.lit("residual")))
     return out
+
+
+def path_checks(path: str, split: str, key: str, root: str) -> list[Check]:
+    """A payload's path must be root/split/safe id, with any ending."""
+    wanted = F.concat_ws("/", F.lit(root.rstrip("/")), F.col(split), safe_id(F.col(key).cast("string")))
+    return [Check("error", "path_shape", F.col(path).isNull() | (F.regexp_replace(path, r"\.[^./]*$", "") != wanted), F.coalesce(F.col(path), F.lit("missing")))]
+
+
+# Endings of the modules that presets below an encoder's prefix train.
+PRESET_ENDS = {"attn_qkv": ("q_proj", "k_proj", "v_proj"), "attn_qkvo": ("q_proj", "k_proj", "v_proj", "out_proj"), "ffn": ("fc1", "fc2"), "all": ("",)}
+
+
+def target_modules(modules: DataFrame, *, begins: tuple[str, ...] = (), ends: tuple[str, ...] = (), column: str = "name") -> DataFrame:
+    """Names, sorted, that begin with one of ``begins`` and end with one of ``ends``; either may be left open. None is an error."""
+    name = F.col(column)
+    found = modules.select(column).distinct()
+    for tests in ([name.startswith(b) for b in begins], [name.endswith(e) for e in ends]):
+        if tests:
+            found = found.filter(reduce(lambda a, b: a | b, tests))
+    return require_rows(found, "selection of modules").orderBy(column)
+
+
+class Progress(StreamingQueryListener):
+    """Writes a JSON line to ``out`` for each micro-batch: its number, rows and seconds."""
+
+    def __init__(self, out: Callable[[str], object] = print):
+        self.out = out
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 the listener's interface
+        self.out(json.dumps({"event": "started", "id": str(event.id)}))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.out(json.dumps({"event": "progress", "batch": p.batchId, "rows": p.numInputRows, "seconds": p.batchDuration / 1000}))
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.out(json.dumps({"event": "ended", "id": str(event.id), "error": event.exception}))

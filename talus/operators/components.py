@@ -6,26 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talus.operators.leakage import long_layers
-from talus.operators.shared import stored
+from talus.operators.shared import Workspace
 
 
 def label_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``comp`` of an undirected graph with edges (a, b); a component is named by its smallest node.
 
     Smallest labels spread along edges, and each round also follows the labels of labels. A round is a written table, so
-    plans stay short and a lost executor costs one round.
+    plans stay short and a lost executor costs one round; the tables of earlier rounds are deleted.
     """
-    pairs = edges.select("a", "b")
-    both = stored(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
+    work, step, pairs = Workspace(edges.sparkSession), 0, edges.select("a", "b")
+    both = work.save(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = work.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels-0")
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
-        near = stored(labels.join(heard, "node", "left").select("node", F.least("comp", "heard").alias("comp"), F.col("comp").alias("was")))
+        near = work.save(labels.join(heard, "node", "left").select("node", F.least("comp", "heard").alias("comp"), F.col("comp").alias("was")), "near")
         up = near.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
-        new = stored(near.join(up, "comp", "left").select("node", F.least("comp", "higher").alias("comp"), "was"))
+        new = work.save(near.join(up, "comp", "left").select("node", F.least("comp", "higher").alias("comp"), "was"), f"labels-{step + 1}")
+        work.drop("near", f"labels-{step}")
         if new.filter("comp <> was").isEmpty():
+            work.drop("edges")
             return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        labels, step = new.select("node", "comp"), step + 1
 
 
 def prompt_components(df: DataFrame, layers: dict[str, str], key: str = "utt_id") -> DataFrame:
@@ -40,10 +42,17 @@ def prompt_components(df: DataFrame, layers: dict[str, str], key: str = "utt_id"
 
 
 def component_digests(df: DataFrame, comps: DataFrame, layers: dict[str, str], key: str = "utt_id") -> DataFrame:
-    """Per component: prompt_id from the sorted variants of each layer, rows, and variant counts."""
+    """Per component: prompt_id from the sorted variants of each layer, rows, variant counts, and sorted digests of the variants."""
     names = list(layers)
     rows = df.join(comps, key)
     sets = {n: F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("")))) for n, c in layers.items()}
     out = rows.groupBy("comp").agg(F.count("*").alias("sample_count"), *[s.alias(f"__{n}") for n, s in sets.items()])
     text = F.concat_ws("\n", *[F.concat(F.lit(f"{n.upper()}="), F.array_join(F.col(f"__{n}"), "||")) for n in names])
-    return out.select("comp", F.substring(F.sha2(text, 256), 1, 16).alias("prompt_id"), "sample_count", *[F.size(f"__{n}").cast("long").alias(f"{n}_variants") for n in names])
+    return out.select(
+        "comp", F.substring(F.sha2(text, 256), 1, 16).alias("prompt_id"), "sample_count", *[F.size(f"__{n}").cast("long").alias(f"{n}_variants") for n in names],
+        *[F.array_join(F.array_sort(F.transform(f"__{n}", lambda v: F.substring(F.sha2(v, 256), 1, 16))), ";").alias(f"{n}_hashes") for n in names])
+
+
+def with_prompt_ids(df: DataFrame, comps: DataFrame, digests: DataFrame, key: str = "utt_id") -> DataFrame:
+    """Rows with the prompt_id of their component."""
+    return df.join(comps, key).join(digests.select("comp", "prompt_id"), "comp").drop("comp")

@@ -47,8 +47,26 @@ def batch_infer(df: DataFrame, make: Callable[[], Transcriber], *, key: str, sou
     return out.withColumnRenamed("key", key)
 
 
-def resume_infer(df: DataFrame, done: DataFrame | None, make: Callable[[], Transcriber], *, key: str, source: str, path: str, batch: int = 8) -> DataFrame:
-    """Runs what is not yet done and appends it to ``path``; returns all results there."""
+def resume_infer(df: DataFrame, done: DataFrame | None, make: Callable[[], Transcriber], *, key: str, source: str, path: str, run: str, batch: int = 8) -> DataFrame:
+    """Runs what is not yet done and writes it to the folder of this ``run`` below ``path``; returns all results there.
+
+    A run that is repeated after a failure replaces its own folder, so no row is there twice.
+    """
     left = df if done is None else remaining(df, done, key)
-    batch_infer(left, make, key=key, source=source, batch=batch).write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    batch_infer(left, make, key=key, source=source, batch=batch).write.mode("overwrite").parquet(f"{path}/run={run}")
+    return df.sparkSession.read.parquet(path).drop("run")
+
+
+def infer_or_fail(df: DataFrame, make: Callable[[], Transcriber], *, key: str, source: str, batch: int = 8) -> DataFrame:
+    """key and pred; the first error of a model ends the job."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for frame in frames:
+            out = []
+            for start in range(0, len(frame), batch):
+                out += model.transcribe(frame["source"].iloc[start : start + batch].tolist())
+            yield pd.DataFrame({"key": frame["key"], "pred": out})
+
+    out = df.selectExpr(f"cast(`{key}` as string) key", f"`{source}` source").mapInPandas(run, "key string, pred string")
+    return out.withColumnRenamed("key", key)

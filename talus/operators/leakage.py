@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.functions.metrics import rounded
+from talus.operators.summary import mean
 
 
 def long_layers(df: DataFrame, layers: dict[str, str], *keep: str) -> DataFrame:
@@ -25,7 +26,11 @@ def match(test: DataFrame, train: DataFrame, layers: dict[str, str], key: str =
     ours = long_layers(test, layers, key).filter("coalesce(key, '') <> ''")
     wanted = ours.select("layer", "key").distinct()
     theirs = long_layers(train, layers, key).filter("coalesce(key, '') <> ''").join(wanted, ["layer", "key"], "left_semi")
-    counts = theirs.groupBy("layer", "key").agg(F.count("*").alias("match_count"), F.slice(F.array_sort(F.collect_set(key)), 1, preview).alias("ids"))
+    counts = theirs.groupBy("layer", "key").agg(F.count("*").alias("match_count"))
+    # ranks are cut within each task before the shuffle, so a key of many rows brings few to one place
+    place = F.dense_rank().over(Window.partitionBy("layer", "key").orderBy(key))
+    heads = theirs.withColumn("__place", place).filter(F.col("__place") <= preview).groupBy("layer", "key").agg(F.array_sort(F.collect_set(key)).alias("ids"))
+    counts = counts.join(heads, ["layer", "key"])
     found = ours.join(counts, ["layer", "key"], "left").select(key, "layer", "match_count", "ids")
     every = long_layers(test, layers, key).select(key, "layer")
     out = every.join(found, [key, "layer"], "left")
@@ -49,7 +54,7 @@ def summary(matched: DataFrame, key: str = "utt_id") -> DataFrame:
 def seen_unseen_metrics(matched: DataFrame, scored: DataFrame, methods: list[str], key: str = "utt_id") -> DataFrame:
     """Means of each method's rate over seen and unseen rows per layer; empty subsets are listed."""
     rows = with_any_layer(matched, key).join(scored, key)
-    found = rows.groupBy("layer", "seen").agg(F.count("*").alias("sample_count"), *[rounded(F.avg(f"{m}_cer")).alias(f"{m}_cer") for m in methods], *[F.count_if(f"{m}_critical").alias(f"{m}_critical_count") for m in methods])
+    found = rows.groupBy("layer", "seen").agg(F.count("*").alias("sample_count"), *[mean(f"{m}_cer").alias(f"{m}_cer") for m in methods], *[F.count_if(f"{m}_critical").alias(f"{m}_critical_count") for m in methods])
     frame = with_any_layer(matched, key).select("layer").distinct().crossJoin(matched.sparkSession.createDataFrame([(True,), (False,)], "seen boolean"))
     return frame.join(found, ["layer", "seen"], "left").na.fill(0, ["sample_count", *[f"{m}_critical_count" for m in methods]])
 
@@ -60,16 +65,28 @@ def overlap_audit(df: DataFrame, layers: dict[str, str], splits: tuple[str, ...]
     return member.groupBy("layer").agg(*[F.count_if(F.col(f"in_{a}") & F.col(f"in_{b}")).alias(f"{a}_{b}_overlap") for a, b in combinations(splits, 2)])
 
 
-def passage_containment(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id", passage_key: str = "item_id") -> DataFrame:
-    """Documents that contain a passage word for word: pairs that share the passage's first eight words are compared.
+def passage_containment(docs: DataFrame, passages: DataFrame, doc_key: str = "doc_id", passage_key: str = "item_id", head: int = 8) -> DataFrame:
+    """Documents that contain a passage word for word, as (document, passage).
 
-    Leading words turn containment into an equi-join on a digest; a document is cut at each word once.
+    A passage is looked up by a digest of its first ``head`` words, or of all where it has fewer; places of a document
+    travel as digest and position alone, and only texts that have candidates are read again and compared. Passages without
+    words are in no document.
     """
     words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w: w != "")
-    heads = passages.select(passage_key, words.alias("pw")).filter("size(pw) >= 8")
-    heads = heads.select(passage_key, F.array_join("pw", " ").alias("passage"), F.xxhash64(F.array_join(F.slice("pw", 1, 8), " ")).alias("h"), F.size("pw").alias("n"))
-    spots = docs.select(doc_key, words.alias("dw")).filter("size(dw) >= 8")
-    starts = F.sequence(F.lit(1), F.size("dw") - 7)
-    spots = spots.select(doc_key, "dw", F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("dw", i, 8), " ")))).alias("at", "h"))
-    met = spots.join(heads, "h").filter(F.array_join(F.slice("dw", F.col("at") + 1, F.col("n")), " ") == F.col("passage"))
-    return met.select(doc_key, passage_key).distinct()
+    digest = lambda ws, at, n: F.xxhash64(F.array_join(F.slice(ws, at, n), " "))
+    heads = passages.select(passage_key, words.alias("pw")).filter("size(pw) > 0").withColumn("k", F.least(F.size("pw"), F.lit(head)))
+    heads = heads.select(passage_key, F.array_join("pw", " ").alias("passage"), F.size("pw").alias("n"), "k", digest("pw", F.lit(1), F.col("k")).alias("h"))
+    lengths = [r["k"] for r in heads.select("k").distinct().orderBy("k").collect()] or [head]  # ``head`` numbers at most
+    cut = docs.select(doc_key, words.alias("dw"))
+    none = F.array().cast("array<struct<k:int,at:int,h:bigint>>")
+
+    def places(k: int) -> Column:
+        start = F.sequence(F.lit(1), F.greatest(F.size("dw") - k + 1, F.lit(1)))
+        found = F.transform(start, lambda i: F.struct(F.lit(k).alias("k"), (i - 1).alias("at"), digest("dw", i, F.lit(k)).alias("h")))
+        return F.when(F.size("dw") >= k, found).otherwise(none)
+
+    spots = cut.select(doc_key, F.explode(F.flatten(F.array(*[places(k) for k in lengths]))).alias("s")).select(doc_key, "s.*")
+    met = spots.join(heads, ["k", "h"]).select(doc_key, passage_key, "at", "n", "passage")
+    texts = docs.select(doc_key, words.alias("dw"))
+    same = met.join(texts, doc_key).filter(F.array_join(F.slice("dw", F.col("at") + 1, F.col("n")), " ") == F.col("passage"))
+    return same.select(doc_key, passage_key).distinct()

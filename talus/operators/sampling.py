@@ -3,24 +3,29 @@
 from __future__ import annotations
 
 import random
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talus.operators.shared import ranked
+
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
     """``n`` rows in a shuffled order that depends on ids and seed alone, not on partitions."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def driver_shuffle(df: DataFrame, n: int, key: str, seed: int = 7, max_ids: int = 1_000_000) -> DataFrame:
-    """The first ``n`` rows after a seeded shuffle of the sorted ids by Python's generator; the number of ids is checked."""
-    ids = [r[0] for r in df.select(key).distinct().orderBy(key).limit(max_ids + 1).collect()]
-    if len(ids) > max_ids:
-        raise ValueError(f"more than {max_ids} ids: use hash_sample")
-    random.Random(seed).shuffle(ids)
-    wanted = df.sparkSession.createDataFrame(list(zip(range(min(n, len(ids))), ids)), f"__at long, {key} {df.schema[key].dataType.simpleString()}")
-    return df.join(wanted, key).orderBy("__at").drop("__at")
+def driver_shuffle(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
+    """The first ``n`` rows after a seeded shuffle of the sorted ids by Python's generator.
+
+    Ids stay on the cluster, numbered in order; the driver shuffles their places, four bytes each, and sends back ``n``.
+    """
+    numbered = ranked(df.select(key).distinct(), key, name="__place")
+    places = array("I", range(numbered.count()))
+    random.Random(seed).shuffle(places)
+    wanted = df.sparkSession.createDataFrame([(at, place + 1) for at, place in enumerate(places[:n])], "__at long, __place long")
+    return df.join(numbered.join(F.broadcast(wanted), "__place").drop("__place"), key).orderBy("__at").drop("__at")
 
 
 def edges_and_sample(df: DataFrame, n: int, key: str, split: str = "split", seed: int = 7) -> DataFrame:
@@ -43,3 +48,13 @@ def pick_demo(df: DataFrame, per_split: int, *, key: str = "utt_id", speaker: st
     heads = rows.withColumn("__turn", turn).filter(F.col("__turn") <= per_split)
     place = F.row_number().over(Window.partitionBy("split").orderBy("__turn", "__rank", "__h", key))
     return heads.withColumn("__n", place).filter(F.col("__n") <= per_split).drop("__rank", "__h", "__turn", "__n")
+
+
+def longest(df: DataFrame, n: int, duration: str = "duration", key: str = "utt_id") -> DataFrame:
+    """The ``n`` rows of the longest duration, blank ones last, by key on ties."""
+    return df.orderBy(F.col(duration).desc_nulls_last(), key).limit(n)
+
+
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in an order; all rows where ``n`` is 0 or less."""
+    return df.orderBy(*order).limit(n) if n > 0 else df

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "dev", "test")
-#: Weights of a penalty: sizes, shares of a field's values, and what dev and test should hold at least.
+# Weights of a penalty: sizes, shares of a field's values, and what dev and test should hold at least.
 SIZE_WEIGHT, FIELD_WEIGHTS = 20.0, {"zero_shot_bucket": 7.0, "duration_bucket": 3.0, "disease_tag": 2.0}
 LEAST = {"speakers": (25, 1.0), "hard": (35, 0.3), "focal": (3, 2.0)}
 
@@ -50,18 +50,16 @@ def score_split(df: DataFrame, ratios: tuple[float, float, float], focal_speaker
     return score.agg(F.sum("s").alias("score"))
 
 
-def search_split(df: DataFrame, group: str, ratios: tuple[float, float, float], *, seed: int = 7, trials: int = 30_000, focal_speaker: str = "", max_groups: int = 100_000, max_cells: int = 1 << 24) -> DataFrame:
-    """Best of ``trials`` random assignments of groups to splits: group, split and score.
+def search_split(df: DataFrame, group: str, ratios: tuple[float, float, float], *, seed: int = 7, trials: int = 30_000, focal_speaker: str = "", chunk: int = 1000) -> DataFrame:
+    """Best of ``trials`` random assignments of groups to splits: group, split and score; the first of equals.
 
-    Groups are reduced to count vectors before anything reaches the driver, and their number is checked. One random stream
-    on the driver makes the orders, so trials do not depend on the cluster; chunks of trials, each of about ``max_cells``
-    places, are scored by tasks, and only the best is gathered, the first of equals.
+    Groups are reduced to count vectors before anything reaches the driver. One random stream makes the orders, so trials do
+    not depend on the cluster: the driver runs through it and keeps the generator's state every ``chunk`` trials, and tasks
+    replay a chunk each and score it. What the driver and the tasks hold grows with the number of groups, not of trials.
     """
     spark = df.sparkSession
     fields = list(FIELD_WEIGHTS)
     keyed = df.select(F.col(group).cast("string").alias("g"), F.col("speaker_id").cast("string").alias("speaker"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields])
-    if keyed.select("g").distinct().count() > max_groups:
-        raise ValueError(f"more than {max_groups} groups: search over a coarser grouping")
     counts = keyed.groupBy("g", "speaker", *fields).agg(F.count("*").alias("n")).toPandas().sort_values(["g", "speaker", *fields])
     names = sorted(counts["g"].unique())
     at = {g: i for i, g in enumerate(names)}
@@ -90,29 +88,34 @@ def search_split(df: DataFrame, group: str, ratios: tuple[float, float, float],
                 score += sum(max(0.0, least - held[k]) * weight for k, (least, weight) in LEAST.items())
         return float(score)
 
-    def best_of(orders: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = spark.sparkContext.broadcast(orders)
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.assign(score=[penalty(shared.value[t]) for t in batch["trial"]])
-
-        scored = spark.range(len(orders)).withColumnRenamed("id", "trial").mapInPandas(score, "trial long, score double")
-        best = scored.agg(F.min_by("trial", F.struct("score", "trial")).alias("t"), F.min("score").alias("score")).first()
-        shared.destroy()
-        return best["score"], orders[best["t"]]
-
-    rng, chunk = random.Random(seed), max(1, max_cells // max(len(names), 1))
-    lowest, order = np.inf, np.arange(0)
-    for first in range(0, trials, chunk):
-        orders = np.empty((min(chunk, trials - first), len(names)), np.int32)
-        for t in range(len(orders)):
+    def chunk_of(state: tuple, count: int) -> Iterator[np.ndarray]:
+        rng = random.Random()
+        rng.setstate(state)
+        for _ in range(count):
             places = list(range(len(names)))
             rng.shuffle(places)
-            orders[t] = places
-        found, best = best_of(orders)
-        if found < lowest:
-            lowest, order = found, best
+            yield np.array(places)
+
+    # one random stream for all trials: the driver keeps its state at each chunk, tasks replay their chunks from there
+    rng, states = random.Random(seed), []
+    for first in range(0, trials, chunk):
+        states.append((first, min(chunk, trials - first), rng.getstate()))
+        for _ in range(states[-1][1] if first + chunk < trials else 0):
+            rng.shuffle(list(range(len(names))))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for first, count, inner in zip(batch["first"], batch["count"], batch["state"], strict=True):
+                found = [penalty(order) for order in chunk_of((3, tuple(map(int, inner)), None), int(count))]
+                best = int(np.argmin(found))
+                rows.append((int(first), best, found[best]))
+            yield pd.DataFrame(rows, columns=["first", "nth", "score"])
+
+    given = spark.createDataFrame([(f, n, [*s[1]]) for f, n, s in states], "first long, count long, state array<long>").repartition(len(states), "first")
+    best = given.mapInPandas(score, "first long, nth long, score double").agg(F.min_by(F.struct("first", "nth"), F.struct("score", "first")).alias("t"), F.min("score").alias("score")).first()
+    lowest, state = best["score"], next(s for f, _, s in states if f == best["t"]["first"])
+    order = [*chunk_of(state, best["t"]["nth"] + 1)][-1]
     out, start = [], 0
     for s in SPLITS:
         out += [(names[i], s, lowest) for i in order[start : start + wanted[s]].tolist()]
@@ -132,7 +135,7 @@ def split_audit(df: DataFrame, splits: tuple[str, ...] = SPLITS) -> DataFrame:
     return frame.join(found, "split", "left").na.fill(0)
 
 
-def speaker_crosstab(df: DataFrame, splits: tuple[str, ...] = SPLITS) -> DataFrame:
-    """Rows of each speaker by split, and whether all splits have some."""
-    out = df.groupBy("speaker_id").agg(*[F.count_if(F.col("split") == s).alias(s) for s in splits], F.min("disease_tag").alias("disease_tag"))
+def speaker_crosstab(df: DataFrame, splits: tuple[str, ...] = SPLITS, order: str = "utt_id") -> DataFrame:
+    """Rows of each speaker by split, the tag of its first row in order, and whether all splits have some."""
+    out = df.groupBy("speaker_id").agg(*[F.count_if(F.col("split") == s).alias(s) for s in splits], F.min_by("disease_tag", order).alias("disease_tag"))
     return out.withColumn("in_all", F.least(*[F.col(s) for s in splits]) > 0)

@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.metrics import rounded
+from talus.operators.shared import ranked
+
+
+def plain_mean(c: str | Column) -> Column:
+    """Average without nulls and NaN; null without values.
+
+    Values are summed as decimals of twelve places, so a mean is the same in whatever order and parts they are added.
+    """
+    value = (F.col(c) if isinstance(c, str) else c).cast("double")
+    value = F.when(~F.isnan(value), value).try_cast("decimal(38,12)")
+    return F.try_divide(F.sum(value).cast("double"), F.count(value))
 
 
 def mean(c: str | Column, places: int = 6) -> Column:
     """Average without nulls and NaN, rounded half to even; null without values."""
-    value = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return rounded(F.avg(F.when(~F.isnan(value), value)), places)
+    return rounded(plain_mean(c), places)
 
 
 def rate_of_all(flag: str) -> Column:
@@ -40,14 +50,16 @@ def label(group_type: Column, group_value: Column) -> Column:
 
 
 def stratified_summary(df: DataFrame, dims: list[str], before: tuple[str, str], after: tuple[str, str]) -> DataFrame:
-    """Means, critical rates and counts of two methods, given as (rate, flag) columns, and the differences of their means."""
+    """Means, critical rates and counts of two methods, given as (rate, flag) columns, and the differences of means and rates.
+
+    Means leave out blank and NaN rates, critical rates leave out blank flags.
+    """
     (b_cer, b_crit), (a_cer, a_crit) = before, after
-    avg = lambda c: F.avg(F.col(c))
-    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+    share = lambda c: F.avg(F.col(c).cast("int"))  # noqa: E731 a blank flag counts neither way
     out = grouping_sets(
-        df, dims, F.count("*").alias("sample_count"), rounded(avg(b_cer)).alias("before_cer"), rounded(avg(a_cer)).alias("after_cer"),
-        rounded(avg(a_cer) - avg(b_cer)).alias("delta_cer"), rounded(share(b_crit)).alias("before_critical_rate"),
-        rounded(share(a_crit)).alias("after_critical_rate"), F.count_if(b_crit).alias("before_critical_count"), F.count_if(a_crit).alias("after_critical_count"),
+        df, dims, F.count("*").alias("sample_count"), mean(b_cer).alias("before_cer"), mean(a_cer).alias("after_cer"),
+        rounded(plain_mean(a_cer) - plain_mean(b_cer)).alias("delta_cer"), rounded(share(b_crit)).alias("before_critical_rate"),
+        rounded(share(a_crit)).alias("after_critical_rate"), rounded(share(a_crit) - share(b_crit)).alias("delta_critical_rate"), F.count_if(b_crit).alias("before_critical_count"), F.count_if(a_crit).alias("after_critical_count"),
     )
     return out.select(label(F.col("group_type"), F.col("group_value")).alias("group"), *out.columns[2:])
 
@@ -100,9 +112,19 @@ def tag_counts(df: DataFrame, tags: str) -> DataFrame:
 def percentiles(df: DataFrame, column: str, places: int = 6) -> DataFrame:
     """min, p01, p05, mean, median, p95, p99, max; percentiles are exact, with linear interpolation."""
     wanted = {"p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99}
-    found = F.percentile(F.col(column).cast("double"), F.array(*[F.lit(v) for v in wanted.values()]))
-    out = df.agg(F.min(column).cast("double").alias("min"), F.avg(column).alias("mean"), F.max(column).cast("double").alias("max"), found.alias("__p"))
-    named = {name: F.col("__p")[i] for i, name in enumerate(wanted)}
+    # values are numbered by sorted ranges, so no task holds them all; of these, two for each percentile are read
+    values = ranked(df.select(F.col(column).cast("double").alias("v")).filter("v is not null"), "v", name="r")
+    n = F.col("n")
+    at = {name: (n - 1) * q + 1 for name, q in wanted.items()}
+    total = values.agg(F.count("*").alias("n"))
+    near = [f(at[name]).cast("long") for name in wanted for f in (F.floor, F.ceil)]
+    picked = values.join(F.broadcast(total), F.array_contains(F.array(*near), F.col("r")))
+    points = picked.agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("r", "v")))).alias("__at"))
+    out = df.agg(F.min(column).cast("double").alias("min"), F.avg(column).alias("mean"), F.max(column).cast("double").alias("max")).crossJoin(points).crossJoin(total)  # one row each
+    named = {}
+    for name, place in at.items():
+        low, high = (F.try_element_at("__at", f(place).cast("long")) for f in (F.floor, F.ceil))
+        named[name] = low + (place - F.floor(place)) * (high - low)
     return out.select(*[rounded(named.get(n, F.col(n)), places).alias(n) for n in ("min", "p01", "p05", "mean", "median", "p95", "p99", "max")])
 
 
@@ -120,6 +142,4 @@ def weighted_means(df: DataFrame, weight: str, *columns: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
     """Distinct values with their place in sorted order, from 0."""
-    from pyspark.sql import Window
-
-    return df.select(column).distinct().withColumn("index", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    return ranked(df.select(column).distinct(), column, name="index").withColumn("index", F.col("index") - 1)

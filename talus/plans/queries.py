@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from talus.functions import metrics, text
-from talus.functions.frames import dtw_udf, interpolate_udf, mean_abs, residual, root_mean_square
-from talus.operators import audit, compare, components, dedupe, infer, leakage, manifest, sampling, splits, summary
-from talus.operators.shared import shared_folder
-from talus.plans.fixture import METHODS, PIECES_SQL, UTTERANCES_SQL, pieces, table, utterances
+from talus.functions.frames import dtw_udf, interpolate_udf, log_mel_udf, mean_abs, residual, root_mean_square, zscore_frames
+from talus.operators import audit, compare, components, dedupe, infer, leakage, manifest, sampling, sequences, splits, summary
+from talus.operators.shared import Workspace, shared_folder
+from talus.plans.fixture import METHODS, PIECES_SQL, UTTERANCES_SQL, distance, pieces, table, utterances
+from talus.sources import audio, tables
 from talus.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,13 +27,19 @@ DIMS = ["zero_shot_bucket", "disease_tag", "duration_bucket", "speaker_id"]
 LAYERS = {"raw": "gt", "normalized": "normal", "skeleton": "skeleton"}
 
 
+def _exact_means(sql: str) -> str:
+    """Averages of rates, which have six decimals, from exact sums of millionths, as ``summary.plain_mean`` takes them from decimals."""
+    total = r"sum(try_cast(round(\1 * 1000000) AS BIGINT))\2::DOUBLE / 1000000"
+    return re.sub(r"avg\((\w+_cer|[cbwz])\)( FILTER \((?:[^()]|\([^()]*\))*\))?", rf"({total} / count(\1)\2)", sql)
+
+
 def query(sql: str | None = None, u: bool = False, p: bool = False) -> Callable[[Query], Query]:
     """Registers a query; ``u`` and ``p`` put the utterances or pieces before its SQL."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {UTTERANCES_SQL if u else PIECES_SQL}{sql}" if u or p else sql
+            SQL[f.__name__] = _exact_means(f"WITH {UTTERANCES_SQL if u else PIECES_SQL}{sql}" if u or p else sql)
         return f
 
     return add
@@ -46,18 +53,18 @@ def cer_per_row(spark, sf):
     return utterances(spark, sf).select("utt_id", "zero_shot_cer", "baseline_cer", "new_method_cer")
 
 
-@query(""" SELECT utt_id, round_even(levenshtein(lower(gt), lower(zero_pred))::DOUBLE / greatest(length(gt), 1), 6) cer FROM u""", u=True)
+@query(f""" SELECT utt_id, round_even({distance("lower(gt)", "lower(zero_pred)")}::DOUBLE / greatest(length(gt), 1), 6) cer FROM u""", u=True)
 def cer_cjk_per_row(spark, sf):
     sign = lambda c: F.translate(F.lower(c), LETTERS, SIGNS)
     return utterances(spark, sf).select("utt_id", metrics.rounded(metrics.cer(sign(F.col("gt")), sign(F.col("zero_pred")))).alias("cer"))
 
 
-@query(""", r AS (SELECT *, levenshtein(gt, new_pred)::DOUBLE / greatest(length(gt), 1) raw, regexp_replace(new_pred, '[^A-Za-z0-9]', '', 'g') bare FROM u)
+@query(f""", r AS (SELECT *, {distance("gt", "new_pred")}::DOUBLE / greatest(length(gt), 1) raw, regexp_replace(new_pred, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]', '', 'g') bare FROM u)
 SELECT count(*) n, count_if(trim(new_pred) = '' OR round_even(raw, 6) >= 0.5) rounded_raw, count_if(bare = '' OR raw >= 0.5) unrounded_bare,
  count_if(utt_id % 11 = 0 OR trim(new_pred) = '' OR round_even(raw, 6) >= 0.5) with_errors FROM r""", u=True)
 def critical_dialects(spark, sf):
     rate, pred = metrics.cer(F.col("gt"), F.col("new_pred")), F.col("new_pred")
-    bare, error = F.regexp_replace("new_pred", "[^A-Za-z0-9]", ""), F.when(F.col("utt_id") % 11 == 0, "E: x").otherwise("")
+    bare, error = F.regexp_replace("new_pred", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", ""), F.when(F.col("utt_id") % 11 == 0, "E: x").otherwise("")
     return utterances(spark, sf).agg(
         F.count("*").alias("n"), F.count_if(metrics.critical(rate, pred)).alias("rounded_raw"), F.count_if(metrics.critical(rate, bare, on_rounded=False)).alias("unrounded_bare"),
         F.count_if(metrics.critical(rate, pred, error=error)).alias("with_errors"),
@@ -82,7 +89,7 @@ _VALUE = lambda dims: "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN {d}" for
 
 @query(f""" SELECT {_LABEL} "group", count(*) sample_count, round_even(avg(zero_shot_cer), 6) before_cer, round_even(avg(new_method_cer), 6) after_cer,
  round_even(avg(new_method_cer) - avg(zero_shot_cer), 6) delta_cer, round_even(avg(zero_shot_critical::INT), 6) before_critical_rate,
- round_even(avg(new_method_critical::INT), 6) after_critical_rate, count_if(zero_shot_critical) before_critical_count, count_if(new_method_critical) after_critical_count
+ round_even(avg(new_method_critical::INT), 6) after_critical_rate, round_even(avg(new_method_critical::INT) - avg(zero_shot_critical::INT), 6) delta_critical_rate, count_if(zero_shot_critical) before_critical_count, count_if(new_method_critical) after_critical_count
 FROM u GROUP BY {_SETS(DIMS)}""", u=True)
 def stratified_summary(spark, sf):
     return summary.stratified_summary(utterances(spark, sf), DIMS, ("zero_shot_cer", "zero_shot_critical"), ("new_method_cer", "new_method_critical"))
@@ -106,12 +113,12 @@ def speaker_summary_rollup(spark, sf):
     return summary.speaker_summary(utterances(spark, sf).withColumns({"pred": F.col("zero_pred"), "cer": F.col("zero_shot_cer"), "critical": F.col("zero_shot_critical")}))
 
 
-@query(""", f AS (SELECT 'raw' form, gt a, zero_pred b FROM u UNION ALL SELECT 'normalized', replace(gt, ' ', ''), replace(zero_pred, ' ', '') FROM u)
-SELECT form, sum(levenshtein(a, b))::BIGINT distance, sum(greatest(length(a), 1))::BIGINT length, count_if(a = b) exact,
- round_even(sum(levenshtein(a, b)) / sum(greatest(length(a), 1)), 6) cer, round_even(count_if(a = b) / count(*), 6) exact_rate FROM f GROUP BY form""", u=True)
+@query(f""", f AS (SELECT 'raw' form, gt a, zero_pred b FROM u UNION ALL SELECT 'normalized', replace(gt, ' ', ''), replace(zero_pred, ' ', '') FROM u UNION ALL SELECT 'textnorm', lower(replace(gt, ' ', '')), lower(replace(zero_pred, ' ', '')) FROM u)
+SELECT form, sum({distance("a", "b")})::BIGINT distance, sum(greatest(length(a), 1))::BIGINT length, count_if(a = b) exact,
+ round_even(sum({distance("a", "b")}) / sum(greatest(length(a), 1)), 6) cer, round_even(count_if(a = b) / count(*), 6) exact_rate FROM f GROUP BY form""", u=True)
 def corpus_cer_micro(spark, sf):
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
-    return summary.corpus_cer(utterances(spark, sf), {"raw": (F.col("gt"), F.col("zero_pred")), "normalized": (bare("gt"), bare("zero_pred"))})
+    return summary.corpus_cer(utterances(spark, sf), {"raw": (F.col("gt"), F.col("zero_pred")), "normalized": (bare("gt"), bare("zero_pred")), "textnorm": (text.normalize_degraded(F.col("gt")), text.normalize_degraded(F.col("zero_pred")))})
 
 
 # text
@@ -326,11 +333,12 @@ def best_so_far(spark, sf):
 
 
 def _keys(df: DataFrame) -> DataFrame:
-    normal = F.regexp_replace(F.lower("gt"), "[^a-z]", "")
+    normal = F.regexp_replace(F.lower("gt"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")
     return df.withColumn("normal", normal).withColumn("skeleton", F.translate("normal", "aeiou", ""))
 
 
-_KEYS = ", t AS (SELECT *, regexp_replace(lower(gt), '[^a-z]', '', 'g') normal, translate(regexp_replace(lower(gt), '[^a-z]', '', 'g'), 'aeiou', '') skeleton FROM u)"
+_NORMAL = "regexp_replace(lower(gt), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '', 'g')"
+_KEYS = f", t AS (SELECT *, {_NORMAL} normal, translate({_NORMAL}, 'aeiou', '') skeleton FROM u)"
 _LAYERED = " UNION ALL ".join(f"SELECT utt_id, split, '{n}' layer, {c} key FROM t" for n, c in LAYERS.items())
 _MATCH = f"""{_KEYS}, l AS ({_LAYERED}), tr AS (SELECT layer, key, count(*) n, list_sort(list(utt_id)) ids FROM l WHERE split = 'train' AND key <> '' GROUP BY ALL),
 m AS (SELECT utt_id, l.layer, coalesce(n, 0) > 0 seen, coalesce(n, 0) match_count, coalesce(array_to_string(ids[1:20], ';'), '') matched_ids FROM l LEFT JOIN tr ON l.layer = tr.layer AND l.key = tr.key WHERE split = 'test')"""
@@ -368,7 +376,7 @@ def overlap_audit(spark, sf):
 _WORDS_SQL = "list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')"
 
 
-@query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_WORDS_SQL}, ' ') || ' ' t FROM documents), i AS (SELECT item_id, array_to_string({_WORDS_SQL}, ' ') p FROM benchmark WHERE len({_WORDS_SQL}) >= 8)
+@query(f"""WITH d AS (SELECT doc_id, ' ' || array_to_string({_WORDS_SQL}, ' ') || ' ' t FROM documents), i AS (SELECT item_id, array_to_string({_WORDS_SQL}, ' ') p FROM benchmark WHERE len({_WORDS_SQL}) > 0)
 SELECT DISTINCT doc_id, item_id FROM d JOIN i ON contains(t, ' ' || p || ' ')""")
 def benchmark_passage_leakage(spark, sf):
     return leakage.passage_containment(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -389,17 +397,43 @@ def duplicate_ids(spark, sf):
     return dedupe.repeated_keys(table(spark, sf, "documents").select(F.md5("text").alias("digest")), "digest")
 
 
-_DOC_LAYERS = {"text": "digest", "size": "size"}
+_DOC_NORMAL = r"regexp_replace(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '', 'g')"
+_COMPONENTS = f"""WITH RECURSIVE k AS (SELECT doc_id, md5(text) raw, md5({_DOC_NORMAL}) normalized, md5(translate({_DOC_NORMAL}, 'aeiou', '')) skeleton FROM documents),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY raw) a, min(doc_id) OVER (PARTITION BY normalized) b, min(doc_id) OVER (PARTITION BY skeleton) c FROM k),
+e AS (SELECT DISTINCT x, y FROM (SELECT doc_id x, unnest([a, b, c]) y FROM m UNION ALL SELECT unnest([a, b, c]), doc_id FROM m)),
+r(node, comp) AS (SELECT doc_id, doc_id FROM k UNION SELECT e.y, r.comp FROM r JOIN e ON e.x = r.node WHERE r.comp < e.y),
+comps AS (SELECT node doc_id, min(comp) comp FROM r GROUP BY node)"""
+
+
+def _text_layers(spark: SparkSession, sf: str) -> DataFrame:
+    normal = F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")
+    return table(spark, sf, "documents").select("doc_id", F.md5("text").alias("raw"), F.md5(normal).alias("normalized"), F.md5(F.translate(normal, "aeiou", "")).alias("skeleton"))
+
+
+_TEXT_LAYERS = {n: n for n in ("raw", "normalized", "skeleton")}
 
 
-@query("""WITH RECURSIVE k AS (SELECT doc_id, md5(text) d, md5(substr(text, length(text) - 79)) e FROM documents), m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY d) a, min(doc_id) OVER (PARTITION BY e) b FROM k),
-e AS (SELECT DISTINCT x, y FROM (SELECT doc_id x, a y FROM m UNION ALL SELECT a, doc_id FROM m UNION ALL SELECT doc_id, b FROM m UNION ALL SELECT b, doc_id FROM m)),
-c(node, comp) AS (SELECT doc_id, doc_id FROM k UNION SELECT e.y, c.comp FROM c JOIN e ON e.x = c.node WHERE c.comp < e.y)
-SELECT node doc_id, min(comp) comp FROM c GROUP BY node""")
+@query(_COMPONENTS + " SELECT doc_id, comp FROM comps")
 def prompt_components(spark, sf):
-    tail = F.md5(F.substr("text", F.greatest(F.length("text") - 79, F.lit(1))))
-    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"), tail.alias("size"))
-    return components.prompt_components(docs, _DOC_LAYERS, "doc_id")
+    return components.prompt_components(_text_layers(spark, sf), _TEXT_LAYERS, "doc_id")
+
+
+_HASHES = ", ".join(f"array_to_string(list_sort(list_transform({n}, lambda v: substr(sha256(v), 1, 16))), ';') {n}_hashes, len({n}) {n}_variants" for n in _TEXT_LAYERS)
+_DIGESTS = f"""{_COMPONENTS}, g AS (SELECT comp, count(*) sample_count, {", ".join(f"list_sort(list(DISTINCT {n})) {n}" for n in _TEXT_LAYERS)} FROM comps JOIN k USING (doc_id) GROUP BY comp),
+ids AS (SELECT comp, substr(sha256('RAW=' || array_to_string(raw, '||') || chr(10) || 'NORMALIZED=' || array_to_string(normalized, '||') || chr(10) || 'SKELETON=' || array_to_string(skeleton, '||')), 1, 16) prompt_id, sample_count, {_HASHES} FROM g)"""
+
+
+@query(_DIGESTS + " SELECT * FROM ids")
+def component_digests(spark, sf):
+    docs = _text_layers(spark, sf)
+    return components.component_digests(docs, components.prompt_components(docs, _TEXT_LAYERS, "doc_id"), _TEXT_LAYERS, "doc_id")
+
+
+@query(_DIGESTS + " SELECT doc_id, prompt_id FROM comps JOIN ids USING (comp)")
+def prompt_ids(spark, sf):
+    docs = _text_layers(spark, sf)
+    comps = Workspace(spark).save(components.prompt_components(docs, _TEXT_LAYERS, "doc_id"), "comps")
+    return components.with_prompt_ids(docs, comps, components.component_digests(docs, comps, _TEXT_LAYERS, "doc_id"), "doc_id").select("doc_id", "prompt_id")
 
 
 @query(""", s AS (SELECT split, count(*) sample_count, count(DISTINCT speaker_id) speaker_count, count_if(zero_shot_bucket = 'easy') zero_easy, count_if(zero_shot_bucket = 'medium') zero_medium,
@@ -409,7 +443,7 @@ def split_audit_pivot(spark, sf):
     return splits.split_audit(utterances(spark, sf))
 
 
-@query(""" SELECT speaker_id, count_if(split = 'train') train, count_if(split = 'dev') dev, count_if(split = 'test') test, min(disease_tag) disease_tag,
+@query(""" SELECT speaker_id, count_if(split = 'train') train, count_if(split = 'dev') dev, count_if(split = 'test') test, arg_min(disease_tag, utt_id) disease_tag,
  least(count_if(split = 'train'), count_if(split = 'dev'), count_if(split = 'test')) > 0 in_all FROM u GROUP BY 1""", u=True)
 def speaker_split_crosstab(spark, sf):
     return splits.speaker_crosstab(utterances(spark, sf))
@@ -486,20 +520,25 @@ def right_biased_merge(spark, sf):
     return dedupe.merged(docs, theirs, "doc_id")
 
 
-@query("SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) folder, coalesce(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') title FROM pages")
+@query("""WITH f AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) folder, page_id::VARCHAR || '.wav' AS name, length(html) n FROM pages),
+l AS (SELECT folder, name, 'lab ' || n::VARCHAR t FROM f WHERE page_id % 3 = 0), r AS (SELECT folder, name, 'row ' || n::VARCHAR t FROM f WHERE page_id % 2 = 0)
+SELECT page_id, coalesce(l.t, r.t, '') gt, CASE WHEN l.t IS NOT NULL THEN '.lab' WHEN r.t IS NOT NULL THEN 'transcript.txt' ELSE '' END gt_source FROM f LEFT JOIN l USING (folder, name) LEFT JOIN r USING (folder, name)""")
 def transcript_lookup(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("folder"), "html")
-    titles = pages.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
-    return pages.drop("html").join(titles, "page_id", "left").select("page_id", "folder", F.coalesce("title", F.lit("")).alias("title"))
+    """Pages stand for audio files: some have a label file, some a row in their folder's table, some both or neither."""
+    folder, name = F.regexp_extract("url", "://([^/?#]*)", 1), F.col("page_id").cast("string")
+    size = F.length("html").cast("string")
+    pages = table(spark, sf, "pages").withColumn("path", F.concat(F.lit("file:/a/"), folder, F.lit("/"), name, F.lit(".wav")))
+    lab = pages.filter("page_id % 3 = 0").select(F.concat(F.lit("/a/"), folder, F.lit("/"), name).alias("stem_path"), F.concat(F.lit("lab "), size).alias("text"))
+    rows = pages.filter("page_id % 2 = 0").select(F.concat(F.lit("file:///a/"), folder).alias("folder"), F.concat(name, F.lit(".wav")).alias("name"), F.concat(F.lit("row "), size).alias("text"))
+    return audio.with_transcripts(pages.select("page_id", "path"), lab, rows).select("page_id", "gt", "gt_source")
 
 
 @query("""SELECT conv_id, turn, length(text) - lag(length(text)) OVER w delta, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) last_user_turn
 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
 def turn_deltas(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    filled = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    size = F.length("text").cast("long")
-    return table(spark, sf, "conversations").select("conv_id", "turn", (size - F.lag(size).over(w)).alias("delta"), filled.alias("last_user_turn"))
+    rows = table(spark, sf, "conversations").withColumns({"size": F.length("text").cast("long"), "user_turn": F.when(F.col("role") == "user", F.col("turn"))})
+    order = ["turn", "role", "text"]
+    return sequences.fill_forward(sequences.step_differences(rows, "conv_id", order, "size", "delta"), "conv_id", order, "user_turn", "last_user_turn").select("conv_id", "turn", "delta", "last_user_turn")
 
 
 # array kernels
@@ -529,11 +568,218 @@ def dtw_align(spark, sf):
     return rows.select(key, dtw_udf("x", "y").alias("r")).select(key, F.size("r.path").alias("steps"), metrics.rounded(F.col("r.cost")).alias("cost"))
 
 
-@query()
+_FRAMES = "list_transform(range(0, 8), lambda i: list_transform(range(0, 8), lambda k: embedding[i * 8 + k + 1]::DOUBLE))"
+
+
+def _frames(vec: str):
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(vec, i * 8 + 1, 8).cast("array<float>"))
+
+
+@query(f"""WITH f AS (SELECT vec_id, {_FRAMES} x FROM embeddings), t AS (SELECT vec_id, x, i, least(greatest((i + 0.5::DOUBLE) * 8 / 12 - 0.5::DOUBLE, 0), 7) spot FROM f, range(12) r(i)),
+v AS (SELECT vec_id, i, k, x[floor(spot)::INT + 1][k] + (spot - floor(spot)) * (x[least(floor(spot)::INT + 1, 7) + 1][k] - x[floor(spot)::INT + 1][k]) v FROM t, range(1, 9) s(k))
+SELECT vec_id, list(round_even(v, 5) + 0.0::DOUBLE ORDER BY i, k) frames FROM v GROUP BY vec_id""")
 def interpolate_frames(spark, sf):
     df, key, vec = _vectors(spark, sf)
-    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(vec, i * 8 + 1, 8).cast("array<float>"))
-    return df.select(key, F.size(interpolate_udf(frames, F.lit(12))).alias("frames"))
+    values = F.flatten(interpolate_udf(_frames(vec), F.lit(12)))
+    return df.select(key, F.transform(values, lambda v: metrics.rounded(v, 5) + 0.0).alias("frames"))
+
+
+@query(f"""WITH f AS (SELECT vec_id, {_FRAMES} x FROM embeddings), v AS (SELECT vec_id, i, k, x[i][k] v FROM f, range(1, 9) a(i), range(1, 9) b(k)),
+z AS (SELECT vec_id, i, k, (v - avg(v) OVER w) / greatest(stddev_samp(v) OVER w, 1e-5) z FROM v WINDOW w AS (PARTITION BY vec_id, k))
+SELECT vec_id, list(round_even(z, 5) + 0.0::DOUBLE ORDER BY i, k) z FROM z GROUP BY vec_id""")
+def vector_zscore(spark, sf):
+    df, key, vec = _vectors(spark, sf)
+    return df.select(key, F.transform(F.flatten(zscore_frames(_frames(vec))), lambda v: metrics.rounded(v, 5) + 0.0).alias("z"))
+
+
+_BROKEN = """CASE vec_id % 7 WHEN 1 THEN NULL WHEN 2 THEN list_transform(x, lambda f: f[1:7]) WHEN 3 THEN x[1:7] WHEN 4 THEN list_transform(x, lambda f: list_transform(f, lambda v: 'nan'::DOUBLE)) ELSE x END"""
+
+
+@query(f"""WITH f AS (SELECT vec_id, {_FRAMES} x FROM embeddings), b AS (SELECT vec_id, x, {_BROKEN} y FROM f)
+SELECT * FROM (SELECT 'error' severity, 'missing_array' code, vec_id::VARCHAR AS key, 'norm' message FROM b WHERE y IS NULL
+UNION ALL SELECT 'error', 'bad_width', vec_id::VARCHAR, 'norm' FROM b WHERE vec_id % 7 = 2 UNION ALL SELECT 'error', 'not_finite', vec_id::VARCHAR, 'norm' FROM b WHERE vec_id % 7 = 4
+UNION ALL SELECT 'error', 'unequal_length', vec_id::VARCHAR, 'norm' FROM b WHERE vec_id % 7 = 3
+UNION ALL SELECT 'error', 'path_shape', vec_id::VARCHAR, 'x/' || vec_id::VARCHAR || '.pt' FROM b WHERE vec_id % 11 = 5)""")
+def vector_audit(spark, sf):
+    """Frames of embeddings, some of them broken in one way each, and some with a path in the wrong place."""
+    df, key, vec = _vectors(spark, sf)
+    x, case = _frames(vec), F.col(key) % 7
+    broken = F.when(case == 1, F.lit(None)).when(case == 2, F.transform(x, lambda f: F.slice(f, 1, 7))).when(case == 3, F.slice(x, 1, 7)).when(case == 4, F.transform(x, lambda f: F.transform(f, lambda v: F.lit(float("nan")).cast("float")))).otherwise(x)
+    name = F.concat(F.col(key).cast("string"), F.lit(".pt"))
+    rows = df.select(key, x.alias("aligned"), broken.alias("norm"), F.lit("train").alias("split"), F.when(F.col(key) % 11 == 5, F.concat(F.lit("x/"), name)).otherwise(F.concat(F.lit("root/train/"), name)).alias("path"))
+    checks = audit.frame_checks({"aligned": 8, "norm": 8}, ["aligned", "norm"]) + audit.path_checks("path", "split", key, "root")
+    return audit.issues(rows, checks, key)
+
+
+@query()
+def log_mel_bins(spark, sf):
+    """Embeddings as very short waves: the log-mel spectrogram's first frame."""
+    df, key, vec = _vectors(spark, sf)
+    return df.select(key, F.transform(log_mel_udf(F.flatten(F.array_repeat(F.col(vec).cast("array<double>"), 10)))[0], lambda v: metrics.rounded(v, 3)).alias("frame"))
+
+
+@query("""WITH w AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) x FROM embeddings), s AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) rms, list_max(list_transform(x, lambda v: abs(v))) top FROM w),
+g AS (SELECT *, pow(10::DOUBLE, (-23.0 - 20 * log10(rms)) / 20) gain FROM s)
+SELECT vec_id, round_even(20 * log10(greatest(rms, 1e-12)), 4) dbfs, round_even(top, 6) peak, round_even(top * CASE WHEN top * gain > 0.99 THEN 0.99 / top ELSE gain END, 4) scaled_peak FROM g""")
+def loudness_levels(spark, sf):
+    df, key, vec = _vectors(spark, sf)
+    wave = F.col(vec).cast("array<double>")
+    rows = df.select(key, wave.alias("x"), audio.normalize_loudness(wave).alias("y"))
+    return rows.select(
+        key, metrics.rounded(metrics.dbfs(metrics.mean_square(F.col("x"))), 4).alias("dbfs"), metrics.rounded(metrics.peak(F.col("x")), 6).alias("peak"),
+        metrics.rounded(metrics.peak(F.col("y")), 4).alias("scaled_peak"),
+    )
+
+
+# sources and sinks, as round trips through the shared folder
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id::VARCHAR doc_id, text, lang, '' missing FROM documents")
+def csv_round_trip(spark, sf):
+    path, columns = _place(spark, "csv"), ["doc_id", "text", "lang", "missing"]
+    tables.write_csv(table(spark, sf, "documents"), path, columns)
+    return tables.read_csv(spark, path, columns)
+
+
+@query("""WITH a AS (SELECT doc_id::VARCHAR id, 'one' AS file FROM documents WHERE doc_id % 3 = 0), b AS (SELECT doc_id::VARCHAR id, 'two' AS file FROM documents WHERE doc_id % 2 = 0)
+SELECT id, file, false repeated FROM a UNION ALL SELECT id, file, false FROM b WHERE id NOT IN (SELECT id FROM a) UNION ALL SELECT id, '', true FROM b WHERE id IN (SELECT id FROM a)""")
+def csv_union_first(spark, sf):
+    """Two files that share ids: the first file's rows, what the second adds, and the ids left out."""
+    docs, paths = table(spark, sf, "documents"), []
+    for name, part in (("one", docs.filter("doc_id % 3 = 0")), ("two", docs.filter("doc_id % 2 = 0"))):
+        paths.append(_place(spark, f"csv-{name}"))
+        tables.write_csv(part.select(F.col("doc_id").alias("id"), F.lit(name).alias("file")), paths[-1], ["id", "file"], strict=True)
+    rows, repeated = tables.read_csvs(spark, paths, ["id", "file"], "id")
+    return rows.withColumn("repeated", F.lit(False)).unionByName(repeated.select("id", F.lit("").alias("file"), F.lit(True).alias("repeated")))
+
+
+@query("SELECT conv_id, turn, role, text, count(*) OVER () lines FROM conversations")
+def jsonl_round_trip(spark, sf):
+    path, rows = _place(spark, "jsonl"), table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    tables.write_jsonl(rows, path)
+    lines = tables.count_lines(spark, path)
+    return tables.read_jsonl(spark, path, rows.schema, required=["conv_id", "turn"]).withColumn("lines", F.lit(lines).cast("long"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'again' ELSE 'once' END state FROM documents")
+def jsonl_cache_last(spark, sf):
+    """A log to which later runs append: the last line of each key counts."""
+    path, docs = _place(spark, "log"), table(spark, sf, "documents").select("doc_id")
+    both = docs.withColumn("state", F.lit("once")).withColumn("nth", F.lit(0)).unionByName(docs.filter("doc_id % 4 = 0").withColumn("state", F.lit("again")).withColumn("nth", F.lit(1)))
+    tables.write_jsonl(both.repartitionByRange(2, "nth").sortWithinPartitions("nth").drop("nth"), path)
+    return tables.read_jsonl_cache(spark, path, "doc_id long, state string", "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'validation' END split FROM documents")
+def json_split_dict(spark, sf):
+    docs, paths = table(spark, sf, "documents").select("doc_id"), {}
+    for name, rule in (("train", "doc_id % 10 < 8"), ("validation", "doc_id % 10 >= 8")):
+        paths[name] = _place(spark, name)
+        tables.write_jsonl(docs.filter(rule), paths[name])
+    return tables.read_splits(spark, paths, "doc_id long")
+
+
+@query("SELECT lang, source, count(*) n FROM documents GROUP BY ALL")
+def partitioned_payloads(spark, sf):
+    path = _place(spark, "payloads")
+    tables.write_partitioned(table(spark, sf, "documents"), path, "lang", "source")
+    return spark.read.parquet(path).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT vec_id::VARCHAR AS key, 'load_error' code, 'payload is absent' message FROM embeddings WHERE vec_id % 5 = 0
+UNION ALL SELECT vec_id::VARCHAR, 'missing_array', 'aligned' FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 3 = 0 UNION ALL SELECT vec_id::VARCHAR, 'missing_array', 'residual' FROM embeddings WHERE vec_id % 5 <> 0""")
+def payload_issues(spark, sf):
+    """Payloads of which some are absent, some lack an array, and all lack another."""
+    df, key, vec = _vectors(spark, sf)
+    path = _place(spark, "frames")
+    df.filter(f"{key} % 5 <> 0").select(key, F.when(F.col(key) % 3 != 0, F.col(vec)).alias("aligned")).write.parquet(path)
+    return tables.load_payloads(spark, path, df.select(key), key, ["aligned", "residual"])[1]
+
+
+@query("SELECT 'checkpoint-' || o_orderkey::VARCHAR AS path, o_orderkey step, o_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1) keep FROM orders")
+def checkpoint_retention(spark, sf):
+    orders = table(spark, sf, "orders").select(F.lit("r").alias("run"), F.col("o_orderkey").alias("step"), F.col("o_totalprice").alias("cer"))
+    paths = orders.select(F.concat(F.lit("checkpoint-"), F.col("step").cast("string")).alias("path"))
+    return audio.retention(paths, compare.best_checkpoint(orders))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) row_no, printf('test_%04d', row_number() OVER (ORDER BY o_totalprice, o_orderkey)) sample_key FROM orders")
+def numbered_rows(spark, sf):
+    return dedupe.numbered(table(spark, sf, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "row_no", "sample_key")
+
+
+@query("SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS index FROM (SELECT DISTINCT p_brand FROM part)")
+def vocabulary_index(spark, sf):
+    return summary.vocabulary(table(spark, sf, "part"), "p_brand")
+
+
+@query("SELECT doc_id, md5(text) digest FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1")
+def later_copies(spark, sf):
+    return dedupe.later_duplicates(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest")), ["digest"], "doc_id")
+
+
+@query("SELECT round_even(sum(l_discount * l_quantity) / greatest(sum(l_quantity), 1), 6) l_discount, round_even(sum(l_tax * l_quantity) / greatest(sum(l_quantity), 1), 6) l_tax FROM lineitem")
+def frame_weighted_means(spark, sf):
+    rows = table(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    return summary.weighted_means(rows, "l_quantity", "l_discount", "l_tax")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25")
+def longest_rows(spark, sf):
+    return sampling.longest(table(spark, sf, "documents"), 25, "n_chars", "doc_id").select("doc_id", "n_chars")
+
+
+@query("""SELECT utt_id::VARCHAR utt_id, speaker_id patient_id, gt clean_text, '' jyutping, '/a/' || utt_id::VARCHAR || '.wav' dys_wav_path, '/tts/' || split || '/' || utt_id::VARCHAR || '.wav' norm_wav_path, split,
+ '' prompt_id, zero_shot_bucket, utt_id::VARCHAR duration, '' source_manifest FROM u""", u=True)
+def pair_manifest(spark, sf):
+    rows = utterances(spark, sf).withColumns({"clean_gt": F.col("gt"), "audio": F.concat(F.lit("/a/"), F.col("utt_id").cast("string"), F.lit(".wav")), "duration": F.col("utt_id")})
+    return manifest.pair_rows(rows, "/tts")
+
+
+@query(""" SELECT 'P:' prefix_text, '' prompt, '/a' audio, gt target FROM pc""", p=True)
+def chat_prefix_rows(spark, sf):
+    rows = pieces(spark, sf).select(F.lit(None).cast("string").alias("prompt"), F.lit("/a").alias("audio"), F.col("gt").alias("text"))
+    return manifest.prefix_rows(rows, lambda prompt: F.concat(F.lit("P:"), prompt))
+
+
+@query(f""", r AS (SELECT utt_id, lower(replace(gt, ' ', '')) a, lower(replace(new_pred, ' ', '')) b, new_pred FROM u), d AS (SELECT *, {distance("a", "b")}::DOUBLE / greatest(length(a), 1) rate FROM r)
+SELECT utt_id, round_even(rate, 6) cer, trim(new_pred) = '' OR round_even(rate, 6) >= 0.5 critical, CASE WHEN trim(new_pred) = '' THEN 'blank_prediction' WHEN round_even(rate, 6) >= 0.5 THEN 'textnorm_cer>=0.5' ELSE '' END reason FROM d""", u=True)
+def scored_rows(spark, sf):
+    return metrics.score_row(utterances(spark, sf), pred="new_pred", normalise=text.normalize_degraded).select("utt_id", "cer", "critical", "reason")
+
+
+_SPARSE = "CASE WHEN utt_id % 7 = 0 THEN NULL ELSE {0} END"
+
+
+@query(f""", s AS (SELECT duration_bucket, CASE utt_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE ELSE zero_shot_cer END z, new_method_cer w, {_SPARSE.format("zero_shot_critical")} zc, new_method_critical wc FROM u),
+a AS (SELECT duration_bucket, count(*) sample_count, avg(z) FILTER (NOT isnan(z)) z, avg(w) w, avg(zc::INT) zc, avg(wc::INT) wc, count_if(zc) zn, count_if(wc) wn FROM s GROUP BY GROUPING SETS ((), (duration_bucket)))
+SELECT coalesce('duration_bucket=' || duration_bucket, 'overall') "group", sample_count, round_even(z, 6) before_cer, round_even(w, 6) after_cer, round_even(w - z, 6) delta_cer, round_even(zc, 6) before_critical_rate,
+ round_even(wc, 6) after_critical_rate, round_even(wc - zc, 6) delta_critical_rate, zn before_critical_count, wn after_critical_count FROM a""", u=True)
+def stratified_summary_with_gaps(spark, sf):
+    """Blank and NaN rates and blank flags, which the summary leaves out."""
+    case = F.col("utt_id") % 5
+    rows = utterances(spark, sf).withColumns({
+        "z": F.when(case == 0, F.lit(None)).when(case == 1, F.lit(float("nan"))).otherwise(F.col("zero_shot_cer")), "zc": F.when(F.col("utt_id") % 7 != 0, F.col("zero_shot_critical")),
+    })
+    return summary.stratified_summary(rows, ["duration_bucket"], ("z", "zc"), ("new_method_cer", "new_method_critical"))
+
+
+@query(f""", s AS (SELECT nullif(duration_bucket, 'short') g, CASE WHEN utt_id % 5 = 1 THEN 'nan'::DOUBLE ELSE zero_shot_cer END z, baseline_cer b, new_method_cer w, coalesce({_SPARSE.format("zero_shot_critical")}, false) zc, baseline_critical bc, new_method_critical wc FROM u),
+a AS (SELECT g, grouping(g) k, count(*) n, avg(z) FILTER (NOT isnan(z)) z, avg(b) b, avg(w) w, avg(zc::INT) zr, avg(bc::INT) br, avg(wc::INT) wr, count_if(zc) zn, count_if(bc) bn, count_if(wc) wn FROM s GROUP BY GROUPING SETS ((), (g)))
+SELECT CASE WHEN k = 1 THEN 'overall' ELSE 'g' END group_type, CASE WHEN k = 1 THEN 'all' ELSE g END group_value, n sample_count, round_even(z, 6) zero_shot_cer, round_even(b, 6) baseline_cer, round_even(w, 6) new_method_cer,
+ round_even(w - b, 6) delta_new_vs_baseline_cer, round_even(w - z, 6) delta_new_vs_zero_cer, round_even(zr, 6) zero_shot_critical_rate, round_even(br, 6) baseline_critical_rate, round_even(wr, 6) new_method_critical_rate,
+ zn zero_shot_critical_count, bn baseline_critical_count, wn new_method_critical_count FROM a WHERE k = 1 OR g IS NOT NULL""", u=True)
+def three_way_summary_with_gaps(spark, sf):
+    """NaN rates are in no mean, blank flags count as false, and blank groups are none."""
+    rows = utterances(spark, sf).withColumns({
+        "g": F.nullif("duration_bucket", F.lit("short")), "zero_shot_cer": F.when(F.col("utt_id") % 5 == 1, F.lit(float("nan"))).otherwise(F.col("zero_shot_cer")),
+        "zero_shot_critical": F.when(F.col("utt_id") % 7 != 0, F.col("zero_shot_critical")),
+    })
+    return compare.three_way_summary(rows, ["g"])
 
 
 # inference and streams
@@ -564,9 +810,20 @@ def streaming_sessions(spark, sf):
     return windows.sessions(table(spark, sf, "events"))
 
 
-@query("SELECT event_id, user_id FROM events ORDER BY md5(event_id::VARCHAR), event_id LIMIT 50")
+@query()
 def seeded_sample(spark, sf):
-    return table(spark, sf, "events").orderBy(F.md5(F.col("event_id").cast("string")), "event_id").limit(50).select("event_id", "user_id")
+    return sampling.driver_shuffle(table(spark, sf, "events"), 50, "event_id").select("event_id", "user_id")
+
+
+@query()
+def hashed_sample(spark, sf):
+    return sampling.hash_sample(table(spark, sf, "events"), 50, "event_id").select("event_id", "user_id")
+
+
+@query()
+def edges_and_sample(spark, sf):
+    rows = utterances(spark, sf).select("utt_id", "split")
+    return sampling.edges_and_sample(rows, 30, "utt_id")
 
 
 @query()
@@ -577,10 +834,9 @@ def demo_pick(spark, sf):
 @query()
 def fs_manifest_scan(spark, sf):
     """Writes small files of speech-like names and reads their headers back."""
-    from talus.sources.audio import discover, wav_header
     from talus.sources.sample import write_sample_tree
 
-    root = f"{shared_folder(spark).removeprefix('file:')}/audio-{uuid.uuid4().hex}"
-    write_sample_tree(root)
-    files = discover(spark, root).withColumn("h", wav_header("content"))
+    root = _place(spark, "audio")
+    write_sample_tree(spark, root)
+    files = audio.discover(spark, root).withColumn("h", audio.wav_header("content"))
     return files.select("rel_path", "speaker", "session", "audio_id", "h.duration_sec", "h.error")

@@ -108,6 +108,32 @@ def with_transcripts(files: DataFrame, lab: DataFrame, table: DataFrame) -> Data
     return rows.withColumns({"gt": F.coalesce("__lab", "__row", F.lit("")), "gt_source": source}).drop("__lab", "__row", "stem_path", "folder", "name")
 
 
+def paired_labels(files: DataFrame, lab: DataFrame) -> DataFrame:
+    """Audio files with the text of the label file beside each as ``gt``; a file without one is an error, as is an empty folder."""
+    from talus.operators.dedupe import require_empty, require_rows
+
+    same = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    rows = require_rows(files, "audio folder").withColumn("stem_path", same(F.regexp_replace("path", r"\.[^./]*$", "")))
+    lab = lab.select(same(F.col("stem_path")).alias("stem_path"), F.col("text").alias("gt"))
+    require_empty(rows.join(lab, "stem_path", "left_anti").select("path").orderBy("path"), "audio without a label file")
+    return rows.join(lab, "stem_path").drop("stem_path")
+
+
+def checkpoint_folders(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of the folders in ``root``, from a listing by Hadoop's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return spark.createDataFrame([(f.getPath().toString(),) for f in found if f.isDirectory()], "path string")
+
+
+def retention(paths: DataFrame, best: DataFrame, column: str = "path") -> DataFrame:
+    """``path``, ``step`` and ``keep`` of folders named checkpoint-N: the best step stays. A report; nothing is deleted."""
+    step = F.regexp_extract(column, r"checkpoint-(\d+)$", 1).try_cast("long")
+    rows = paths.withColumn("step", step).filter("step is not null")
+    kept = best.select(F.col("best_step").cast("long").alias("step"), F.lit(True).alias("keep"))
+    return rows.join(F.broadcast(kept.distinct()), "step", "left").select(column, "step", F.coalesce("keep", F.lit(False)).alias("keep"))
+
+
 def latest_checkpoint(paths: DataFrame, column: str = "path") -> DataFrame:
     """Of folders named checkpoint-N, the one with the largest N."""
     step = F.regexp_extract(column, r"checkpoint-(\d+)$", 1).try_cast("long")

@@ -71,13 +71,41 @@ def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
 
 
 def to_markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown; ``limit`` rows are the report's bound."""
+    """A table as Markdown. A report has ``limit`` rows at most; if there are more, its last line says so."""
     from talus.functions.text import escape_cell
 
-    cells = df.select(*[escape_cell(F.col(f"`{c}`")).alias(c) for c in df.columns]).limit(limit)
-    rows = [df.columns, ["---"] * len(df.columns), *[[*r] for r in cells.collect()]]
-    return "\n".join("| " + " | ".join(row) + " |" for row in rows)
+    cells = df.select(*[escape_cell(F.col(f"`{c}`")).alias(c) for c in df.columns]).limit(limit + 1).collect()
+    rows = [df.columns, ["---"] * len(df.columns), *[[*r] for r in cells[:limit]]]
+    more = [f"\nOnly the first {limit} rows are shown."] if len(cells) > limit else []
+    return "\n".join(["| " + " | ".join(row) + " |" for row in rows] + more)
 
 
 def summary_json(row: DataFrame) -> str:
     return row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()["j"]
+
+
+def read_splits(spark: SparkSession, paths: dict[str, str], schema: str | T.StructType) -> DataFrame:
+    """JSON lines of several splits as one table with the column ``split``."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [read_jsonl(spark, path, schema).withColumn("split", F.lit(name)) for name, path in paths.items()])
+
+
+def read_keyed(spark: SparkSession, path: str, columns: list[str], key: str) -> dict[str, dict[str, str]]:
+    """A summary table of one row per key, as a dictionary; of repeated keys the last line counts. Summaries are small by kind."""
+    return {r[key]: r.asDict() for r in read_csv(spark, path, columns).collect()}
+
+
+def load_payloads(spark: SparkSession, path: str, manifest: DataFrame, key: str, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Manifest rows with their payload columns, and an issue row (key, code, message) for each payload that cannot be used.
+
+    A payload that is absent, or lacks an array, is an issue and no error; its columns are null.
+    """
+    payloads = spark.read.parquet(path)
+    lacking = [c for c in wanted if c not in payloads.columns]
+    payloads = payloads.withColumns({c: F.lit(None).cast("array<double>") for c in lacking}).select(F.col(key), *wanted, F.lit(True).alias("__found"))
+    rows = manifest.join(payloads, key, "left")
+    absent = F.when(F.col("__found").isNull(), F.struct(F.lit("load_error").alias("code"), F.lit("payload is absent").alias("message")))
+    blank = [F.when(F.col("__found") & F.col(c).isNull(), F.struct(F.lit("missing_array").alias("code"), F.lit(c).alias("message"))) for c in wanted]
+    issues = rows.select(F.col(key).cast("string").alias("key"), F.explode(F.array_compact(F.array(absent, *blank))).alias("i")).select("key", "i.*")
+    return rows.drop("__found"), issues

@@ -92,6 +92,15 @@ def test_digest_and_ids(spark):
 def test_phonetic_key_marks_unknown_signs(spark):
     lexicon = F.create_map(F.lit("你"), F.lit("nei5"))
     assert values(spark, [("你x",)], "a string", text.phonetic_key(F.col("a"), lexicon)) == [("nei5 UNK:x",)]
+    words = F.create_map(*[F.lit(x) for x in ("行", "hang4", "銀行", "ngan4 hong4", "你", "nei5")])
+    got = values(spark, [("你銀行行",), ("銀",), ("",)], "a string", text.phonetic_key(F.col("a"), words, longest=3))
+    assert got == [("nei5 ngan4 hong4 hang4",), ("UNK:銀",), ("",)]
+
+
+def test_unsafe_numerals_and_partial_maps(spark):
+    got = values(spark, [("廿十零",), ("二十",), ("x",)], "a string", text.unsafe_numerals(F.col("a")))
+    assert got == [(True,), (False,), (False,)]
+    assert values(spark, [("体汉",)], "a string", text.to_traditional(F.col("a"), without=text.LEAKAGE_UNMAPPED)) == [("体漢",)]
 
 
 def test_dtw_of_a_sequence_with_itself_is_the_diagonal():

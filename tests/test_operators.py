@@ -1,12 +1,14 @@
 """Operators on small tables with known answers."""
 
 import inspect
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from talus.operators import audit, compare, components, dedupe, infer, leakage, manifest, sampling, splits, summary
+from talus.operators.shared import ranked
 from talus.plans import queries
 from talus.sources import audio, tables
 from talus.sources.sample import write_sample_tree
@@ -34,8 +36,8 @@ def test_three_way_needs_every_row(spark):
     base = spark.createDataFrame([(1, 0.5, 0.4)], "utt_id int, zero_shot_cer double, baseline_cer double")
     new = spark.createDataFrame([(1, 0.9, True, 1), (1, 0.1, False, 2), (7, 0.0, False, 1)], "utt_id int, cer double, critical boolean, position int")
     assert compare.three_way(base, new).first()["new_method_cer"] == 0.1
-    with pytest.raises(ValueError, match="without a new prediction"):
-        compare.three_way(base, new.filter("utt_id = 7"))
+    with pytest.raises(Exception, match="rows without a new prediction"):
+        compare.three_way(base, new.filter("utt_id = 7")).collect()
 
 
 @pytest.mark.parametrize(("n", "wanted"), [(3, (3, 0, 0)), (4, (3, 0, 1)), (9, (8, 0, 1)), (10, (8, 1, 1)), (15, (11, 2, 2)), (25, (21, 2, 2))])
@@ -106,7 +108,7 @@ def test_search_agrees_with_scorer_and_beats_the_worst(spark):
 def test_search_runs_all_trials_of_the_reference(spark, monkeypatch):
     df = spark.createDataFrame([(f"g{i % 30}", f"s{i % 7}", ("hard", "easy", "medium")[i * i % 3], ("short", "long")[i % 5 == 0], ("HD", "SCA")[i % 4 == 0]) for i in range(95)], "g string, speaker_id string, zero_shot_bucket string, duration_bucket string, disease_tag string")
     whole = sorted(map(tuple, splits.search_split(df, "g", (0.8, 0.1, 0.1), trials=500).collect()))
-    assert whole == sorted(map(tuple, splits.search_split(df, "g", (0.8, 0.1, 0.1), trials=500, max_cells=30 * 180).collect()))
+    assert whole == sorted(map(tuple, splits.search_split(df, "g", (0.8, 0.1, 0.1), trials=500, chunk=180).collect()))
     asked, search = [], splits.search_split
     monkeypatch.setattr(splits, "search_split", lambda *a, **k: asked.append(k.get("trials")))
     monkeypatch.setattr(queries, "utterances", lambda *a: df.withColumn("disease_tag", df.disease_tag))
@@ -154,9 +156,13 @@ def test_inference_retries_rows_and_resumes(spark, tmp_path):
     got = {r["k"]: (r["pred"], r["inference_error"]) for r in infer.batch_infer(df, Flaky, key="k", source="s").collect()}
     assert got == {"1": ("aa", ""), "2": ("bb", ""), "3": ("", "RuntimeError: no")}
     path = str(tmp_path / "out")
-    infer.resume_infer(df.filter("k < 3"), None, Flaky, key="k", source="s", path=path)
-    every = infer.resume_infer(df, spark.read.parquet(path), Flaky, key="k", source="s", path=path)
-    assert every.count() == 3 and every.select("k").distinct().count() == 3
+    infer.resume_infer(df.filter("k < 3"), None, Flaky, key="k", source="s", path=path, run="1")
+    for _ in range(2):  # a run that is repeated replaces itself
+        every = infer.resume_infer(df, spark.read.parquet(f"{path}/run=1"), Flaky, key="k", source="s", path=path, run="2")
+        assert every.count() == 3 and every.select("k").distinct().count() == 3
+    with pytest.raises(Exception, match="no"):
+        infer.infer_or_fail(df, Flaky, key="k", source="s").collect()
+    assert rows(infer.infer_or_fail(df.filter("k = 1"), Flaky, key="k", source="s")) == [("1", "aa")]
 
 
 def test_csv_and_jsonl_round_trips(spark, tmp_path):
@@ -180,7 +186,7 @@ def test_progress_log_keeps_the_last_line(spark, tmp_path):
 
 def test_discovery_headers_and_transcripts(spark, tmp_path):
     root = str(tmp_path / "data")
-    write_sample_tree(root)
+    write_sample_tree(spark, root)
     with open(os.path.join(root, "a_HD/s1/transcript.txt"), "w") as f:
         f.write("filename,transcript\nu1.wav,one, two\nno comma\n")
     with open(os.path.join(root, "a_HD/s1/u2.lab"), "w") as f:
@@ -192,6 +198,98 @@ def test_discovery_headers_and_transcripts(spark, tmp_path):
     assert got["u1"]["session"] == "s1" and got["u3"]["session"] == "" and got["u3"]["gt"] == ""
 
 
+def test_label_files_must_be_complete(spark, tmp_path):
+    root = str(tmp_path / "pairs")
+    write_sample_tree(spark, root)
+    files = audio.discover(spark, root).filter("audio_id = 'u1'")
+    with pytest.raises(ValueError, match="without a label file"):
+        audio.paired_labels(files, audio.labels(spark, root))
+    (tmp_path / "pairs/a_HD/s1/u1.lab").write_text("one")
+    assert audio.paired_labels(files, audio.labels(spark, root)).first()["gt"] == "one"
+    with pytest.raises(ValueError, match="empty"):
+        audio.paired_labels(files.limit(0), audio.labels(spark, root))
+    mono = audio.discover(spark, root).filter("audio_id = 'u2'").select(audio.wav_mono("content", F.lit(8000)).alias("w")).first()["w"]
+    assert len(mono) == 2000 and audio.missing_files(spark.createDataFrame([("x",)], "path string"), "path", files).count() == 1
+
+
+def test_checkpoints_to_keep(spark, tmp_path):
+    for name in ("checkpoint-2", "checkpoint-10", "other"):
+        (tmp_path / name).mkdir()
+    found = audio.checkpoint_folders(spark, str(tmp_path))
+    assert audio.latest_checkpoint(found).first()["step"] == 10
+    kept = audio.retention(found, spark.createDataFrame([("r", 2, 0.1)], "run string, best_step long, best_score double"))
+    assert {(r["step"], r["keep"]) for r in kept.collect()} == {(2, True), (10, False)}
+
+
+def test_required_rows_and_prefixes(spark):
+    df = spark.createDataFrame([(2, 5.0), (1, None), (3, 9.0)], "utt_id int, duration double")
+    assert [r["utt_id"] for r in sampling.longest(df, 3).collect()] == [3, 2, 1] and sampling.head(df, 0, "utt_id").count() == 3
+    assert [r["utt_id"] for r in sampling.head(df, 2, "utt_id").collect()] == [1, 2]
+    assert [r["utt_id"] for r in dedupe.require_all(spark.createDataFrame([(3,), (1,)], "utt_id int"), df, "utt_id").collect()] == [1, 3]
+    with pytest.raises(ValueError, match="missing rows: 7, 8"):
+        dedupe.require_all(spark.createDataFrame([(8,), (7,), (1,)], "utt_id int"), df, "utt_id")
+    with pytest.raises(ValueError, match="empty"):
+        dedupe.require_rows(df.limit(0))
+    joined, missing = dedupe.matched_and_missing(df, spark.createDataFrame([(1, "x")], "utt_id int, v string"), "utt_id")
+    assert joined.count() == 1 and {r[0] for r in missing.collect()} == {2, 3}
+    rows_of = spark.createDataFrame([("train", "generated"), ("train", None), ("train", "exists"), ("dev", "generated")], "split string, status string")
+    assert manifest.of_split(rows_of, "train").count() == 1 and manifest.without(rows_of, ["split", "none"]).columns == ["split"]
+
+
+def test_modules_of_presets(spark):
+    names = spark.createDataFrame([("audio.layers.0.q_proj",), ("audio.layers.0.out_proj",), ("text.layers.0.q_proj",), ("audio.fc1",)], "name string")
+    got = lambda preset: [r[0] for r in audit.target_modules(names, begins=("audio.",), ends=audit.PRESET_ENDS[preset]).collect()]
+    assert got("attn_qkv") == ["audio.layers.0.q_proj"] and got("attn_qkvo") == ["audio.layers.0.out_proj", "audio.layers.0.q_proj"] and got("ffn") == ["audio.fc1"]
+    with pytest.raises(ValueError, match="empty"):
+        audit.target_modules(names, begins=("none.",))
+
+
+def test_split_score_of_the_published_audit(spark):
+    """The published split by its counts: buckets, durations, tags, distinct speakers and rows of the focal speaker."""
+    counts = {
+        "train": (71, 54, (1092, 608, 459), (18, 497, 1400, 241, 3), (96, 208, 1855)),
+        "dev": (61, 6, (140, 78, 55), (2, 62, 189, 20, 0), (12, 24, 237)),
+        "test": (43, 6, (135, 78, 62), (1, 65, 174, 34, 1), (12, 26, 237)),
+    }
+    buckets, durations, tags = ("easy", "medium", "hard"), ("very_short", "short", "medium", "long", "very_long"), ("HD", "SCA", "unknown")
+    made, spell = [], lambda names, ns: [n for n, k in zip(names, ns, strict=True) for _ in range(k)]
+    for split, (speakers, focal, *parts) in counts.items():
+        columns = [spell(names, ns) for names, ns in zip((buckets, durations, tags), parts, strict=True)]
+        made += [(split, "focal" if i < focal else f"s{i % (speakers - 1)}", *row) for i, row in enumerate(zip(*columns, strict=True))]
+    df = spark.createDataFrame(made, "split string, speaker_id string, zero_shot_bucket string, duration_bucket string, disease_tag string")
+    assert round(splits.score_split(df, (0.8, 0.1, 0.1), "focal").first()["score"], 6) == 1.358495
+
+
+def test_short_passages_are_found(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "three  four"), (3, None), (4, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "three four"), (2, "two three four five six seven eight nine"), (3, "x"), (4, ""), (5, None), (6, "one two three four five six seven eight ten")], "item_id long, text string")
+    assert rows(leakage.passage_containment(docs, items)) == [(1, 1), (1, 2), (2, 1), (4, 3)]
+
+
+def test_numbers_of_rows_in_many_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"), F.col("id"))
+    got = {r["row_no"]: r["v"] for r in ranked(df, "v").collect()}
+    assert got == {i + 1: i for i in range(1000)} and ranked(df.limit(0), "v").count() == 0
+    empty = summary.percentiles(spark.createDataFrame([(None,)], "x double"), "x").first()
+    assert empty["p01"] is None and summary.percentiles(spark.createDataFrame([(1.0,), (2.0,), (None,)], "x double"), "x").first()["median"] == 1.5
+
+
+def test_progress_lines(spark, tmp_path):
+    import time
+
+    lines = []
+    listener = audit.Progress(lines.append)
+    spark.streams.addListener(listener)
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    windows.process_new(windows.read_stream(spark, str(tmp_path / "in"), "id long"), lambda b: b, str(tmp_path / "out"), str(tmp_path / "mark"))
+    for _ in range(50):
+        if any('"ended"' in line for line in lines):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert sum(json.loads(line).get("rows", 0) for line in lines) == 5
+
+
 def test_latest_checkpoint(spark):
     df = spark.createDataFrame([("x/checkpoint-9",), ("x/checkpoint-10",), ("x/other",)], "path string")
     assert rows(audio.latest_checkpoint(df)) == [("x/checkpoint-10", 10)]
