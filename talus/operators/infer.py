@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talus.operators.dedupe import remaining
 
@@ -70,3 +71,58 @@ def infer_or_fail(df: DataFrame, make: Callable[[], Transcriber], *, key: str, s
 
     out = df.selectExpr(f"cast(`{key}` as string) key", f"`{source}` source").mapInPandas(run, "key string, pred string")
     return out.withColumnRenamed("key", key)
+
+
+class Embedder(Protocol):
+    def embed(self, inputs: list[str]) -> list[list[list[float]]]:
+        """Frames of vectors for each input."""
+
+
+def extract_frames(df: DataFrame, make: Callable[[], Embedder], *, key: str, source: str, batch: int = 8) -> DataFrame:
+    """key and frames, by a model that is made once per task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for rows in batches:
+            out = []
+            for start in range(0, len(rows), batch):
+                out += model.embed(rows["source"].iloc[start : start + batch].tolist())
+            yield pd.DataFrame({"key": rows["key"], "frames": out})
+
+    out = df.selectExpr(f"cast(`{key}` as string) key", f"`{source}` source").mapInPandas(run, "key string, frames array<array<double>>")
+    return out.withColumnRenamed("key", key)
+
+
+class Synthesizer(Protocol):
+    def speak(self, text: str) -> bytes:
+        """Audio of one text."""
+
+
+def synthesize(df: DataFrame, existing: DataFrame, make: Callable[[], Synthesizer], *, key: str, text: str, overwrite: bool = False) -> DataFrame:
+    """key, status (exists, generated or error), audio (null unless generated) and error, for each row.
+
+    Rows whose key is in ``existing`` are not spoken again unless ``overwrite``; a row that fails is recorded and the rest go on.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for rows in batches:
+            out = []
+            for one, known, words in zip(rows["key"], rows["known"], rows["text"], strict=True):
+                if known:
+                    out.append((one, "exists", None, ""))
+                    continue
+                try:
+                    out.append((one, "generated", model.speak(words or ""), ""))
+                except Exception as error:  # noqa: BLE001 recorded with the row
+                    out.append((one, "error", None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(out, columns=["key", "status", "audio", "error"])
+
+    done = existing.select(key).distinct().withColumn("known", F.lit(not overwrite))
+    rows = df.join(done, key, "left").select(F.col(key).cast("string").alias("key"), F.coalesce("known", F.lit(False)).alias("known"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "key string, status string, audio binary, error string").withColumnRenamed("key", key)
+
+
+def smoke(spark: SparkSession, make: Callable[[], Transcriber], source: str) -> str:
+    """The output for one input, by the same path as a whole table."""
+    return infer_or_fail(spark.createDataFrame([("0", source)], "key string, source string"), make, key="key", source="source").first()["pred"]

@@ -5,15 +5,20 @@ from __future__ import annotations
 import random
 from array import array
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talus.operators.shared import ranked
 
 
+def chance(key: str, seed: int) -> Column:
+    """A row's place in a shuffled order, from its key and the seed alone."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
     """``n`` rows in a shuffled order that depends on ids and seed alone, not on partitions."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(chance(key, seed), key).limit(n)
 
 
 def driver_shuffle(df: DataFrame, n: int, key: str, seed: int = 7) -> DataFrame:
@@ -35,15 +40,17 @@ def edges_and_sample(df: DataFrame, n: int, key: str, split: str = "split", seed
     edges = both.select(F.explode("r").alias("r")).select("r.*")
     rest = df.join(edges.select(key), key, "left_anti").withColumn("__edge", F.lit(1))
     ordered = edges.withColumn("__edge", F.lit(0)).unionByName(rest)
-    return ordered.orderBy("__edge", F.xxhash64(F.col(key), F.lit(seed)), key).limit(n).drop("__edge")
+    return ordered.orderBy("__edge", chance(key, seed), key).limit(n).drop("__edge")
 
 
-def pick_demo(df: DataFrame, per_split: int, *, key: str = "utt_id", speaker: str = "speaker_id", bucket: str = "zero_shot_bucket", order: tuple[str, ...] = ("hard", "medium", "easy"), seed: int = 7) -> DataFrame:
-    """Per split, rows of distinct speakers in order of bucket; further rows of the same speakers fill what is missing."""
-    from pyspark.sql import Window
+def pick_demo(df: DataFrame, per_split: int, *, key: str = "utt_id", speaker: str = "speaker_id", bucket: str = "zero_shot_bucket", order: tuple[str, ...] = ("hard", "medium", "easy"), seed: int = 7, usable: Column | None = None) -> DataFrame:
+    """Per split, rows of distinct speakers in order of bucket; further rows of the same speakers fill what is missing.
 
+    Only rows for which ``usable`` holds take part, such as those whose audio exists.
+    """
+    df = df if usable is None else df.filter(usable)
     rank = F.coalesce(F.array_position(F.array(*[F.lit(b) for b in order]), F.col(bucket)), F.lit(99))
-    rows = df.withColumn("__rank", F.when(rank == 0, 99).otherwise(rank)).withColumn("__h", F.xxhash64(F.col(key), F.lit(seed)))
+    rows = df.withColumn("__rank", F.when(rank == 0, 99).otherwise(rank)).withColumn("__h", chance(key, seed))
     turn = F.row_number().over(Window.partitionBy("split", speaker).orderBy("__rank", "__h", key))
     heads = rows.withColumn("__turn", turn).filter(F.col("__turn") <= per_split)
     place = F.row_number().over(Window.partitionBy("split").orderBy("__turn", "__rank", "__h", key))

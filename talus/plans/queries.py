@@ -786,15 +786,45 @@ def three_way_summary_with_gaps(spark, sf):
 
 
 class FakeTranscriber:
-    """Upper-cases; fails on texts with a percent sign."""
+    """Puts x for e; fails on texts with a percent sign or a plus."""
 
     def transcribe(self, inputs: list[str]) -> list[str]:
-        if any("%" in x for x in inputs):
+        if any("%" in x or "+" in x for x in inputs):
             raise ValueError("bad sign")
-        return [x.upper() for x in inputs]
+        return [x.replace("e", "x") for x in inputs]
 
 
-@query()
+class FakeModel:
+    """Two frames for a text, and its bytes as audio; fails on an empty text."""
+
+    def embed(self, inputs: list[str]) -> list[list[list[float]]]:
+        return [[[float(len(x)), float(x.count("e"))], [float(x.count(" ")), 1.0]] for x in inputs]
+
+    def speak(self, words: str) -> bytes:
+        if words.startswith("A"):
+            raise RuntimeError("no voice")
+        return words.encode()
+
+
+@query(""" SELECT utt_id::VARCHAR utt_id, replace(gt, 'e', 'x') pred FROM u WHERE NOT regexp_matches(gt, '[%+]')""", u=True)
+def infer_fake(spark, sf):
+    return infer.infer_or_fail(utterances(spark, sf).filter("NOT gt RLIKE '[%+]'"), FakeTranscriber, key="utt_id", source="gt")
+
+
+@query(""" SELECT utt_id::VARCHAR utt_id, [[length(gt), length(gt) - length(replace(gt, 'e', ''))]::DOUBLE[], [length(gt) - length(replace(gt, ' ', '')), 1]::DOUBLE[]] frames FROM u""", u=True)
+def extract_frames_fake(spark, sf):
+    return infer.extract_frames(utterances(spark, sf), FakeModel, key="utt_id", source="gt")
+
+
+@query(""" SELECT utt_id::VARCHAR utt_id, CASE WHEN utt_id % 3 = 0 THEN 'exists' WHEN gt LIKE 'A%' THEN 'error' ELSE 'generated' END status, CASE WHEN utt_id % 3 <> 0 AND gt NOT LIKE 'A%' THEN octet_length(encode(gt)) END::BIGINT size,
+ CASE WHEN utt_id % 3 <> 0 AND gt LIKE 'A%' THEN 'RuntimeError: no voice' ELSE '' END error FROM u""", u=True)
+def synthesize_fake(spark, sf):
+    rows = utterances(spark, sf)
+    done = infer.synthesize(rows, rows.filter("utt_id % 3 = 0"), FakeModel, key="utt_id", text="gt")
+    return done.select("utt_id", "status", F.octet_length("audio").cast("long").alias("size"), "error")
+
+
+@query(""" SELECT utt_id::VARCHAR utt_id, CASE WHEN regexp_matches(gt, '[%+]') THEN '' ELSE replace(gt, 'e', 'x') END pred, CASE WHEN regexp_matches(gt, '[%+]') THEN 'ValueError: bad sign' ELSE '' END inference_error FROM u""", u=True)
 def batch_infer_fake(spark, sf):
     return infer.batch_infer(utterances(spark, sf), FakeTranscriber, key="utt_id", source="gt").select("utt_id", "pred", "inference_error")
 
@@ -815,23 +845,27 @@ def seeded_sample(spark, sf):
     return sampling.driver_shuffle(table(spark, sf, "events"), 50, "event_id").select("event_id", "user_id")
 
 
-@query()
+@query("SELECT event_id, user_id FROM events ORDER BY md5('7|' || event_id::VARCHAR), event_id LIMIT 50")
 def hashed_sample(spark, sf):
     return sampling.hash_sample(table(spark, sf, "events"), 50, "event_id").select("event_id", "user_id")
 
 
-@query()
+@query(""", e AS (SELECT split, unnest([min(utt_id), max(utt_id)]) utt_id FROM u GROUP BY split), r AS (SELECT DISTINCT utt_id, split, (utt_id, split) NOT IN (SELECT (utt_id, split) FROM e) rest FROM u)
+SELECT utt_id, split FROM r ORDER BY rest, md5('7|' || utt_id::VARCHAR), utt_id LIMIT 30""", u=True)
 def edges_and_sample(spark, sf):
     rows = utterances(spark, sf).select("utt_id", "split")
     return sampling.edges_and_sample(rows, 30, "utt_id")
 
 
-@query()
+@query(""", r AS (SELECT utt_id, split, speaker_id, CASE zero_shot_bucket WHEN 'hard' THEN 1 WHEN 'medium' THEN 2 WHEN 'easy' THEN 3 ELSE 99 END k, md5('7|' || utt_id::VARCHAR) h FROM u WHERE utt_id % 4 <> 0),
+t AS (SELECT *, row_number() OVER (PARTITION BY split, speaker_id ORDER BY k, h, utt_id) turn FROM r)
+SELECT utt_id, split, speaker_id FROM t QUALIFY row_number() OVER (PARTITION BY split ORDER BY turn, k, h, utt_id) <= 5""", u=True)
 def demo_pick(spark, sf):
-    return sampling.pick_demo(utterances(spark, sf), 5).select("utt_id", "split", "speaker_id")
+    return sampling.pick_demo(utterances(spark, sf), 5, usable=F.col("utt_id") % 4 != 0).select("utt_id", "split", "speaker_id")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('a_HD/s1/u1.wav', 'a_HD', 's1', 'u1', 1.0::DOUBLE, NULL), ('a_HD/s1/u2.wav', 'a_HD', 's1', 'u2', 0.25::DOUBLE, NULL),
+ ('b/u3.wav', 'b', '', 'u3', NULL, 'ValueError: not a RIFF/WAVE file')) v(rel_path, speaker, session, audio_id, duration_sec, error)""")
 def fs_manifest_scan(spark, sf):
     """Writes small files of speech-like names and reads their headers back."""
     from talus.sources.sample import write_sample_tree

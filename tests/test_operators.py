@@ -165,6 +165,15 @@ def test_inference_retries_rows_and_resumes(spark, tmp_path):
     assert rows(infer.infer_or_fail(df.filter("k = 1"), Flaky, key="k", source="s")) == [("1", "aa")]
 
 
+def test_one_input_and_spoken_texts(spark):
+    assert infer.smoke(spark, queries.FakeTranscriber, "see") == "sxx"
+    df = spark.createDataFrame([(1, "one"), (2, "A"), (3, None)], "k int, t string")
+    got = {r["k"]: (r["status"], r["audio"] and bytes(r["audio"]), r["error"]) for r in infer.synthesize(df, df.filter("k = 1"), queries.FakeModel, key="k", text="t").collect()}
+    assert got == {"1": ("exists", None, ""), "2": ("error", None, "RuntimeError: no voice"), "3": ("generated", b"", "")}
+    again = infer.synthesize(df, df, queries.FakeModel, key="k", text="t", overwrite=True)
+    assert again.filter("status = 'exists'").count() == 0
+
+
 def test_csv_and_jsonl_round_trips(spark, tmp_path):
     df = spark.createDataFrame([("1", 'a "q", b', None), ("2", "line\nbreak", "聲")], "id string, a string, b string")
     tables.write_csv(df, str(tmp_path / "c"), ["id", "a", "b", "none"])
