@@ -171,17 +171,3 @@ def masked_smoothness(x: Column, mask: Column) -> Column:
 @F.pandas_udf(DOUBLE_FRAMES)
 def zscore_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda f: zscore(_stack(f)).tolist())
-
-
-def zscore_frames(x: Column, floor: float = 1e-5) -> Column:
-    """``zscore`` as an expression: per bin over time, with the sample deviation."""
-    n = F.size(x)
-    bins = F.transform(F.sequence(F.lit(0), F.size(x[0]) - 1), lambda k: F.transform(x, lambda f: F.get(f, k).cast("double")))
-
-    def scaled(values: Column) -> Column:
-        m = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-        var = F.aggregate(F.transform(values, lambda v: (v - m) * (v - m)), F.lit(0.0), lambda s, v: s + v) / F.greatest(n - 1, F.lit(1))
-        return F.transform(values, lambda v: (v - m) / F.greatest(F.sqrt(var), F.lit(floor)))
-
-    by_bin = F.transform(bins, scaled)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.transform(by_bin, lambda b: F.get(b, t)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.functions import metrics, text
-from talus.functions.frames import dtw_udf, interpolate_udf, log_mel_udf, mean_abs, residual, root_mean_square, zscore_frames
+from talus.functions.frames import dtw_udf, interpolate_udf, log_mel_udf, mean_abs, residual, root_mean_square, zscore_udf
 from talus.operators import audit, compare, components, dedupe, infer, leakage, manifest, sampling, sequences, splits, summary
 from talus.operators.shared import Workspace, shared_folder
 from talus.plans.fixture import METHODS, PIECES_SQL, UTTERANCES_SQL, distance, pieces, table, utterances
@@ -589,7 +589,7 @@ z AS (SELECT vec_id, i, k, (v - avg(v) OVER w) / greatest(stddev_samp(v) OVER w,
 SELECT vec_id, list(round_even(z, 5) + 0.0::DOUBLE ORDER BY i, k) z FROM z GROUP BY vec_id""")
 def vector_zscore(spark, sf):
     df, key, vec = _vectors(spark, sf)
-    return df.select(key, F.transform(F.flatten(zscore_frames(_frames(vec))), lambda v: metrics.rounded(v, 5) + 0.0).alias("z"))
+    return df.select(key, F.transform(F.flatten(zscore_udf(_frames(vec))), lambda v: metrics.rounded(v, 5) + 0.0).alias("z"))
 
 
 _BROKEN = """CASE vec_id % 7 WHEN 1 THEN NULL WHEN 2 THEN list_transform(x, lambda f: f[1:7]) WHEN 3 THEN x[1:7] WHEN 4 THEN list_transform(x, lambda f: list_transform(f, lambda v: 'nan'::DOUBLE)) ELSE x END"""
