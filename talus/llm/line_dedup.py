@@ -1,14 +1,14 @@
 """Deletion of line runs that repeat, from a suffix array over sequences of line ids, in DataFrame operations only.
 
-Lines that occur once cannot be part of a repeat and split the sequences; the others are ranked by digest. Prefix doubling
-then ranks suffixes by their first 2, 4, 8, ... lines: each round sorts the pairs of ranks that occur more than once. A run
-counts as a repeat from ``min_words`` words on, and a line has a word at least, so suffixes sorted to a depth of
-``min_words`` lines decide everything.
-
-At each place, the shortest run of enough words that begins there, and the one that ends there, are looked up in the array:
-two overlapping ranks of a power of two name it. Suffixes that share such a run are an interval of common prefixes; all
-of it but its first place in document order is a later copy. Later copies that touch or overlap make up the maximal
-repeated runs, and these are deleted.
+Lines that occur once cannot be part of a repeat; they split the sequences into stretches of others. A run counts as a
+repeat from ``min_words`` words on, and a line has a word at least, so the runs of just enough words that begin or end
+somewhere have ``min_words`` lines at most, and the longest of them tells how deep suffixes need to be sorted.
+
+Prefix doubling ranks the suffixes by their first 2, 4, 8, ... lines: each round sorts the distinct pairs of ranks. Suffixes
+equal to that depth are one entry of the array, however many there are, so a very common run is no hot key. Neighbours in
+the array are compared to their longest common prefix. For each length that a run of just enough words has, the array falls
+into intervals of entries that share so many lines; all of an interval but its first place in document order is a later
+copy. Later copies that touch or overlap make up the maximal repeated runs, and these are deleted.
 """
 
 from __future__ import annotations
@@ -36,6 +36,61 @@ def ordered_ranks(keys: DataFrame, columns: list[str], scratch: Scratch, name: s
     return scratch.save(ranged.withColumn("nth", inside).join(F.broadcast(offsets), "pid").select(*columns, (F.col("offset") + F.col("nth")).alias("rank")), name)
 
 
+def suffix_ranks(rows: DataFrame, longest: int, scratch: Scratch, broadcast_limit: int) -> DataFrame:
+    """``rows`` with ``rank``, the place of each suffix in the array sorted by its first ``longest`` lines or more.
+
+    Each round sorts the distinct pairs of a suffix's rank and that of the suffix as many lines further on as the ranks
+    cover so far; 0, before all ranks, stands for the end of a stretch. Once a round tells no more suffixes apart, further
+    ones would not either.
+    """
+    rows, k, covered, classes = rows.withColumn("rank", F.col("line")), 0, 1, -1
+    while covered < longest:
+        ahead = F.lead("rank", covered, 0).over(Window.partitionBy("text_key", "stretch").orderBy("pos"))
+        paired = scratch.save(rows.withColumn("b", ahead).withColumnRenamed("rank", "a"), f"paired-{k}")
+        ranks = ordered_ranks(paired.select("a", "b").distinct(), ["a", "b"], scratch, f"ranks-{k}")
+        rows = scratch.save(paired.join(broadcast_if_small(ranks, 48, broadcast_limit), ["a", "b"]).drop("a", "b"), f"level-{k}")
+        before, classes = classes, ranks.count()
+        scratch.drop(f"paired-{k}", f"ranks-{k}-ranged", f"ranks-{k}", f"level-{k - 1}")
+        k, covered = k + 1, 2 * covered
+        if classes == before:
+            break
+    return rows
+
+
+def common_prefixes(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``classes`` with ``lcp``: how many lines each has in common with the one before it in the array.
+
+    Ranges of the array are compared apart; the first of a range meets the last of the range before.
+    """
+    ranged = scratch.save(classes.repartitionByRange("rank").withColumn("pid", F.spark_partition_id()), "array-ranged")
+    lasts = ranged.groupBy("pid").agg(F.max_by("ids", "rank").alias("last"))  # one row a range
+    lasts = lasts.select("pid", F.lag("last").over(Window.orderBy("pid")).alias("last"))
+    inside = F.lag("ids").over(Window.partitionBy("pid").orderBy("rank"))
+    pairs = ranged.withColumn("previous", inside).join(F.broadcast(lasts), "pid").withColumn("previous", F.coalesce("previous", "last", F.array().cast("array<bigint>")))
+    equal = F.zip_with("previous", "ids", lambda x, y: x.eqNullSafe(y))
+    differ = F.array_position(equal, False)
+    return pairs.select(*classes.columns, F.when(differ == 0, F.size("ids").cast("long")).otherwise(differ - 1).alias("lcp"))
+
+
+def prefix_intervals(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """rank, size and ``first``, the first place of the interval of suffixes whose first ``size`` lines are equal, if it has several.
+
+    Suffixes with equal first lines of enough words have the same sizes, so in the array's order an interval for a size
+    begins where fewer lines are common with the suffix before, and goes on to the next such place.
+    """
+    entries = common_prefixes(classes, scratch).select("rank", F.explode("sizes").alias("size"), "first", "n", "lcp")
+    ranged = scratch.save(entries.repartitionByRange("size", "rank").withColumn("pid", F.spark_partition_id()), "entries-ranged")
+    begins = F.when(F.col("lcp") < F.col("size"), F.struct("size", "rank"))
+    upto = F.max(begins).over(Window.partitionBy("pid").orderBy("size", "rank").rowsBetween(Window.unboundedPreceding, 0))
+    # one row a range
+    carried = F.max("latest").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranged.groupBy("pid").agg(F.max(begins).alias("latest")).select("pid", carried.alias("carried"))
+    found = ranged.withColumn("upto", upto).join(F.broadcast(ranges), "pid")
+    found = scratch.save(found.select("rank", "size", "first", "n", F.coalesce("upto", "carried").alias("interval")), "entries")
+    whole = found.groupBy("interval").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1").select("interval", "first")
+    return found.drop("first", "n").join(whole, "interval").select("rank", "size", "first")
+
+
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int, broadcast_limit: int) -> tuple[DataFrame, DataFrame]:
     """``runs``: text_key and spans (begin, end) of lines to delete; ``copies``: doc_id, text_key of texts seen before."""
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
@@ -50,21 +105,11 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int, broadcast_l
     lines = firsts.select("doc_id", "text_key", F.posexplode(content_lines(F.col("text"))).alias("pos", "line"))
     lines = lines.select("doc_id", "text_key", F.col("pos").cast("long"), F.unhex(F.md5("line")).alias("digest"), F.size(F.split("line", "[ \t\r\x0b\x0c]+")).cast("long").alias("w")).distinct()
     again = lines.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    ranks = ordered_ranks(again, ["digest"], scratch, "ranks-0")
-    rows = scratch.save(lines.join(broadcast_if_small(ranks, 48, broadcast_limit), "digest").drop("digest").withColumnRenamed("rank", "r0"), "level-0")
-
-    depth = max(min_words, 1).bit_length()
-    for k in range(1, depth):
-        ahead = Window.partitionBy("text_key").orderBy("pos").rangeBetween(2 ** (k - 1), 2 ** (k - 1))
-        paired = scratch.save(rows.withColumn("a", F.col(f"r{k - 1}")).withColumn("b", F.first(f"r{k - 1}").over(ahead)), f"paired-{k}")
-        again = paired.filter("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-        ranks = ordered_ranks(again, ["a", "b"], scratch, f"ranks-{k}")
-        rows = scratch.save(paired.join(broadcast_if_small(ranks, 48, broadcast_limit), ["a", "b"], "left").drop("a", "b").withColumnRenamed("rank", f"r{k}"), f"level-{k}")
-        scratch.drop(f"paired-{k}", f"ranks-{k}-ranged", f"ranks-{k}", f"level-{k - 1}")
+    ranks = ordered_ranks(again, ["digest"], scratch, "lines")
+    rows = lines.join(broadcast_if_small(ranks, 48, broadcast_limit), "digest").drop("digest").withColumnRenamed("rank", "line")
 
     # stretches of neighbouring repeated lines, and words before and after each line in its stretch
-    by_pos = Window.partitionBy("text_key").orderBy("pos")
-    rows = rows.withColumn("stretch", F.col("pos") - F.row_number().over(by_pos))
+    rows = rows.withColumn("stretch", F.col("pos") - F.row_number().over(Window.partitionBy("text_key").orderBy("pos")))
     stretch = Window.partitionBy("text_key", "stretch")
     rows = rows.withColumn("upto", F.sum("w").over(stretch.orderBy("pos"))).withColumn("before", F.col("upto") - F.col("w"))
     beyond = F.min("pos").over(stretch.orderBy("before").rangeBetween(min_words, Window.unboundedFollowing))
@@ -74,27 +119,25 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int, broadcast_l
     )
     stop = F.when(F.col("beyond").isNotNull(), F.col("beyond")).when(F.col("total") - F.col("before") >= min_words, F.col("last") + 1)
     start = F.when(F.col("upto") >= min_words, F.coalesce(F.col("behind") + 1, "head"))
-    levels = F.array(*[F.col(f"r{k}") for k in range(depth)])
-    rows = scratch.save(rows.select("doc_id", "text_key", "pos", levels.alias("ranks"), stop.alias("stop"), start.alias("start")), "array")
-    forward = rows.filter("stop is not null").select("text_key", F.col("pos").alias("begin"), F.col("stop").alias("end"))
-    backward = rows.filter("start is not null").select("text_key", F.col("start").alias("begin"), (F.col("pos") + 1).alias("end"))
-    runs = forward.unionByName(backward).distinct()
-
-    # a run's name: its length, the rank of its beginning and of its end, by the largest power of two that fits
-    level = F.floor(F.log2((F.col("end") - F.col("begin")).cast("double"))).cast("int")
-    runs = runs.withColumn("level", level).withColumn("tail", F.expr("end - shiftleft(1, level)"))
-    at = rows.select("text_key", F.col("pos").alias("begin"), "doc_id", F.col("ranks").alias("x"))
-    to = rows.select("text_key", F.col("pos").alias("tail"), F.col("ranks").alias("y"))
-    named = (
-        runs.join(at, ["text_key", "begin"]).join(to, ["text_key", "tail"])
-        .select("text_key", "doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("size"), F.get("x", F.col("level")).alias("a"), F.get("y", F.col("level")).alias("b"))
-        .filter("a is not null and b is not null")
-    )
-    named = scratch.save(named, "named")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "begin")
-    intervals = named.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("size", "a", "b", "first")
-    intervals = scratch.save(intervals, "intervals")
-    later = named.join(broadcast_if_small(intervals, 96, broadcast_limit), ["size", "a", "b"]).filter(place != F.col("first")).select("text_key", "begin", "end")
+    rows = rows.filter(F.col("total") >= min_words).select("doc_id", "text_key", "stretch", "pos", "line", stop.alias("stop"), start.alias("start"))
+    rows = scratch.save(rows, "stretches")
+
+    # where runs of just enough words begin, and how many lines they have
+    forward = rows.filter("stop is not null").select("text_key", "pos", (F.col("stop") - F.col("pos")).alias("size"))
+    backward = rows.filter("start is not null").select("text_key", F.col("start").alias("pos"), (F.col("pos") + 1 - F.col("start")).alias("size"))
+    sizes = scratch.save(forward.unionByName(backward).groupBy("text_key", "pos").agg(F.sort_array(F.collect_set("size")).alias("sizes")), "sizes")
+    longest = sizes.agg(F.max(F.array_max("sizes"))).first()[0] or 0
+
+    ranked = suffix_ranks(rows.drop("stop", "start"), longest, scratch, broadcast_limit)
+    ahead = Window.partitionBy("text_key", "stretch").orderBy("pos").rowsBetween(0, max(longest - 1, 0))
+    ranked = ranked.withColumn("ids", F.collect_list("line").over(ahead)).join(sizes, ["text_key", "pos"])
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", F.col("pos").alias("begin"))
+    ranked = scratch.save(ranked.select("text_key", "pos", "rank", place.alias("place"), "sizes", F.slice("ids", 1, F.array_max("sizes").cast("int")).alias("ids")), "array")
+    classes = ranked.groupBy("rank").agg(F.min("place").alias("first"), F.count("*").alias("n"), F.max("sizes").alias("sizes"), F.max("ids").alias("ids"))
+    intervals = scratch.save(prefix_intervals(classes, scratch), "intervals")
+    runs = ranked.select("text_key", F.col("pos").alias("begin"), "rank", "place", F.explode("sizes").alias("size"))
+    later = runs.join(broadcast_if_small(intervals, 96, broadcast_limit), ["rank", "size"]).filter(F.col("place") != F.col("first"))
+    later = later.select("text_key", "begin", (F.col("begin") + F.col("size")).alias("end"))
 
     # copies that touch or overlap are one maximal run
     earlier = Window.partitionBy("text_key").orderBy("begin", "end")
@@ -103,7 +146,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int, broadcast_l
     island = marked.withColumn("island", F.sum("new").over(earlier))
     spans = island.groupBy("text_key", "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
     runs = scratch.save(spans.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans")), "runs")
-    scratch.drop("ids", "many", "ranks-0-ranged", "ranks-0", f"level-{depth - 1}", "array", "named", "intervals")
+    scratch.drop("ids", "many", "lines-ranged", "lines", "stretches", "sizes", "array", "array-ranged", "entries-ranged", "entries", "intervals", *[f"level-{k}" for k in range(longest.bit_length() + 1)])
     return runs, copies
 
 
