@@ -87,6 +87,29 @@ def test_line_dedup(spark, limit):
             break
 
 
+def test_suffix_array_and_common_prefixes(spark):
+    """Ranks follow the order of suffixes, and neighbours have as many lines in common as their lists of lines show."""
+    rng = random.Random(5)
+    texts = [[rng.randrange(1, 4) for _ in range(rng.randrange(1, 12))] for _ in range(12)]
+    texts += [texts[0], [2] * 11]
+    rows = [(t, 0, p, line) for t, lines in enumerate(texts) for p, line in enumerate(lines)]
+    for longest in (1, 3, 6):
+        scratch = line_dedup.Scratch(spark, "test")
+        given = spark.createDataFrame(rows, "text_key long, stretch long, pos long, line long")
+        ranked = line_dedup.suffix_ranks(given, longest, scratch, 1 << 20).collect()
+        head = {r["rank"]: tuple(texts[r["text_key"]][r["pos"] : r["pos"] + longest]) for r in ranked}
+        assert all(tuple(texts[r["text_key"]][r["pos"] : r["pos"] + longest]) == head[r["rank"]] for r in ranked)
+        in_order = [head[r] for r in sorted(head)]
+        assert in_order == sorted(in_order) and len(ranked) == len(rows)
+        classes = spark.createDataFrame([(r, list(h)) for r, h in head.items()], "rank long, ids array<long>")
+        got = {r["rank"]: r["lcp"] for r in line_dedup.common_prefixes(classes, scratch).collect()}
+        before = ()
+        for rank in sorted(head):
+            same = [x == y for x, y in zip(before, head[rank], strict=False)]
+            assert got[rank] == (same.index(False) if False in same else len(same))
+            before = head[rank]
+
+
 def test_line_dedup_keeps_lines_to_the_byte(spark):
     rng = random.Random(4)
     run = "\n".join(f"    {sentence(rng, 9)}  " for _ in range(3))
