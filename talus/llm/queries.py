@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from talus.llm.common import table
 from talus.llm.decontaminate import contamination
+from talus.llm.divergence import source_divergence
 from talus.llm.exact_dedup import exact_duplicates
 from talus.llm.licenses import license_sql, scan_licenses
 from talus.llm.line_dedup import line_dedup
 from talus.llm.minhash import near_duplicates
+from talus.llm.mixing import mix_sources
 from talus.llm.packing import pack_documents
+from talus.llm.prefix_trie import prefix_trie
 from talus.llm.quality import score_quality
 from talus.llm.toxicity import score_toxicity
 from talus.llm.url_filter import Rule, filter_urls
@@ -76,8 +79,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_trie(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_exact_dedup, op4_decontamination, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_exact_dedup, op4_decontamination, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc, op11_mixing, op12_prefix_trie, op13_source_divergence)}
 
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,4 +165,48 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN payload_bytes >= 100 AND page_id <> lowest THEN 'revisit' ELSE 'response' END record_type,
                    CASE WHEN payload_bytes >= 100 AND page_id <> lowest THEN lowest END refers_to
             FROM f""",
+        "op11_mixing": r"""
+            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size,
+                              md5('mix/' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) k FROM documents),
+            s AS (SELECT source, sum(size)::BIGINT source_size FROM d GROUP BY source),
+            r AS (SELECT *, 3 * source_size cap, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] w FROM s),
+            a AS (SELECT *, cap / w::DOUBLE ratio, sum(cap) OVER o - cap cap_before, sum(w) OVER o - w w_before
+                  FROM r WINDOW o AS (ORDER BY cap / w::DOUBLE, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+            v AS (SELECT *, ((SELECT sum(source_size) FROM s) - cap_before)::DOUBLE / ((SELECT sum(w) FROM r) - w_before) AS stage FROM a),
+            lv AS (SELECT stage FROM v WHERE stage <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+            t AS (SELECT source, source_size, cap, least(cap::DOUBLE, (SELECT stage FROM lv) * w) target FROM r),
+            b AS (SELECT *, least(floor(target + 0.5)::BIGINT, cap) budget FROM t),
+            e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END again FROM b),
+            p AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ahead FROM d)
+            SELECT doc_id, size, source_size, target, (again * size + least(size, greatest(budget - again * source_size - ahead, 0)))::BIGINT taken
+            FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source""",
+        "op12_prefix_trie": """
+            WITH t AS (SELECT conv_id, md5(length(r) || ':' || r || x) k, octet_length(encode(x)) nb, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) pos
+                       FROM (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') x FROM conversations WHERE conv_id IS NOT NULL)),
+            c AS (SELECT DISTINCT conv_id, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: xor(p >> 1, 3988292384 * (p & 1))))) % 9 h FROM t),
+            b AS (SELECT c.conv_id, 0 part, pos, k, nb FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos <= h UNION ALL
+                  SELECT conv_id, 1, pos, k, nb FROM c JOIN t USING (conv_id) WHERE pos > h),
+            g AS (SELECT conv_id, coalesce(list(k ORDER BY part, pos) FILTER (k IS NOT NULL), []) ks, coalesce(list(nb ORDER BY part, pos) FILTER (k IS NOT NULL), []) nbs FROM c LEFT JOIN b USING (conv_id) GROUP BY conv_id),
+            m AS (SELECT conv_id, ks, nbs, unnest(range(0, len(ks) + 1)) d FROM g),
+            a AS (SELECT ks[1:d] pre, d, min(conv_id) conv_id, count(*) n_convs, (count(*) - 1) * coalesce(any_value(nbs[d]), 0) own,
+                         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(ks)), '') ids FROM m GROUP BY 1, 2),
+            z AS (SELECT p.pre, count(*) n FROM a JOIN a p ON a.d = p.d + 1 AND a.pre[1:p.d] = p.pre GROUP BY p.pre),
+            u AS (SELECT pre, d, own, n IS NULL leaf FROM a LEFT JOIN z USING (pre)),
+            s AS (SELECT pre[1:i] pre, sum(own) saved, count_if(leaf) leaves FROM (SELECT pre, own, leaf, unnest(range(0, d + 1)) i FROM u) GROUP BY 1)
+            SELECT a.conv_id, a.d depth, p.conv_id parent_conv_id, a.n_convs, coalesce(z.n, 0)::BIGINT n_children, leaves::BIGINT n_leaves, saved::BIGINT saved_tokens, sha256(a.ids) ends_sha256
+            FROM a JOIN s USING (pre) LEFT JOIN z USING (pre) LEFT JOIN a p ON p.d = a.d - 1 AND p.pre = a.pre[1:a.d - 1] AND a.d > 0""",
+        "op13_source_divergence": f"""
+            WITH d AS (SELECT row_number() OVER () id, coalesce(lang, '') lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') terms FROM documents),
+            c AS (SELECT lang, source, term, count(*) n, count(DISTINCT id) docs FROM (SELECT id, lang, source, unnest(terms) term FROM d) GROUP BY ALL),
+            k AS (SELECT lang, term, sum(n) n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+            l AS (SELECT lang, count(*) v, sum(n) total FROM k GROUP BY lang),
+            g AS (SELECT d.lang, d.source, coalesce(any_value(total), 0) total FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN (SELECT lang, source, sum(c.n) total FROM c JOIN k USING (lang, term) GROUP BY ALL) x USING (lang, source) GROUP BY ALL),
+            p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + v)::HUGEINT p, 1 + (1000000000::HUGEINT * (k.n + 1)) // (l.total + v)::HUGEINT lp
+                  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+            f AS (SELECT a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+            r AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+                  UNION ALL SELECT lang, source, 'term', term, (p - lp) * (p - lp) // lp FROM p WHERE n > 0 AND p > lp)
+            SELECT lang, source, part, item, value::BIGINT AS value, nth::INTEGER AS rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY r.value DESC, item) nth FROM r) WHERE part = 'pair' OR nth <= 200""",
     }
