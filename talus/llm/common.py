@@ -73,6 +73,14 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """Underscores that no column's name begins with, for inner columns beside all of ``df``."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> bool:
     """Whether a table is proven to stay under the broadcast limit: ``row_bytes`` a row, and what its texts and arrays measure."""
     sizes = [F.sum(F.octet_length(F.col(f"`{f.name}`").cast("string"))) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "struct")]

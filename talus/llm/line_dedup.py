@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talus.llm.common import BROADCAST_LIMIT, Scratch, broadcast_if_small, with_null_safe
+from talus.llm.common import BROADCAST_LIMIT, Scratch, broadcast_if_small, free_prefix, with_null_safe
 
 BLANKS = " \t\r\x0b\x0c"
 
@@ -170,25 +170,29 @@ def delete_repeated_lines(
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     runs, copies = repeated_runs(plain, scratch, min_words, broadcast_limit)
 
-    keyed = docs.drop("__n_lines", "__n_removed", "__spans").withColumn("__key", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    found = keyed.join(broadcast_if_small(runs.select(F.col("text_key").alias("__key"), F.col("spans").alias("__spans")), 96, broadcast_limit), "__key", "left")
-    seen = broadcast_if_small(copies.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__seen")), 48, broadcast_limit)
-    found = found.join(seen, (F.col("__key") == F.col("__seen")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    found = found.withColumn("__raw", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    bare = lambda i: F.trim(F.get("__raw", i), F.lit(BLANKS))
-    found = found.withColumn("__at", F.filter(F.sequence(F.lit(0), F.size("__raw") - 1), lambda i: bare(i) != ""))  # where lines that are not blank stand
-    words = F.aggregate("__at", F.lit(0), lambda n, i: n + F.size(F.split(bare(i), "[ \t\r\x0b\x0c]+")))
-    whole = F.col("__seen").isNotNull() & (words >= min_words)
-    everything = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.size("__at").cast("long").alias("end")))
+    rest = docs.drop("__n_lines", "__n_removed", "__spans")
+    key, seen, raw, at, gone, spans = (free_prefix(rest) + name for name in ("key", "seen", "raw", "at", "gone", "spans"))
+    keyed = rest.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    found = keyed.join(broadcast_if_small(runs.select(F.col("text_key").alias(key), F.col("spans").alias(spans)), 96, broadcast_limit), key, "left")
+    # a text and an id that were seen before; repeated rows find the one row of theirs
+    again = broadcast_if_small(copies.select(F.col("doc_id").alias(raw), F.col("text_key").alias(seen)), 48, broadcast_limit)
+    found = found.join(again, (F.col(key) == F.col(seen)) & F.col(id_col).eqNullSafe(F.col(raw)), "left").drop(raw)
+    found = found.withColumn(raw, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    bare = lambda i: F.trim(F.get(raw, i), F.lit(BLANKS))
+    found = found.withColumn(at, F.filter(F.sequence(F.lit(0), F.size(raw) - 1), lambda i: bare(i) != ""))  # where lines that are not blank stand
+    words = F.aggregate(at, F.lit(0), lambda n, i: n + F.size(F.split(bare(i), "[ \t\r\x0b\x0c]+")))
+    whole = F.col(seen).isNotNull() & (words >= min_words)
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.size(at).cast("long").alias("end")))
     none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    found = found.withColumn("__spans", F.when(whole, everything).otherwise(F.coalesce("__spans", none)))
+    found = found.withColumn(spans, F.when(whole, everything).otherwise(F.coalesce(spans, none)))
     # blank lines between lines of one deleted run go with them
-    gone = F.transform("__spans", lambda s: F.struct(F.get("__at", s["begin"].cast("int")).alias("lo"), F.get("__at", (s["end"] - 1).cast("int")).alias("hi")))
-    kept = F.filter("__raw", lambda line, i: ~F.exists("__gone", lambda g: (i >= g["lo"]) & (i <= g["hi"])))
-    found = found.withColumn("__gone", gone).withColumn("__n_removed", F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"]))
-    found = found.withColumn("__n_lines", F.size("__at").cast("long"))
-    text = F.when(F.col("__n_removed") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return found.withColumn(text_col, text).select(*[c for c in docs.columns if c not in ("__n_lines", "__n_removed", "__spans")], "__n_lines", "__n_removed", "__spans")
+    edges = F.transform(spans, lambda s: F.struct(F.get(at, s["begin"].cast("int")).alias("lo"), F.get(at, (s["end"] - 1).cast("int")).alias("hi")))
+    kept = F.filter(raw, lambda line, i: ~F.exists(gone, lambda g: (i >= g["lo"]) & (i <= g["hi"])))
+    n_removed = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    found = found.withColumn(gone, edges)
+    text = F.when(n_removed > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in rest.columns]
+    return found.select(*columns, F.size(at).cast("long").alias("__n_lines"), n_removed.alias("__n_removed"), F.col(spans).alias("__spans"))
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
