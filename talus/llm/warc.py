@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,16 +168,24 @@ def read_archives(spark: SparkSession, path: str, rows: Callable[[str, bytes], I
 
 
 def records_a_file(pages: DataFrame, html_col: str = "html") -> int:
-    """So many records that even of the largest pages a file holds ``ARCHIVE_BYTES`` or one record, as readers take whole files."""
+    """So many records that even of the largest pages a file holds ``ARCHIVE_BYTES``, or a version block and one page, as readers take whole files.
+
+    A reader takes a file of less than 2 GB; so a page that alone passes that when compressed cannot be read back.
+    """
     largest = pages.agg(F.max(F.octet_length(html_col))).first()[0] or 0
-    return max(1, min(ARCHIVE_RECORDS, ARCHIVE_BYTES // (largest + 4096)))
+    return max(2, min(ARCHIVE_RECORDS, ARCHIVE_BYTES // (largest + 4096)))
 
 
 def write_arc(pages: DataFrame, path: str, *, per_file: int = ARCHIVE_RECORDS, version: int = 1, date: str = "19700101000000", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes pages as gzipped ARC files. The page id travels in an HTTP header; a null html is an empty entity."""
+    """Writes pages as gzipped ARC files of ``per_file`` records, each with a version block first and two records at least.
+
+    The page id travels in an HTTP header; a null html is an empty entity. The writer counts records as the builder does, so
+    a block stands where a file begins.
+    """
+    per_file = max(2, per_file)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"record": [arc_version_block(version, "pages.arc", date)]})
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
             for page_id, url, html in zip(batch["id"], batch["url"], batch["html"], strict=True):
@@ -184,8 +193,14 @@ def write_arc(pages: DataFrame, path: str, *, per_file: int = ARCHIVE_RECORDS, v
                 known = f"X-Page-Id: {quote(page_id, safe='')}\r\n" if page_id is not None else ""
                 block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n{known}\r\n".encode() + body
                 target = quote(url or "about:blank", safe="%/:=&?~#+!$,;'@()*[]")
+                if n % per_file == 0:  # the writer begins a file here
+                    out.append(arc_version_block(version, f"pages-{task:05d}-{n // per_file:05d}.arc", date))
+                    n += 1
+                n += 1
                 out.append(arc_header(version, target, "0.0.0.0", date, "text/html", len(block)) + block)
             yield pd.DataFrame({"record": out})
+        if not n:
+            yield pd.DataFrame({"record": [arc_version_block(version, f"pages-{task:05d}-00000.arc", date)]})
 
     source = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     write_records(source.mapInPandas(build, "record binary"), path, "\n", per_file)
