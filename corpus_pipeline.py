@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import Scratch, broadcast_if_small, table
+from talus.llm.common import Scratch, broadcast_if_small, free_prefix, table
 from talus.llm.decontaminate import contamination
 from talus.llm.line_dedup import delete_repeated_lines
 from talus.llm.minhash import near_duplicates
@@ -19,19 +19,16 @@ from talus.llm.packing import pack_documents
 from talus.llm.queries import tokenizer_path
 from talus.llm.toxicity import score_toxicity
 
-KEY = "__row_key"
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of id and text, and the key's name, which no column has; a missing id differs from any text of one."""
+    key, text = f"{free_prefix(docs)}row_key", F.md5(F.coalesce("text", F.lit("")))
+    return docs.withColumn(key, F.concat(text, F.coalesce(F.concat(F.lit("-"), F.col("doc_id").cast("string")), F.lit("")))), key
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key of id and text; a missing id differs from any text of one."""
-    text = F.md5(F.coalesce("text", F.lit("")))
-    return docs.withColumn(KEY, F.concat(text, F.coalesce(F.concat(F.lit("-"), F.col("doc_id").cast("string")), F.lit(""))))
-
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose key is not rejected."""
-    keys = rejected.select(F.col(rejected.columns[0]).alias(KEY)).distinct()
-    return _keyed(docs).join(broadcast_if_small(keys, 16), KEY, "left_anti").drop(KEY)
+def _without(keyed: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
+    """Rows whose key is not rejected."""
+    keys = rejected.select(F.col(rejected.columns[0]).alias(key)).distinct()
+    return keyed.join(broadcast_if_small(keys, 16), key, "left_anti").drop(key)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +36,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Empty texts have the score of a neutral window, which is kept unless nearly all labels are toxic; ties are scored alike.
     """
-    scored = score_toxicity(_keyed(docs), table(spark, sf_dir, "labels"), key_col=KEY)
-    return _without(docs, scored.filter("predicted = 1").select(KEY))
+    keyed, key = _keyed(docs)
+    scored = score_toxicity(keyed, table(spark, sf_dir, "labels"), key_col=key)
+    return _without(keyed, key, scored.filter("predicted = 1").select(key))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,14 +56,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row without an id yields to any with one; where no row of a group has an id, they all stay, as do empty texts.
     """
-    found = near_duplicates(_keyed(docs), words=5, percent=80, key_col=KEY)
-    return _without(docs, found.filter("NOT kept").select(KEY))
+    keyed, key = _keyed(docs)
+    found = near_duplicates(keyed, words=5, percent=80, key_col=key)
+    return _without(keyed, key, found.filter("NOT kept").select(key))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go; items without words reject nothing."""
-    found = contamination(_keyed(docs), table(spark, sf_dir, "benchmark"), id_col=KEY)
-    return _without(docs, found.filter("contaminated").select("doc_id"))
+    keyed, key = _keyed(docs)
+    found = contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    return _without(keyed, key, found.filter("contaminated").select("doc_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
