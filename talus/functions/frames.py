@@ -116,7 +116,7 @@ def pad_and_mask(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
-def _stack(value) -> np.ndarray:
+def stack(value) -> np.ndarray:
     return np.stack([np.asarray(f, float) for f in value])
 
 
@@ -127,19 +127,19 @@ def log_mel_udf(waves: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType([T.StructField("path", T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))), T.StructField("cost", T.DoubleType())]))
 def dtw_udf(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-    found = [dtw(zscore(_stack(a)), zscore(_stack(b))) for a, b in zip(x, y, strict=True)]
+    found = [dtw(zscore(stack(a)), zscore(stack(b))) for a, b in zip(x, y, strict=True)]
     return pd.DataFrame({"path": [[{"i": int(i), "j": int(j)} for i, j in p] for p, _ in found], "cost": [c for _, c in found]})
 
 
 @F.pandas_udf(DOUBLE_FRAMES)
 def align_udf(seq: pd.Series, path: pd.Series, length: pd.Series) -> pd.Series:
     pairs = [np.array([(p["i"], p["j"]) for p in one]) for one in path]
-    return pd.Series([align(_stack(s), p, int(n)).tolist() for s, p, n in zip(seq, pairs, length, strict=True)])
+    return pd.Series([align(stack(s), p, int(n)).tolist() for s, p, n in zip(seq, pairs, length, strict=True)])
 
 
 @F.pandas_udf(DOUBLE_FRAMES)
 def interpolate_udf(seq: pd.Series, length: pd.Series) -> pd.Series:
-    return pd.Series([interpolate(_stack(s), int(n)).tolist() for s, n in zip(seq, length, strict=True)])
+    return pd.Series([interpolate(stack(s), int(n)).tolist() for s, n in zip(seq, length, strict=True)])
 
 
 def residual(aligned: Column, norm: Column) -> Column:
@@ -170,4 +170,4 @@ def masked_smoothness(x: Column, mask: Column) -> Column:
 
 @F.pandas_udf(DOUBLE_FRAMES)
 def zscore_udf(x: pd.Series) -> pd.Series:
-    return x.map(lambda f: zscore(_stack(f)).tolist())
+    return x.map(lambda f: zscore(stack(f)).tolist())

@@ -52,6 +52,26 @@ def expected_values(df: DataFrame, expected: dict[str, object], tolerance: float
     return out
 
 
+def expectation_issues(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """severity, code, key and message for each cell that breaks a rule.
+
+    ``rules`` is a table of ``column``, ``value`` (as text), ``tolerance`` and ``severity``. With a tolerance a cell must be a number within
+    it of the value; without one its text must equal the value; a null value expects an empty cell. A missing cell, and a
+    column that ``df`` does not have, break any other rule. Columns that rules name are unpivoted once and joined with the
+    rules, so a rule is a row and no code.
+    """
+    # people write rules, so they are few
+    named = [r["column"] for r in rules.select("column").distinct().orderBy("column").collect()]  # at most a table's columns, and typing errors
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(f"`{c}`").cast("string") if c in df.columns else F.lit(None).cast("string")).alias("cell")) for c in named])
+    long = df.select(F.col(key).cast("string").alias("key"), F.explode(cells).alias("c")).select("key", "c.*")
+    met = long.join(F.broadcast(rules.select("column", "value", "tolerance", "severity")), "column")
+    number = F.abs(F.col("cell").try_cast("double") - F.col("value").try_cast("double")) <= F.col("tolerance")
+    holds = F.when(F.col("value").isNull(), F.col("cell").isNull()).when(F.col("tolerance").isNotNull(), number).otherwise(F.col("cell") == F.col("value"))
+    broken = met.filter(~F.coalesce(holds, F.lit(False)))
+    message = F.concat(F.col("column"), F.lit(": "), F.coalesce("cell", F.lit("missing")))
+    return broken.select("severity", F.concat("column", F.lit("_mismatch")).alias("code"), "key", message.alias("message"))
+
+
 def frame_checks(arrays: dict[str, int], equal_length: list[str], tolerance: float = 1e-4) -> list[Check]:
     """Checks of frame arrays: present, of the given width, finite, equally long, and a residual that can be recomputed.
 
@@ -94,7 +114,7 @@ def target_modules(modules: DataFrame, *, begins: tuple[str, ...] = (), ends: tu
 
 
 class Progress(StreamingQueryListener):
-    """Writes a JSON line to ``out`` for each micro-batch: its number, rows and seconds."""
+    """Writes a JSON line to ``out`` for each micro-batch: its number, rows, groups that came too late, and seconds."""
 
     def __init__(self, out: Callable[[str], object] = print):
         self.out = out
@@ -104,7 +124,8 @@ class Progress(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        self.out(json.dumps({"event": "progress", "batch": p.batchId, "rows": p.numInputRows, "seconds": p.batchDuration / 1000}))
+        late = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        self.out(json.dumps({"event": "progress", "batch": p.batchId, "rows": p.numInputRows, "late": late, "seconds": p.batchDuration / 1000}))
 
     def onQueryTerminated(self, event) -> None:  # noqa: N802
         self.out(json.dumps({"event": "ended", "id": str(event.id), "error": event.exception}))

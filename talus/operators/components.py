@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talus.operators.digests import ordered_digests, ordered_texts
 from talus.operators.leakage import long_layers
 from talus.operators.shared import Workspace
 
@@ -41,16 +42,31 @@ def prompt_components(df: DataFrame, layers: dict[str, str], key: str = "utt_id"
     return label_components(edges).withColumnRenamed("node", key)
 
 
-def component_digests(df: DataFrame, comps: DataFrame, layers: dict[str, str], key: str = "utt_id") -> DataFrame:
-    """Per component: prompt_id from the sorted variants of each layer, rows, variant counts, and sorted digests of the variants."""
+def component_variants(df: DataFrame, comps: DataFrame, layers: dict[str, str], key: str = "utt_id") -> DataFrame:
+    """comp, layer_no, variant and digest: the distinct keys of each component in each layer; a blank is one."""
     names = list(layers)
-    rows = df.join(comps, key)
-    sets = {n: F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("")))) for n, c in layers.items()}
-    out = rows.groupBy("comp").agg(F.count("*").alias("sample_count"), *[s.alias(f"__{n}") for n, s in sets.items()])
-    text = F.concat_ws("\n", *[F.concat(F.lit(f"{n.upper()}="), F.array_join(F.col(f"__{n}"), "||")) for n in names])
-    return out.select(
-        "comp", F.substring(F.sha2(text, 256), 1, 16).alias("prompt_id"), "sample_count", *[F.size(f"__{n}").cast("long").alias(f"{n}_variants") for n in names],
-        *[F.array_join(F.array_sort(F.transform(f"__{n}", lambda v: F.substring(F.sha2(v, 256), 1, 16))), ";").alias(f"{n}_hashes") for n in names])
+    rows = long_layers(df.join(comps, key), layers, "comp").withColumn("variant", F.coalesce("key", F.lit("")))
+    layer_no = F.array_position(F.array(*map(F.lit, names)), F.col("layer")).cast("int") - 1
+    found = rows.select("comp", layer_no.alias("layer_no"), "variant").distinct()
+    return found.withColumn("digest", F.substring(F.sha2("variant", 256), 1, 16))
+
+
+def component_digests(df: DataFrame, comps: DataFrame, layers: dict[str, str], key: str = "utt_id") -> DataFrame:
+    """Per component: prompt_id from the sorted variants of each layer, rows, variant counts, and sorted digests of the variants.
+
+    Variants are sorted and folded by ``ordered_digests``, so a component of very many is never gathered. Its cell of
+    digests is as long as they are; ``component_variants`` has a row for each.
+    """
+    names, work = list(layers), Workspace(df.sparkSession)
+    variants = work.save(component_variants(df, comps, layers, key), "variants")
+    headings = tuple(("\n" if i else "") + f"{n.upper()}=" for i, n in enumerate(names))
+    ids = ordered_digests(variants, ["comp"], "variant", "variant", "||", "layer_no", headings)
+    lists = ordered_texts(variants, ["comp", "layer_no"], "digest", "digest", ";")
+    counts = variants.groupBy("comp").agg(*[F.count_if(F.col("layer_no") == i).alias(f"{n}_variants") for i, n in enumerate(names)])
+    lists = lists.groupBy("comp").agg(*[F.max(F.when(F.col("layer_no") == i, F.col("text"))).alias(f"{n}_hashes") for i, n in enumerate(names)])
+    sizes = df.join(comps, key).groupBy("comp").agg(F.count("*").alias("sample_count"))
+    out = sizes.join(ids, "comp").join(counts, "comp").join(lists, "comp")
+    return out.select("comp", F.substring("digest", 1, 16).alias("prompt_id"), "sample_count", *[f"{n}_variants" for n in names], *[f"{n}_hashes" for n in names])
 
 
 def with_prompt_ids(df: DataFrame, comps: DataFrame, digests: DataFrame, key: str = "utt_id") -> DataFrame:

@@ -12,11 +12,14 @@ from talus.operators.shared import ranked
 def plain_mean(c: str | Column) -> Column:
     """Average without nulls and NaN; null without values.
 
-    Values are summed as decimals of twelve places, so a mean is the same in whatever order and parts they are added.
+    Values below 10^16 are summed as decimals of twelve places, so a mean is the same in whatever order and parts they are
+    added. Where a group holds an infinity or a larger value, it is summed as doubles, so these count like any other.
     """
     value = (F.col(c) if isinstance(c, str) else c).cast("double")
-    value = F.when(~F.isnan(value), value).try_cast("decimal(38,12)")
-    return F.try_divide(F.sum(value).cast("double"), F.count(value))
+    value = F.when(~F.isnan(value), value)
+    exact = value.try_cast("decimal(28,12)")
+    total = F.when(F.count(exact) == F.count(value), F.try_sum(exact).cast("double"))
+    return F.try_divide(F.coalesce(total, F.sum(value)), F.count(value))
 
 
 def mean(c: str | Column, places: int = 6) -> Column:

@@ -9,12 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.functions import metrics, text
-from talus.functions.frames import dtw_udf, interpolate_udf, log_mel_udf, mean_abs, residual, root_mean_square, zscore_udf
-from talus.operators import audit, compare, components, dedupe, infer, leakage, manifest, sampling, sequences, splits, summary
+from talus.functions import metrics, readings, text
+from talus.functions.frames import interpolate_udf, log_mel_udf, mean_abs, residual, root_mean_square, zscore_udf
+from talus.operators import alignment, audit, batches, compare, components, dedupe, infer, leakage, manifest, sampling, sequences, splits, summary
 from talus.operators.shared import Workspace, shared_folder
 from talus.plans.fixture import METHODS, PIECES_SQL, UTTERANCES_SQL, distance, pieces, table, utterances
-from talus.sources import audio, tables
+from talus.sources import audio, staged, tables
 from talus.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,8 @@ LAYERS = {"raw": "gt", "normalized": "normal", "skeleton": "skeleton"}
 
 def _exact_means(sql: str) -> str:
     """Averages of rates, which have six decimals, from exact sums of millionths, as ``summary.plain_mean`` takes them from decimals."""
-    total = r"sum(try_cast(round(\1 * 1000000) AS BIGINT))\2::DOUBLE / 1000000"
+    fits = r"try_cast(round(\1 * 1000000) AS BIGINT)"
+    total = rf"(CASE WHEN count({fits})\2 = count(\1)\2 THEN sum({fits})\2::DOUBLE / 1000000 ELSE sum(\1)\2 END)"
     return re.sub(r"avg\((\w+_cer|[cbwz])\)( FILTER \((?:[^()]|\([^()]*\))*\))?", rf"({total} / count(\1)\2)", sql)
 
 
@@ -141,14 +142,39 @@ def normalize_digits_run(spark, sf):
     return pieces(spark, sf).select("doc_id", F.col("n").cast("long").alias("n"), read.alias("digits"))
 
 
-@query()
+_RUN = f"[{text.NUMERALS}十百千廿卅]{{2,}}"
+_DIGIT = lambda c: f"translate({c}, '{text.NUMERALS}', '{text.NUMERAL_DIGITS}')"
+_UNIT_SQL = "CASE ch WHEN '十' THEN 10 WHEN '百' THEN 100 WHEN '千' THEN 1000 ELSE 0 END"
+# a sign is [digit or -1, unit or 0]; the fold holds [total, current]
+_FOLD = f"""list_reduce([[0, 0]::BIGINT[]] || list_transform(string_split(tok, ''), lambda ch: [coalesce(try_cast({_DIGIT("ch")} AS BIGINT), -1), {_UNIT_SQL}]::BIGINT[]),
+ lambda acc, s: CASE WHEN s[1] >= 0 THEN [acc[1], s[1]] ELSE [acc[1] + greatest(acc[2], 1) * s[2], 0] END)"""
+_TENS = " ".join(f"WHEN tok = '{t}' THEN '{v}' WHEN regexp_full_match(tok, '{t}[{text.NUMERALS}]') THEN ({v} + {_DIGIT("substr(tok, 2)")}::INT)::VARCHAR" for t, v in text.TENS.items())
+_NUMERAL = f"""CASE WHEN regexp_full_match({_DIGIT("tok")}, '[0-9]+') THEN {_DIGIT("tok")} {_TENS} WHEN regexp_matches(tok, '[廿卅]') THEN tok ELSE list_sum({_FOLD})::BIGINT::VARCHAR END"""
+
+
+def _numerals_sql(expr: str) -> str:
+    """SQL of rows (doc_id, n, v): the expression with its runs of numerals by their values, put together again from the text between them."""
+    return f"""s AS (SELECT doc_id, n, {expr} w FROM pc), t AS (SELECT doc_id, n, string_split_regex(w, '{_RUN}') gaps, list_transform(regexp_extract_all(w, '{_RUN}'), lambda tok: {_NUMERAL}) nums FROM s),
+v AS (SELECT doc_id, n, array_to_string(flatten(list_transform(range(1, len(gaps) + 1), lambda i: [gaps[i], coalesce(nums[i], '')])), '') v FROM t)"""
+
+
+def _replaced_sql(expr: str) -> str:
+    for old, new in text.REPLACEMENTS:
+        expr = f"replace({expr}, '{old}', '{new}')"
+    return f"lower({expr})"
+
+
+_BARE_CJK = _PUNCT_SQL.format(rf"regexp_replace({_CJK_SQL}, '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', '', 'g')")
+
+
+@query(f", {_numerals_sql(_CJK_SQL)} SELECT doc_id, n, v normalized FROM v", p=True)
 def normalize_numerals(spark, sf):
-    return pieces(spark, sf).select("doc_id", "n", text.normalize_numerals(F.translate(F.lower("gt"), LETTERS, SIGNS)).alias("normalized"))
+    return pieces(spark, sf).select("doc_id", F.col("n").cast("long").alias("n"), text.normalize_numerals(F.translate(F.lower("gt"), LETTERS, SIGNS)).alias("normalized"))
 
 
-@query()
+@query(f", {_numerals_sql(f"translate({_BARE_CJK}, '{text.SIMPLIFIED}', '{text.TRADITIONAL}')")} SELECT doc_id, n, {_replaced_sql("v")} normalized FROM v", p=True)
 def normalize_full(spark, sf):
-    return pieces(spark, sf).select("doc_id", "n", text.normalize_full(F.translate(F.lower("gt"), LETTERS, SIGNS)).alias("normalized"))
+    return pieces(spark, sf).select("doc_id", F.col("n").cast("long").alias("n"), text.normalize_full(F.translate(F.lower("gt"), LETTERS, SIGNS)).alias("normalized"))
 
 
 _WRAPPED = "'[ ' || (doc_id % 9)::VARCHAR || '. ' || gt || ' /abc' || n::VARCHAR || '/ ]'"
@@ -373,6 +399,39 @@ def overlap_audit(spark, sf):
     return leakage.overlap_audit(_keys(utterances(spark, sf)), LAYERS)
 
 
+# entries of one to four letters; the longest at a place is read
+_LEXICON = {w: f"{w[0]}{len(w)}" for w in "a e i o u n r s t th he in er an re on at en nd ti es or te of the and ing ion tio ent tion ther that ment".split()} | {"ei": "ai2", "ie": "i2", "ss": "s2", "é": "e1", "ü": "u1"}
+_READ_SQL = f"""list_transform(regexp_extract_all(lower(gt), '(?s){"|".join(sorted(_LEXICON, key=lambda w: (-len(w), w)))}|.'), lambda w: coalesce(map {{{", ".join(f"'{w}': '{r}'" for w, r in _LEXICON.items())}}}[w], 'UNK:' || w))"""
+_READ = f", k AS (SELECT utt_id, split, gt, array_to_string({_READ_SQL}, ' ') reading FROM u)"
+
+
+def _read(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    lexicon = spark.createDataFrame(list(_LEXICON.items()), "word string, reading string")
+    return readings.with_readings(utterances(spark, sf).select("utt_id", "split", "gt", F.lower("gt").alias("sound"), *more), "sound", lexicon)
+
+
+@query(_READ + " SELECT utt_id, md5(reading) reading, len(string_split(reading, ' ')) n FROM k", u=True)
+def reading_keys(spark, sf):
+    return _read(spark, sf).select("utt_id", F.md5("reading").alias("reading"), F.size(F.split("reading", " ")).cast("long").alias("n"))
+
+
+@query(_READ + """, l AS (SELECT split, 'raw' layer, gt AS key FROM k UNION ALL SELECT split, 'reading', reading FROM k), m AS (SELECT layer, key, bool_or(split = 'train') a, bool_or(split = 'dev') b, bool_or(split = 'test') c FROM l GROUP BY ALL)
+SELECT layer, count_if(a AND b) train_dev_overlap, count_if(a AND c) train_test_overlap, count_if(b AND c) dev_test_overlap FROM m GROUP BY layer""", u=True)
+def reading_overlap(spark, sf):
+    return leakage.overlap_audit(_read(spark, sf), {"raw": "gt", "reading": "reading"})
+
+
+@query(_READ + """, w AS (SELECT reading, count(*) n FROM k WHERE split = 'train' AND reading <> '' GROUP BY 1) SELECT utt_id, 'reading' layer, n IS NOT NULL seen, coalesce(n, 0) match_count FROM k LEFT JOIN w USING (reading) WHERE split = 'test'""", u=True)
+def reading_leakage(spark, sf):
+    rows = Workspace(spark).save(_read(spark, sf), "read")
+    return leakage.match(rows.filter("split = 'test'"), rows.filter("split = 'train'"), {"reading": "reading"}).select("utt_id", "layer", "seen", "match_count")
+
+
+@query(_READ + " SELECT utt_id, min(utt_id) OVER (PARTITION BY reading) comp FROM k", u=True)
+def reading_components(spark, sf):
+    return components.prompt_components(_read(spark, sf), {"raw": "gt", "reading": "reading"})
+
+
 _WORDS_SQL = "list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')"
 
 
@@ -541,6 +600,24 @@ def turn_deltas(spark, sf):
     return sequences.fill_forward(sequences.step_differences(rows, "conv_id", order, "size", "delta"), "conv_id", order, "user_turn", "last_user_turn").select("conv_id", "turn", "delta", "last_user_turn")
 
 
+_RULES = [
+    ("o_orderstatus", "O", None, "error"), ("o_totalprice", "150000", 100000.0, "warning"), ("o_shippriority", "0", 0.0, "error"),
+    ("o_orderpriority", "5-LOW", None, "warning"), ("o_custkey", "500", 400.5, "error"), ("o_unknown", "x", None, "error"), ("o_missing", None, None, "error"),
+]
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('o_orderstatus', 'O', NULL, 'error'), ('o_totalprice', '150000', 100000.0::DOUBLE, 'warning'), ('o_shippriority', '0', 0.0, 'error'), ('o_orderpriority', '5-LOW', NULL, 'warning'),
+ ('o_custkey', '500', 400.5, 'error'), ('o_unknown', 'x', NULL, 'error')) v(name, value, tolerance, severity)),
+c AS (SELECT o_orderkey, unnest(['o_orderstatus', 'o_totalprice', 'o_shippriority', 'o_orderpriority', 'o_custkey', 'o_unknown']) name,
+ unnest([o_orderstatus, o_totalprice::DECIMAL(15, 2)::VARCHAR, (o_orderkey * 0)::VARCHAR, o_orderpriority, o_custkey::VARCHAR, NULL]) cell FROM orders)
+SELECT severity, name || '_mismatch' code, o_orderkey::VARCHAR AS key FROM c JOIN r USING (name) WHERE NOT coalesce(CASE WHEN tolerance IS NULL THEN cell = value ELSE abs(try_cast(cell AS DOUBLE) - try_cast(value AS DOUBLE)) <= tolerance END, false)""")
+def expectation_rules(spark, sf):
+    """Expected values as a table of rules, one of them for a column that is not there."""
+    rules = spark.createDataFrame(_RULES, "column string, value string, tolerance double, severity string")
+    orders = table(spark, sf, "orders").withColumn("o_shippriority", F.lit(0))
+    return audit.expectation_issues(orders, rules, "o_orderkey").select("severity", "code", "key")
+
+
 # array kernels
 
 
@@ -560,19 +637,80 @@ def vector_residual_stats(spark, sf):
     return d.select(key, metrics.rounded(mean_abs(F.col("d"))).alias("l1"), metrics.rounded(root_mean_square(F.col("d"))).alias("l2"))
 
 
-@query()
+_FRAMES = "list_transform(range(0, 8), lambda i: list_transform(range(0, 8), lambda k: embedding[i * 8 + k + 1]::DOUBLE))"
+
+
+def _frames(vec: str):
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(vec, i * 8 + 1, 8).cast("array<float>"))
+
+
+_UNIT = lambda f: f"list_transform({f}, lambda v: v / greatest(sqrt(list_sum(list_transform({f}, lambda q: q * q))), 1e-12))"
+_PATHS = f"""WITH RECURSIVE f AS (SELECT vec_id, {_FRAMES} x FROM embeddings),
+z0 AS (SELECT vec_id, x, list_transform(range(1, 9), lambda k: list_transform(x, lambda f: f[k])) t FROM f),
+z1 AS (SELECT vec_id, x, list_transform(t, lambda v: list_avg(v)) m, list_transform(t, lambda v: greatest(list_stddev_samp(v), 1e-5)) d FROM z0),
+z2 AS (SELECT vec_id, x, list_transform(x, lambda f: list_transform(range(1, 9), lambda k: (f[k] - m[k]) / d[k])) z FROM z1),
+n AS (SELECT vec_id, x, list_transform(z, lambda f: {_UNIT("f")}) u FROM z2),
+c AS (SELECT a.vec_id, list_transform(a.u, lambda p: list_transform(b.u, lambda q: 1 - list_sum(list_transform(range(1, 9), lambda k: p[k] * q[k])))) c FROM n a JOIN n b ON b.vec_id = a.vec_id + 1),
+r(vec_id, i, t) AS (SELECT vec_id, 0, [0.0::DOUBLE] || list_transform(range(8), lambda j: 'inf'::DOUBLE) FROM c UNION ALL
+ SELECT r.vec_id, i + 1, list_reduce([['inf'::DOUBLE]] || list_transform(range(1, 9), lambda j: [j::DOUBLE]), lambda acc, e: list_append(acc, c[i + 1][e[1]::INT] + least(t[e[1]::INT], t[e[1]::INT + 1], acc[e[1]::INT]))) FROM r JOIN c USING (vec_id) WHERE i < 8),
+m AS (SELECT vec_id, list(t ORDER BY i) m FROM r GROUP BY vec_id),
+b(vec_id, i, j, back) AS (SELECT vec_id, 8, 8, 0 FROM m UNION ALL SELECT vec_id, CASE WHEN m[i][j] <= least(m[i][j + 1], m[i + 1][j]) OR m[i][j + 1] <= m[i + 1][j] THEN i - 1 ELSE i END,
+ CASE WHEN m[i][j] <= least(m[i][j + 1], m[i + 1][j]) OR m[i + 1][j] < m[i][j + 1] THEN j - 1 ELSE j END, back + 1 FROM b JOIN m USING (vec_id) WHERE i > 1 OR j > 1),
+path AS (SELECT vec_id, (max(back) OVER (PARTITION BY vec_id) - back)::INT step, i - 1 i, j - 1 j, m[9][9] / count(*) OVER (PARTITION BY vec_id) AS cost FROM b JOIN m USING (vec_id))"""
+
+
+def _neighbours(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Frames of each embedding as ``x`` and of the next one as ``y``."""
+    df, key, vec = _vectors(spark, sf)
+    frames = df.select(key, _frames(vec).alias("x"))
+    return frames.join(frames.select((F.col(key) - 1).alias(key), F.col("x").alias("y")), key), key
+
+
+@query(_PATHS + " SELECT vec_id, step, i, j, round_even(cost, 6) cost FROM path")
 def dtw_align(spark, sf):
+    """Every step of the warping path from each embedding's frames to the next one's."""
+    pairs, key = _neighbours(spark, sf)
+    return alignment.warping_paths(pairs, key, "x", "y").withColumn("cost", metrics.rounded(F.col("cost")))
+
+
+@query(_PATHS + """, s AS (SELECT vec_id, i, j FROM path WHERE NOT (i % 4 = 0 AND vec_id % 2 = 0)), y AS (SELECT vec_id - 1 vec_id, x FROM f),
+h AS (SELECT vec_id, i, k, avg(x[j + 1][k]) v FROM s JOIN y USING (vec_id), range(1, 9) b(k) GROUP BY ALL), t AS (SELECT vec_id, x, i, k FROM y JOIN (SELECT DISTINCT vec_id FROM path) USING (vec_id), range(10) a(i), range(1, 9) b(k)),
+l AS (SELECT vec_id, i, k, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY vec_id, k ORDER BY i ROWS UNBOUNDED PRECEDING), x[least(i, 7) + 1][k]) v FROM t LEFT JOIN h USING (vec_id, i, k))
+SELECT vec_id, i::INT frame, list(round_even(v, 5) + 0.0::DOUBLE ORDER BY k) AS values FROM l GROUP BY ALL""")
+def align_frames(spark, sf):
+    """The next embedding's frames on a timeline of ten; some paths have holes, at their beginning too."""
+    pairs, key = _neighbours(spark, sf)
+    work = Workspace(spark)
+    paths = work.save(alignment.warping_paths(pairs, key, "x", "y"), "paths").filter(f"NOT (i % 4 = 0 AND {key} % 2 = 0)")
+    out = alignment.align_frames(alignment.frame_rows(pairs, key, "y"), paths, pairs.select(key, F.lit(10).alias("length")), key)
+    return out.withColumn("values", F.transform("values", lambda v: metrics.rounded(v, 5) + 0.0))
+
+
+_RAGGED = f"r AS (SELECT vec_id, list_slice({_FRAMES}, 1, 1 + (vec_id * 7) % 8) x, 1 + (vec_id * 7) % 8 n FROM embeddings), o AS (SELECT *, row_number() OVER (ORDER BY n, vec_id) - 1 spot FROM r), p AS (SELECT *, spot // 50 batch, max(n) OVER (PARTITION BY spot // 50) longest FROM o)"
+
+
+def _batches(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Embeddings as one to eight frames, in padded batches of fifty."""
     df, key, vec = _vectors(spark, sf)
-    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(vec, i * 8 + 1, 8).cast("array<float>"))
-    rows = df.select(key, frames.alias("x"), F.reverse(frames).alias("y"))
-    return rows.select(key, dtw_udf("x", "y").alias("r")).select(key, F.size("r.path").alias("steps"), metrics.rounded(F.col("r.cost")).alias("cost"))
+    rows = df.select(key, F.slice(_frames(vec), 1, (1 + (F.col(key) * 7) % 8).cast("int")).alias("x"))
+    return batches.padded(batches.length_batches(rows, key, "x", 50), "x", 8), key
 
 
-_FRAMES = "list_transform(range(0, 8), lambda i: list_transform(range(0, 8), lambda k: embedding[i * 8 + k + 1]::DOUBLE))"
+@query(f"""WITH {_RAGGED} SELECT vec_id, batch, (spot % 50)::INT place, n n_frames, longest - n padding, list_concat(flatten(x), list_transform(range(8 * (longest - n)), lambda i: 0.0::DOUBLE)) cells,
+ list_transform(range(1, longest + 1), lambda i: i <= n) mask FROM p""")
+def padded_batches(spark, sf):
+    rows, key = _batches(spark, sf)
+    return rows.select(key, "batch", "place", "n_frames", "padding", F.flatten("padded").alias("cells"), "mask")
 
 
-def _frames(vec: str):
-    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(vec, i * 8 + 1, 8).cast("array<float>"))
+@query(f"""WITH {_RAGGED}, c AS (SELECT batch, n, i, k, x[i][k] a, CASE WHEN i > 1 THEN x[i - 1][k] END b FROM p, range(1, 9) s(i), range(1, 9) t(k) WHERE i <= n)
+SELECT batch, round_even(sum(abs(a - (a * 0.5 + 0.25))) / count(*), 6) l1, round_even(coalesce(sum(abs(a - b)), 0) / greatest(count(b), 1), 6) smoothness, count(*) // 8 n_frames, count(b) // 8 n_steps FROM c GROUP BY batch""")
+def masked_losses(spark, sf):
+    """Losses of padded frames against others; places of padding hold other values and do not count."""
+    rows, _ = _batches(spark, sf)
+    other = F.transform("padded", lambda f: F.transform(f, lambda v: v * 0.5 + 0.25))
+    out = batches.masked_losses(rows.withColumn("y", other), "padded", "y", "mask", "batch")
+    return out.withColumns({c: metrics.rounded(F.col(c)) for c in ("l1", "smoothness")})
 
 
 @query(f"""WITH f AS (SELECT vec_id, {_FRAMES} x FROM embeddings), t AS (SELECT vec_id, x, i, least(greatest((i + 0.5::DOUBLE) * 8 / 12 - 0.5::DOUBLE, 0), 7) spot FROM f, range(12) r(i)),
@@ -613,9 +751,10 @@ def vector_audit(spark, sf):
 
 @query()
 def log_mel_bins(spark, sf):
-    """Embeddings as very short waves: the log-mel spectrogram's first frame."""
+    """Embeddings as very short waves: all frames of the log-mel spectrogram."""
     df, key, vec = _vectors(spark, sf)
-    return df.select(key, F.transform(log_mel_udf(F.flatten(F.array_repeat(F.col(vec).cast("array<double>"), 10)))[0], lambda v: metrics.rounded(v, 3)).alias("frame"))
+    frames = log_mel_udf(F.flatten(F.array_repeat(F.col(vec).cast("array<double>"), 10)))
+    return df.select(key, F.posexplode(frames).alias("frame", "v")).select(key, "frame", F.transform("v", lambda v: metrics.rounded(v, 3)).alias("bins"))
 
 
 @query("""WITH w AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) x FROM embeddings), s AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)) rms, list_max(list_transform(x, lambda v: abs(v))) top FROM w),
@@ -665,15 +804,26 @@ def jsonl_round_trip(spark, sf):
     return tables.read_jsonl(spark, path, rows.schema, required=["conv_id", "turn"]).withColumn("lines", F.lit(lines).cast("long"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'again' ELSE 'once' END state FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 12 = 0 THEN 'third' WHEN doc_id % 4 = 0 THEN 'again' ELSE 'once' END state FROM documents")
 def jsonl_cache_last(spark, sf):
-    """A log to which later runs append: the last line of each key counts."""
+    """A log that three runs append to: the last line of each key counts, whatever the files are called."""
     path, docs = _place(spark, "log"), table(spark, sf, "documents").select("doc_id")
-    both = docs.withColumn("state", F.lit("once")).withColumn("nth", F.lit(0)).unionByName(docs.filter("doc_id % 4 = 0").withColumn("state", F.lit("again")).withColumn("nth", F.lit(1)))
-    tables.write_jsonl(both.repartitionByRange(2, "nth").sortWithinPartitions("nth").drop("nth"), path)
+    for every, state in ((1, "once"), (4, "again"), (12, "third")):
+        tables.append_jsonl(docs.filter(f"doc_id % {every} = 0").withColumn("state", F.lit(state)), path)
     return tables.read_jsonl_cache(spark, path, "doc_id long, state string", "doc_id")
 
 
+@query("SELECT doc_id, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) ELSE '' END) digest, (doc_id % 3 = 0)::BIGINT n_bad FROM documents")
+def staged_rewrite(spark, sf):
+    """Lines of which some hold a byte that is no UTF-8: read, scored and published as the next version."""
+    path, docs = _place(spark, "staged"), table(spark, sf, "documents").select("doc_id", "text")
+    line = F.to_json(F.struct("doc_id", F.concat("text", F.when(F.col("doc_id") % 3 == 0, "#BAD#").otherwise("")).alias("text")))
+    staged.publish_lines(docs.select(F.replace(line, F.lit("#BAD#"), F.unhex(F.lit("FF")).cast("string")).alias("value")), path)
+    bad = F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))
+    staged.rewrite(spark, path, "doc_id long, text string", lambda rows: rows.withColumn("n_bad", bad.cast("long")))
+    return staged.current(spark, path, "doc_id long, text string, n_bad long").select("doc_id", F.md5("text").alias("digest"), "n_bad")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 10 < 8 THEN 'train' ELSE 'validation' END split FROM documents")
 def json_split_dict(spark, sf):
     docs, paths = table(spark, sf, "documents").select("doc_id"), {}
@@ -740,10 +890,11 @@ def pair_manifest(spark, sf):
     return manifest.pair_rows(rows, "/tts")
 
 
-@query(""" SELECT 'P:' prefix_text, '' prompt, '/a' audio, gt target FROM pc""", p=True)
+@query("""SELECT conv_id, turn, 'role ' || CASE WHEN conv_id % 3 = 0 THEN '' ELSE role END || ':' prefix_text, CASE WHEN conv_id % 3 = 0 THEN '' ELSE role END prompt, '/a' audio, text target FROM conversations""")
 def chat_prefix_rows(spark, sf):
-    rows = pieces(spark, sf).select(F.lit(None).cast("string").alias("prompt"), F.lit("/a").alias("audio"), F.col("gt").alias("text"))
-    return manifest.prefix_rows(rows, lambda prompt: F.concat(F.lit("P:"), prompt))
+    """Turns of conversations with their role for a prompt, which a third of the conversations lacks."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("conv_id") % 3 != 0, F.col("role")).alias("prompt"), F.lit("/a").alias("audio"), "text")
+    return manifest.prefix_rows(rows, lambda prompt: F.concat(F.lit("role "), prompt, F.lit(":")), "conv_id", "turn")
 
 
 @query(f""", r AS (SELECT utt_id, lower(replace(gt, ' ', '')) a, lower(replace(new_pred, ' ', '')) b, new_pred FROM u), d AS (SELECT *, {distance("a", "b")}::DOUBLE / greatest(length(a), 1) rate FROM r)
@@ -755,15 +906,16 @@ def scored_rows(spark, sf):
 _SPARSE = "CASE WHEN utt_id % 7 = 0 THEN NULL ELSE {0} END"
 
 
-@query(f""", s AS (SELECT duration_bucket, CASE utt_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE ELSE zero_shot_cer END z, new_method_cer w, {_SPARSE.format("zero_shot_critical")} zc, new_method_critical wc FROM u),
+@query(f""", s AS (SELECT duration_bucket, CASE WHEN utt_id % 5 = 0 THEN NULL WHEN utt_id % 5 = 1 THEN 'nan'::DOUBLE WHEN duration_bucket = 'short' THEN pow(2, 90) WHEN duration_bucket = 'medium' THEN 'inf'::DOUBLE ELSE zero_shot_cer END z, new_method_cer w, {_SPARSE.format("zero_shot_critical")} zc, new_method_critical wc FROM u),
 a AS (SELECT duration_bucket, count(*) sample_count, avg(z) FILTER (NOT isnan(z)) z, avg(w) w, avg(zc::INT) zc, avg(wc::INT) wc, count_if(zc) zn, count_if(wc) wn FROM s GROUP BY GROUPING SETS ((), (duration_bucket)))
 SELECT coalesce('duration_bucket=' || duration_bucket, 'overall') "group", sample_count, round_even(z, 6) before_cer, round_even(w, 6) after_cer, round_even(w - z, 6) delta_cer, round_even(zc, 6) before_critical_rate,
  round_even(wc, 6) after_critical_rate, round_even(wc - zc, 6) delta_critical_rate, zn before_critical_count, wn after_critical_count FROM a""", u=True)
 def stratified_summary_with_gaps(spark, sf):
-    """Blank and NaN rates and blank flags, which the summary leaves out."""
-    case = F.col("utt_id") % 5
+    """Blank and NaN rates and blank flags, which the summary leaves out; infinite and very large rates, which it does not."""
+    case, bucket = F.col("utt_id") % 5, F.col("duration_bucket")
+    large = F.when(bucket == "short", F.lit(2.0**90)).when(bucket == "medium", F.lit(float("inf")))
     rows = utterances(spark, sf).withColumns({
-        "z": F.when(case == 0, F.lit(None)).when(case == 1, F.lit(float("nan"))).otherwise(F.col("zero_shot_cer")), "zc": F.when(F.col("utt_id") % 7 != 0, F.col("zero_shot_critical")),
+        "z": F.when(case == 0, F.lit(None)).when(case == 1, F.lit(float("nan"))).otherwise(F.coalesce(large, F.col("zero_shot_cer"))), "zc": F.when(F.col("utt_id") % 7 != 0, F.col("zero_shot_critical")),
     })
     return summary.stratified_summary(rows, ["duration_bucket"], ("z", "zc"), ("new_method_cer", "new_method_critical"))
 
@@ -834,6 +986,21 @@ def streaming_window(spark, sf):
     return windows.tumbling(table(spark, sf, "events"))
 
 
+@query(f"""WITH half AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 mid FROM events), e AS (SELECT *, date_trunc('hour', ts) w, ts < mid AND event_id % 97 <> 0 early FROM events, half),
+wm AS (SELECT max(ts) - INTERVAL 2 HOUR wm FROM e WHERE early)
+SELECT w window_start, event_type, count(*) n, round_even(sum(value), 4) total FROM e, wm WHERE early OR w + INTERVAL 1 HOUR > date_trunc('millisecond', wm) GROUP BY ALL""")
+def streaming_restart(spark, sf):
+    """Events as a stream that stops at half time and goes on from its checkpoint; events held back until then, whose windows have closed, are late."""
+    root, events = _place(spark, "stream"), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("z")).first()
+    early = (F.col("ts") < F.lit(ends["a"] + (ends["z"] - ends["a"]) / 2)) & (F.col("event_id") % 97 != 0)
+    for part in (events.filter(early), events.filter(~early)):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = windows.read_stream(spark, f"{root}/in", events.schema)
+        windows.run_windows(stream, f"{root}/out", f"{root}/checkpoint")
+    return windows.latest_windows(spark, f"{root}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("""WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) prev FROM events), s AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) g FROM o)
 SELECT user_id, min(ts) session_start, max(ts) + INTERVAL 30 MINUTE session_end, count(*) n FROM s GROUP BY user_id, g""")
 def streaming_sessions(spark, sf):

@@ -33,7 +33,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, *, re
 
     ``tag`` names a column for the file a row comes from.
     """
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("__file")).filter(F.trim("value") != "")
+    lines = spark.read.text(path).select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("__file")).filter(F.trim("value") != "")
     if required:
         missing = lines.filter(F.size(F.array_except(F.array(*[F.lit(c) for c in required]), F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")))) > 0)
         if bad := missing.limit(3).collect():
@@ -42,9 +42,46 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, *, re
     return rows.select("r.*", *([F.col("__file").alias(tag)] if tag else []))
 
 
+def file_system(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def log_runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of a log's finished runs, in order; a run that has failed left no mark of success."""
+    fs, folder = file_system(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    numbers = sorted(int(n.partition("=")[2]) for n in names if n.startswith("run="))
+    return [n for n in numbers if fs.exists(file_system(spark, f"{path}/run={n:012d}/_SUCCESS")[1])]
+
+
+def append_jsonl(df: DataFrame, path: str) -> int:
+    """Appends rows to a log as a run of its own and returns its number, one more than any before.
+
+    The number is claimed by making a file that is not there yet, which a store does for one writer only; so appends at the
+    same time have an order too. A run that fails stays unread and its number unused.
+    """
+    spark = df.sparkSession
+    fs, claims = file_system(spark, f"{path}/_claims")
+    taken = [int(f.getPath().getName()) for f in fs.listStatus(claims)] if fs.exists(claims) else []
+    run = max([*taken, *log_runs(spark, path)], default=-1) + 1
+    while not fs.createNewFile(file_system(spark, f"{path}/_claims/{run:012d}")[1]):
+        run += 1
+    write_jsonl(df, f"{path}/run={run:012d}", "errorifexists")
+    return run
+
+
 def read_jsonl_cache(spark: SparkSession, path: str, schema: str | T.StructType, key: str) -> DataFrame:
-    """A progress log's last line per key."""
-    lines = spark.read.text(path).select("value", F.struct("_metadata.file_path", F.monotonically_increasing_id()).alias("__at")).filter(F.trim("value") != "")
+    """A progress log's last line per key: of the latest run, there of the last file part, there the last line.
+
+    ``path`` is a log that ``append_jsonl`` wrote, or a file or folder of lines, which counts as one run.
+    """
+    runs = log_runs(spark, path)
+    files = [f"{path}/run={n:012d}" for n in runs] or path
+    name, number = F.col("_metadata.file_path"), lambda pattern: F.nullif(F.regexp_extract("_metadata.file_path", pattern, 1), F.lit("")).cast("long")
+    # a large file is read in blocks, each by one task from its beginning
+    at = F.struct(number(r"/run=(\d+)/[^/]*$").alias("run"), number(r"/part-(\d+)[^/]*$").alias("part"), name.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(files).select("value", at.alias("__at")).filter(F.trim("value") != "")
     rows = lines.select(F.from_json("value", schema).alias("r"), "__at").filter(f"r.{key} is not null")
     return rows.groupBy(F.col(f"r.{key}").alias("__key")).agg(F.max_by("r", "__at").alias("r")).select("r.*")
 
@@ -61,9 +98,13 @@ def write_csv(df: DataFrame, path: str, columns: list[str], *, strict: bool = Fa
     df.select(*cells).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+def json_lines(df: DataFrame) -> DataFrame:
+    """The column ``value``: one object a row, non-ASCII as it is, nulls kept."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One object a line, non-ASCII as it is, nulls kept."""
-    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
+    json_lines(df).write.mode(mode).text(path)
 
 
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryProgress
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -46,3 +47,25 @@ def process_new(stream: DataFrame, each: Callable[[DataFrame], DataFrame], out:
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_windows(stream: DataFrame, out: str, checkpoint: str, *, width: str = "1 hour", late: str = "2 hours") -> list[StreamingQueryProgress]:
+    """Counts and sums what has arrived into ``tumbling`` windows, keeps their state in the checkpoint, and ends; returns its progress.
+
+    Each micro-batch writes the windows that it has changed to a folder of its own number. A run that is repeated after a
+    failure replaces the folder of its last batch and goes on from its state.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    counted = tumbling(stream, width, late)
+    query = counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query.recentProgress
+
+
+def latest_windows(spark: SparkSession, out: str) -> DataFrame:
+    """Windows as the last micro-batch that changed them left them."""
+    rows = spark.read.parquet(out)
+    return rows.groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r")).select("window_start", "event_type", "r.*")
