@@ -1,9 +1,9 @@
 """Benchmark decontamination over a positional inverted index, in DataFrame operations only.
 
-The index holds postings (term, document, position) of the training texts for the terms that searches start from: the two
-of each benchmark window that are rarest in the training texts. A window's phrase can only occur where the postings of
-both, each moved back by its place in the item, meet. There the item's words are laid beside the text's, and every run of
-equal words that is as long as a window is an occurrence.
+The index holds the postings (term, document, position) of all words of the training texts that the benchmark has too; a
+text is tokenised once, for the index. A window's phrase can only occur where the postings of its two rarest terms, each
+moved back by its place in the item, meet. At such a shift the lists of all the item's terms, moved back alike, are intersected,
+and every run of places that are all there, as long as a window, is an occurrence. Proximity matches take the same lists.
 """
 
 from __future__ import annotations
@@ -41,57 +41,56 @@ class BenchmarkIndex:
         items = items.distinct().select(F.monotonically_increasing_id().alias("item"), "item_id", "words", F.least(F.size("words"), F.lit(window)).alias("width"))
         self.items = scratch.save(items, "items")
         self.places = scratch.save(self.items.select("item", F.posexplode("words").alias("place", "term")), "places")
-        terms = scratch.save(self.places.select("term").distinct(), "terms")
-
-        # how often each benchmark term occurs in the training texts; counted map-side before the shuffle
-        tokens = self.rows.select(F.explode(words_of(F.col("text"))).alias("term"))
-        counts = tokens.join(self._small(terms, 16), "term").groupBy("term").agg(F.count("*").alias("frequency"))
-        self.frequency = scratch.save(counts, "frequency")
+        terms = self.places.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(END,)], "term string"))
+        self.terms = scratch.save(terms.withColumn("t", F.monotonically_increasing_id()), "terms")
+        self.places = scratch.save(self.places.join(self._small(self.terms, 24), "term").select("item", "place", "t"), "placed")
+
+        # all training texts are cut into words here, once
+        tokens = self.rows.select("doc_id", "doc_key", F.posexplode(F.array_append(words_of(F.col("text")), F.lit(END))).alias("pos", "term"))
+        index = tokens.join(self._small(self.terms, 24), "term").select("t", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id"), "doc_key", "pos")
+        index = scratch.save(index, "index")
+        end = self.terms.filter(F.col("term") == END).first()["t"]
+        self.documents = index.filter(F.col("t") == end).select("doc_id", "doc_key", F.col("pos").cast("long").alias("n_words"))
+        self.postings = index.filter(F.col("t") != end).select("t", "doc_key", "pos")
+        self.frequency = scratch.save(self.postings.groupBy("t").agg(F.count("*").alias("frequency")), "frequency")
 
         # windows start at each place that leaves room for one; a shorter item is one window
-        starts = F.sequence(F.lit(0), F.size("words") - F.col("width"))
-        windows = self.items.select("item", F.explode(starts).alias("start"), F.slice("words", F.col("start") + 1, F.col("width")).alias("phrase"))
+        widths = self.items.select("item", "width", (F.size("words") - F.col("width")).alias("last"))
+        starts = F.sequence(F.greatest(F.col("place") - F.col("width") + 1, F.lit(0)), F.least("place", "last"))
+        held = self.places.join(self._small(widths, 24), "item").select("item", "place", "t", F.explode(starts).alias("start"))
+        self.windows = held.select("item", "start", (F.col("place") - F.col("start")).alias("at"), "t")
         ranked = (
-            windows.select("item", "start", F.posexplode("phrase").alias("at", "term"))
-            .join(self.frequency, "term", "left")
+            self.windows.join(self.frequency, "t", "left")
             .withColumn("frequency", F.coalesce("frequency", F.lit(0).cast("long")))
             .groupBy("item", "start")
-            .agg(F.array_sort(F.collect_list(F.struct("frequency", "at", "term"))).alias("ranked"))
+            .agg(F.array_sort(F.collect_list(F.struct("frequency", "at", "t"))).alias("ranked"))
         )
         # a window with a term that never occurs cannot be met
         live = ranked.filter(F.col("ranked")[0]["frequency"] > 0)
         self.chosen = scratch.save(live.select("item", "start", F.slice("ranked", 1, 2).alias("chosen")), "chosen")
-        anchors = self.chosen.select(F.explode("chosen.term").alias("term")).unionByName(docs.sparkSession.createDataFrame([(END,)], "term string")).distinct()
-        anchors = scratch.save(anchors, "anchors")
-        placed = self.rows.select("doc_id", "doc_key", F.posexplode(F.array_append(words_of(F.col("text")), F.lit(END))).alias("pos", "term"))
-        index = scratch.save(placed.join(self._small(anchors, 16), "term"), "index")
-        self.documents = index.filter(F.col("term") == END).select("doc_id", "doc_key", F.col("pos").cast("long").alias("n_words"))
-        # texts that are equal have one list of postings
-        self.postings = scratch.save(index.filter(F.col("term") != END).select("term", "doc_key", "pos").distinct(), "postings")
 
     def _small(self, df: DataFrame, row_bytes: int) -> DataFrame:
         return broadcast_if_small(df, row_bytes, self.limit)
 
-    def _tokens(self, keys: DataFrame) -> DataFrame:
-        """doc_key, pos and term of each text whose key is given; equal texts once."""
-        texts = self.rows.join(self._small(keys.distinct(), 16), "doc_key", "left_semi").groupBy("doc_key").agg(F.first("text").alias("text"))
-        return texts.select("doc_key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    def _lists(self, keys: DataFrame) -> DataFrame:
+        """t, doc_key and pos: the postings of each text whose key is given; equal texts once."""
+        return self.postings.join(self._small(keys.distinct(), 16), "doc_key", "left_semi").distinct()
 
     def alignments(self) -> DataFrame:
         """item, doc_key, shift: where the rarest terms of a window both stand at their distance. One list meets the other by equal shifts."""
         first, last = F.col("chosen")[0], F.element_at("chosen", -1)
-        pairs = self.chosen.select("item", (F.col("start") + first["at"]).alias("a"), (F.col("start") + last["at"]).alias("b"), first["term"].alias("ta"), last["term"].alias("tb")).distinct()
-        roles = F.array(F.struct(F.col("ta").alias("term"), F.col("a").alias("place"), F.lit(1).alias("role")), F.struct(F.col("tb").alias("term"), F.col("b").alias("place"), F.lit(2).alias("role")))
+        pairs = self.chosen.select("item", (F.col("start") + first["at"]).alias("a"), (F.col("start") + last["at"]).alias("b"), first["t"].alias("ta"), last["t"].alias("tb")).distinct()
+        roles = F.array(F.struct(F.col("ta").alias("t"), F.col("a").alias("place"), F.lit(1).alias("role")), F.struct(F.col("tb").alias("t"), F.col("b").alias("place"), F.lit(2).alias("role")))
         roles = self.scratch.save(pairs.select("item", "a", "b", F.explode(roles).alias("r")).select("item", "a", "b", "r.*"), "roles")
-        lists = self.postings.join(self._small(roles, 48), "term").select("item", "a", "b", "doc_key", (F.col("pos") - F.col("place")).alias("shift"), "role")
+        lists = self.postings.join(self._small(roles, 48), "t").select("item", "a", "b", "doc_key", (F.col("pos") - F.col("place")).alias("shift"), "role")
         met = lists.groupBy("item", "a", "b", "doc_key", "shift").agg(F.bit_or("role").alias("roles")).filter("roles = 3")
         return self.scratch.save(met.select("item", "doc_key", "shift").distinct(), "met")
 
     def runs(self) -> DataFrame:
         """item, doc_key, shift, place, length: maximal runs of words that item and text share, as long as a window at least."""
         met = self.alignments()
-        wanted = met.join(self._small(self.places, 24), "item").select("item", "doc_key", "shift", "place", "term", (F.col("place") + F.col("shift")).alias("pos"))
-        equal = wanted.join(self._tokens(met.select("doc_key")), ["doc_key", "pos", "term"]).select("item", "doc_key", "shift", "place")
+        wanted = met.join(self._small(self.places, 24), "item").select("item", "doc_key", "shift", "place", "t", (F.col("place") + F.col("shift")).alias("pos"))
+        equal = wanted.join(self._lists(met.select("doc_key")), ["doc_key", "pos", "t"]).select("item", "doc_key", "shift", "place")
         along = Window.partitionBy("item", "doc_key", "shift").orderBy("place")  # an item's places at most
         islands = equal.withColumn("island", F.col("place") - F.row_number().over(along))
         found = islands.groupBy("item", "doc_key", "shift", "island").agg(F.min("place").alias("place"), F.count("*").alias("length"))
@@ -107,16 +106,21 @@ class BenchmarkIndex:
     def proximity_matches(self, slop: int = 20) -> DataFrame:
         """item, start, doc_key, first, last: windows all of whose words occur within ``slop`` words of a text, in any order.
 
-        The index proposes stretches that hold a window's rarest terms; there all of its words are looked for.
+        The lists of a window's rarest terms propose texts; there the lists of all its terms are looked at.
         """
-        rarest = self.chosen.select("item", "start", F.explode("chosen.term").alias("term")).distinct()
+        rarest = self.chosen.select("item", "start", F.explode("chosen.t").alias("t")).distinct()
         proposed = self._near(self.postings, rarest, slop).select("item", "start", "doc_key").distinct()
         proposed = self.scratch.save(proposed, "proposed")
-        live = self.chosen.select("item", "start").join(self.items.select("item", "width"), "item")
-        all_words = live.join(self.places, "item").filter("place >= start AND place < start + width").select("item", "start", "term").distinct()
-        found = self._near(self._tokens(proposed.select("doc_key")), all_words, slop)
+        live = self.windows.select("item", "start", "t").join(self._small(self.chosen.select("item", "start"), 16), ["item", "start"], "left_semi").distinct()
+        found = self._near(self._lists(proposed.select("doc_key")), live, slop)
         return found.join(proposed, ["item", "start", "doc_key"], "left_semi")
 
+    def proximity_report(self, slop: int = 20) -> DataFrame:
+        """doc_id, item_id, n_near (windows of the item whose words stand close together in the document) and first and last, the places that they span."""
+        near = self.proximity_matches(slop).groupBy("item", "doc_key").agg(F.count_distinct("start").alias("n_near"), F.min("first").cast("long").alias("first"), F.max("last").cast("long").alias("last"))
+        named = near.join(self._small(self.items.select("item", "item_id"), 16), "item")
+        return self.documents.join(named, "doc_key").select("doc_id", "item_id", "n_near", "first", "last")
+
     def _near(self, spots: DataFrame, wanted: DataFrame, slop: int) -> DataFrame:
         """Spans of at most ``slop`` words that hold all wanted terms of a window.
 
@@ -125,9 +129,9 @@ class BenchmarkIndex:
         sizes = wanted.groupBy("item", "start").agg(F.count("*").alias("n_terms"))
         binned = spots.withColumn("bin", F.explode(F.array(F.floor(F.col("pos") / slop), F.floor(F.col("pos") / slop) - 1)))
         grouped = (
-            binned.join(self._small(wanted, 32), "term")
+            binned.join(self._small(wanted, 32), "t")
             .groupBy("item", "start", "doc_key", "bin")
-            .agg(F.array_sort(F.collect_set(F.struct("pos", "term"))).alias("spots"))
+            .agg(F.array_sort(F.collect_set(F.struct("pos", "t"))).alias("spots"))
             .join(self._small(sizes, 32), ["item", "start"])
         )
         span = F.transform(
@@ -137,7 +141,7 @@ class BenchmarkIndex:
                 F.filter("spots", lambda t: (t["pos"] >= s["pos"]) & (t["pos"] < s["pos"] + slop)).alias("inside"),
             ),
         )
-        full = F.filter(span, lambda s: F.size(F.array_distinct(F.transform(s["inside"], lambda t: t["term"]))) == F.col("n_terms"))
+        full = F.filter(span, lambda s: F.size(F.array_distinct(F.transform(s["inside"], lambda t: t["t"]))) == F.col("n_terms"))
         return (
             grouped.select("item", "start", "doc_key", F.explode(full).alias("s"))
             .select("item", "start", "doc_key", F.col("s.first").alias("first"), F.array_max(F.transform("s.inside", lambda t: t["pos"])).alias("last"))

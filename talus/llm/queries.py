@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm.common import table
-from talus.llm.decontaminate import contamination
+from talus.llm.decontaminate import BenchmarkIndex, contamination
 from talus.llm.divergence import source_divergence
 from talus.llm.exact_dedup import exact_duplicates
 from talus.llm.licenses import license_sql, scan_licenses
@@ -55,6 +55,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with windows all of whose words stand within twenty words of a document, in any order."""
+    return BenchmarkIndex(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).proximity_report(slop=20)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -93,7 +98,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_exact_dedup, op4_decontamination, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc, op11_mixing, op12_prefix_trie, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_exact_dedup, op4_decontamination, op5_minhash, op6_license_scan, op7_quality, op8_packing, op9_url_filter, op10_warc, op11_mixing, op12_prefix_trie, op13_source_divergence, proximity_matches)}
 
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
