@@ -203,6 +203,29 @@ def test_contamination_edges_and_proximity(spark):
     assert not decontaminate.contamination(docs, items.limit(0)).filter("contaminated").count()
 
 
+def test_proximity_against_all_places(spark):
+    rng = random.Random(12)
+    vocabulary = [a + b for a in "abcd" for b in "xyz"]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((3, 4, 5, 8, 2))]
+    docs = [(i, " ".join(rng.choice([*vocabulary, "other", "words"]) for _ in range(60))) for i in range(12)] + [(20, None), (21, items[0][1]), (21, items[0][1])]
+    want = set()
+    for d, text in docs:
+        words = (text or "").split()
+        for item, phrase in items:
+            w, spans = phrase.split(), {}
+            for start in range(max(len(w) - 4, 0) + 1):
+                terms = set(w[start : start + 4])
+                for at, word in enumerate(words):
+                    inside = [k for k in range(at, min(at + 9, len(words))) if words[k] in terms]
+                    if word in terms and {words[k] for k in inside} == terms:
+                        spans.setdefault(start, []).append((at, inside[-1]))
+            if spans:
+                want.add((d, str(item), len(spans), min(a for s in spans.values() for a, _ in s), max(z for s in spans.values() for _, z in s)))
+    index = decontaminate.BenchmarkIndex(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), window=4)
+    got = [tuple(r) for r in index.proximity_report(slop=9).collect()]
+    assert set(got) == want and len(want) > 20 and len(got) == len(want) + len([w for w in want if w[0] == 21])
+
+
 def test_licences(spark):
     mit = dict(licenses.LICENSES)["MIT"]
     docs = [(1, "Copyright (c) 2020 Someone\n\n" + mit), (2, mit.replace('"', "“").upper().replace("\n\n", "\n")), (3, mit + " more"), (4, None), (5, ""), (6, "a\nReleased under the MIT  licence!\nLicensed under CC BY 4.0"), (7, "Copyright 2020 X\n"), (7, "Copyright 2020 X\n")]
