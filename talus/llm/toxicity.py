@@ -2,8 +2,8 @@
 
 A word is the average of the vectors of itself and its character n-grams, a window the average of its words, and a
 two-class softmax over the window gives its logit. As all of that is linear, a subword counts with one number once the
-model is trained: its vector times the difference of the two class vectors. A document is as toxic as its worst window:
-averaged over a whole text instead, a few words vanish in a long one (README has the figures of both).
+model is trained: its vector times the difference of the two class vectors. Averaged over a whole text, a few words vanish in a
+long one (README has the figures); so a document's score weighs the logit of its average and that of its worst window.
 """
 
 from __future__ import annotations
@@ -53,6 +53,7 @@ class SubwordBag:
     weight: np.ndarray
     scale: float
     shift: float
+    mean_scale: float = 0.0
     window: int = 4
     lengths: range = range(3, 6)
     memo: int = 300_000
@@ -84,29 +85,31 @@ class SubwordBag:
 
     def from_words(self, values: np.ndarray) -> float:
         """Probability from the logits of a text's words; a text without words has that of a neutral window."""
-        return float(1 / (1 + np.exp(-np.clip(self.scale * self.worst(values) + self.shift, -30, 30))))
+        worst, mean = self.features(values)
+        return float(1 / (1 + np.exp(-np.clip(self.scale * worst + self.mean_scale * mean + self.shift, -30, 30))))
 
-    def worst(self, values: np.ndarray) -> float:
+    def features(self, values: np.ndarray) -> tuple[float, float]:
+        """Logits of the worst window and of the average over the text."""
         n = len(values)
         if not n:
-            return 0.0
+            return 0.0, 0.0
         sums = np.concatenate([[0.0], np.cumsum(values)])
         width = min(self.window, n)
-        return float((sums[width:] - sums[:-width]).max() / width)
+        return float((sums[width:] - sums[:-width]).max() / width), float(sums[-1] / n)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
-    """Scale and shift of a weighted one-feature logistic regression, by Newton steps."""
-    a, b = 0.0, 0.0
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Scales of the features and shift of a weighted logistic regression, by Newton steps."""
+    z = np.column_stack([x, np.ones(len(x))])
+    keep = np.diag([ridge] * x.shape[1] + [1e-9])
+    theta = np.zeros(z.shape[1])
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g, h = w * (p - y), w * p * (1 - p) + 1e-9
-        ga, gb, haa, hab, hbb = (g * x).sum() + ridge * a, g.sum(), (h * x * x).sum() + ridge, (h * x).sum(), h.sum()
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        step = min(1.0, 4.0 / max(abs(da), abs(db), 1e-9))
-        a, b = a - step * da, b - step * db
-    return a, b
+        p = 1 / (1 + np.exp(-np.clip((z * theta).sum(axis=1), -30, 30)))
+        slope = (z * (w * (p - y))[:, None]).sum(axis=0) + keep.diagonal() * theta
+        curve = np.einsum("ni,n,nj->ij", z, w * p * (1 - p) + 1e-9, z) + keep
+        step = np.linalg.solve(curve, slope)
+        theta = theta - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
+    return theta
 
 
 def _words_of(texts: list[str], order: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -132,22 +135,13 @@ def _subword_table(words: list[str], bits: int, lengths: range, step: int = 20_0
     return np.concatenate(parts), np.cumsum(sizes) - sizes
 
 
-def _spread(buckets: np.ndarray, begin: np.ndarray, value: np.ndarray, size: int, step: int = 50_000) -> np.ndarray:
-    """Sum over each bucket of the values of the words that have it."""
-    out, end = np.zeros(size), np.append(begin[1:], len(buckets))
-    for s in range(0, len(begin), step):
-        part = slice(begin[s], end[min(s + step, len(begin)) - 1])
-        out += np.bincount(buckets[part], weights=np.repeat(value[s : s + step], (end - begin)[s : s + step]), minlength=size)
-    return out
-
-
 def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int], *, buckets: int = 1 << 17, dim: int = 8, rounds: int = 250, min_texts: int = 3, doubted: float = 0.05, seed: int = 7) -> SubwordBag:
     """Vectors and softmax trained together by Adam on whole texts.
 
     For the first third of the rounds each window has its document's label. Then a toxic document teaches by its worst
     window alone, while clean ones teach by all; of the toxic documents the share ``doubted`` whose worst windows are the
     least toxic teach nothing, as labels may be wrong. Subwords of fewer than ``min_texts`` texts stay neutral. A fifth of
-    the texts is kept to turn worst windows into probabilities at the classes' true shares. Without texts with words of both
+    the texts is kept to turn worst windows and averages into probabilities at the classes' true shares. Without texts with words of both
     classes the score is the share of label 1, or 0 without labels.
     """
     y = np.array(labels)
@@ -186,14 +180,17 @@ def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int
         own = np.unique(index[begin[i] : begin[i] + sizes[i]])
         if len(own):
             known[np.unique(np.concatenate([flat[word_at[w] : word_at[w] + spread[w]] for w in own]))] += 1
-    taught = (known >= min_texts)[:, None].astype(np.float32)
+    # other subwords stay neutral: they have no vector and add nothing to a sum over a word
+    taught = np.nonzero(known >= min_texts)[0]
+    number, learnt = np.cumsum(known >= min_texts) - 1, known[flat] >= min_texts
+    of_word, learnt_flat = np.repeat(np.arange(len(words), dtype=np.int32), spread)[learnt], number[flat[learnt]].astype(np.int32)
 
-    vectors, u, bias = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32) * taught, rng.normal(0, 1.0, dim), 0.0
+    vectors, u, bias = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)[taught], rng.normal(0, 1.0, dim), 0.0
     rates, floor = (0.05, 0.05, 0.05), 0.05
     moments = [np.zeros_like(vectors), np.zeros_like(vectors), np.zeros(dim), np.zeros(dim), 0.0, 0.0]
     for t in range(1, rounds + 1):
         q = (vectors * u.astype(np.float32)).sum(axis=1)
-        word = np.add.reduceat(q[flat], word_at) / spread
+        word = np.bincount(of_word, weights=q[learnt_flat], minlength=len(words)) / spread
         logit = np.add.reduceat(word[fit], at) / lens + bias
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         weight = np.ones(len(owner))
@@ -206,24 +203,27 @@ def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int
             weight[target == label] /= max(weight[target == label].sum(), 1e-9) * 2
         dz = weight * (p - target)
         dword = np.bincount(fit, weights=np.repeat(dz / lens, lens), minlength=len(words)) / spread
-        db = _spread(flat, word_at, dword, buckets).astype(np.float32)
-        grads = ((db[:, None] * u.astype(np.float32) + np.float32(1e-8) * vectors) * taught, (db[:, None] * vectors).sum(axis=0) + 1e-6 * u, dz.sum())
+        db = np.bincount(learnt_flat, weights=dword[of_word], minlength=len(taught)).astype(np.float32)
+        grads = (db[:, None] * u.astype(np.float32) + np.float32(1e-8) * vectors, (db[:, None] * vectors).sum(axis=0) + 1e-6 * u, dz.sum())
         new = []
         for k, (value, grad) in enumerate(zip((vectors, u, bias), grads, strict=True)):
             m = moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * grad
             v = moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * grad * grad
             # the floor under the divisor keeps subwords that are rare, and so have small gradients, near zero
             root = np.sqrt(v / (1 - 0.99**t))
-            new.append(value - rates[k] * (m / (1 - 0.9**t)) / (root + floor * np.max(root) + 1e-12))
+            new.append(value - rates[k] * (m / (1 - 0.9**t)) / (root + floor * np.max(root, initial=0) + 1e-12))
         vectors, u, bias = new
 
-    model.weight = (vectors * u).sum(axis=1).astype(np.float32)
+    model.weight[taught] = (vectors * u).sum(axis=1).astype(np.float32)
     q = np.add.reduceat(model.weight[flat], word_at) / spread
-    worst = np.array([model.worst(q[index[b : b + n]]) for b, n in zip(begin, sizes, strict=True)])
+    features = np.array([model.features(q[index[b : b + n]]) for b, n in zip(begin, sizes, strict=True)])
     on = np.arange(len(y)) >= n_fit if held.any() else np.ones(len(y), bool)
     of_class = {c: max((y[on] == c).sum(), 1) for c in (0, 1)}
     weights = np.array([(share if c else 1 - share) / of_class[c] for c in y[on]]) * on.sum()
-    model.scale, model.shift = _logistic(worst[on], y[on].astype(float), weights)
+    # averages vary less than worst windows; brought to the same spread, the ridge holds both alike
+    spans = np.maximum(features[on].std(axis=0), 1e-6)
+    scales = _logistic(features[on] / spans, y[on].astype(float), weights)
+    (model.scale, model.mean_scale), model.shift = (scales[:2] / spans).tolist(), float(scales[2])
     return model
 
 
