@@ -103,3 +103,22 @@ def with_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
         cond = one if cond is None else cond & one
     joined = left.join(renamed, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*aliases.values())
+
+
+def salted(rows: DataFrame, key: str, most: int, by: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``__salt``, and the keys that have more than ``most`` rows, with ``__copies``: so many salts deal their rows out.
+
+    Rows of such a key are told apart by ``by``; all others have the salt 0. There are fewer than rows / ``most`` of these keys.
+    Rows without a key meet no row of the other side and are dealt out too.
+    """
+    many = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
+    many = scratch.save(many.select(key, F.ceil(F.col("__n") / most).alias("__copies")), name)
+    found = rows.join(broadcast_if_small(many, 32), key, "left")
+    copies = F.when(F.col(key).isNull(), F.lit(1000).cast("long")).otherwise(F.col("__copies"))
+    return found.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), copies), F.lit(0).cast("long"))).drop("__copies"), many
+
+
+def copied(rows: DataFrame, key: str, many: DataFrame) -> DataFrame:
+    """``rows``, one a key, once for each salt of the key: the other side of a join with ``salted`` rows on key and ``__salt``."""
+    found = rows.join(broadcast_if_small(many, 32), key, "left")
+    return found.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__copies", F.lit(1).cast("long")) - 1))).drop("__copies")

@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import BROADCAST_LIMIT, Scratch, small_batches, with_null_safe
-from talus.llm.components import connected_components
+from talus.llm.common import BROADCAST_LIMIT, Scratch, copied, salted, small_batches, with_null_safe
+from talus.llm.components import HUB, connected_components
 
 #: Minima a signature may have, and the probability with which bands may miss a pair at the threshold.
 MINIMA, MISS = 360, 1e-6
@@ -30,6 +30,8 @@ MINIMA, MISS = 360, 1e-6
 PACKED, BITS = 256, 2
 #: A pair is confirmed on full sets if its estimate is within this many standard errors of the threshold.
 ERRORS = 5.0
+#: Pairs of a node that one task confirms; a node of more pairs is dealt out to several.
+SPREAD = 1000
 
 
 def band_shape(percent: int) -> tuple[int, int]:
@@ -146,13 +148,17 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> D
         return scratch.save(shingled.join(wanted, "set_hash").select("nid", "shingles").dropDuplicates(["nid"]), "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar. Where ``a`` repeats, its side is small beside the sets already joined."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) whose full sets are similar. A node of many pairs sends its set to several tasks that share them."""
     inter = F.size(F.array_intersect("s", "t")).cast("long")
+
+    def with_set(rows: DataFrame, key: str, name: str) -> DataFrame:
+        dealt, many = salted(rows, key, SPREAD, ["a", "b"], scratch, f"many-{key}")
+        return dealt.join(copied(sets.select(F.col("nid").alias(key), F.col("shingles").alias(name)), key, many), [key, "__salt"]).drop("__salt")
+
+    both = with_set(with_set(scratch.save(pairs, "to-confirm"), "b", "t"), "a", "s")
     return (
-        pairs.join(sets.select(F.col("nid").alias("b"), F.col("shingles").alias("t")), "b")
-        .join(sets.select(F.col("nid").alias("a"), F.col("shingles").alias("s")), "a")
-        .select("a", "b", inter.alias("inter"), (F.size("s") + F.size("t")).alias("both"))
+        both.select("a", "b", inter.alias("inter"), (F.size("s") + F.size("t")).alias("both"))
         .filter(100 * F.col("inter") >= percent * (F.col("both") - F.col("inter")))
         .select("a", "b")
     )
@@ -217,7 +223,7 @@ def near_duplicates(
     either has. ``component_id`` is the smallest id reachable over links; the row that has it stays.
 
     Defined cases: a null text counts as empty; texts without words are linked with nothing and stay. Texts with equal
-    shingle sets are one node, however many rows have them. Rows that share an id and a text share a verdict. A null id
+    shingle sets are one node, however many rows have them. Sets are held and compared as 64-bit hashes of their shingles. Rows that share an id and a text share a verdict. A null id
     yields to any other; a component of null ids only has a null component_id and keeps its rows. Further columns are
     ignored; an empty table gives an empty result.
     """
@@ -268,20 +274,22 @@ def near_duplicates(
     centers = shared.groupBy("key").agg(F.max_by("x", F.struct("weight", -F.col("nid"))).alias("c"))
     near = shared.join(centers, "key").filter((F.col("c.nid") != F.col("nid")) & _may_link("c", "x", percent))
     stars = near.groupBy(F.col("nid").alias("b")).agg(F.max_by("c.nid", F.struct(estimate("c", "x"), -F.col("c.nid"))).alias("a"))
-    links = scratch.save(_confirmed(stars, sets, percent), "links-1")
+    links = scratch.save(_confirmed(stars, sets, percent, scratch), "links-1")
     comps = connected_components(links, scratch, "cc-1")
     more = _across(shared, comps.withColumnRenamed("node", "nid"), sets, scratch, percent)
     if more is not None:
-        further = scratch.save(_confirmed(more, sets, percent), "links-2")
+        further = scratch.save(_confirmed(more, sets, percent, scratch), "links-2")
         if not further.isEmpty():
             comps = connected_components(links.unionByName(further), scratch, "cc-2")
 
     labelled = nodes.select("nid", "set_hash", "first_doc").join(comps.withColumnRenamed("node", "nid"), "nid", "left")
     labelled = scratch.save(labelled.withColumn("comp", F.coalesce("comp", "nid")), "final")
     first = labelled.groupBy("comp").agg(F.min("first_doc").alias("component_id"))
-    named = labelled.join(first, "comp").select("set_hash", "component_id")
-    scratch.drop("shared", "wanted", "sets", "links-1", "links-2", "pairs")
-    joined = signed.select("id", "n_shingles", "set_hash", *keys).join(named, "set_hash", "left")
+    dealt, large = salted(labelled, "comp", HUB, ["nid"], scratch, "large")
+    named = dealt.join(copied(first, "comp", large), ["comp", "__salt"]).select("set_hash", "component_id")
+    scratch.drop("shared", "wanted", "sets", "links-1", "links-2", "pairs", "to-confirm", "many-a", "many-b")
+    dealt, common = salted(signed.select("id", "n_shingles", "set_hash", *keys), "set_hash", HUB, ["id"], scratch, "common")  # copies of one set
+    joined = dealt.join(copied(named, "set_hash", common), ["set_hash", "__salt"], "left")
     component = F.when(F.col("set_hash").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return joined.select(
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *keys
