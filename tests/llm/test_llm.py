@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talus.llm import decontaminate, exact_dedup, licenses, line_dedup, minhash, packing, quality, toxicity, url_filter, warc
+from talus.llm import components, decontaminate, exact_dedup, licenses, line_dedup, minhash, packing, quality, toxicity, url_filter, warc
 from talus.llm import queries as q
+from talus.llm.common import Scratch
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -191,6 +192,30 @@ def test_contamination_of_very_long_texts_and_shared_passages(spark):
     assert {d: (r["n_items"], r["items_sha256"]) for d, r in got.items()} == {d: r[2:4] for d, r in wanted.items()}
 
 
+def test_near_duplicates_of_hot_groups(spark, monkeypatch):
+    """Groups whose nodes have more pairs, edges and rows than one task is to take."""
+    monkeypatch.setattr(minhash, "SPREAD", 7)
+    monkeypatch.setattr(minhash, "HUB", 9)
+    monkeypatch.setattr(components, "HUB", 11)
+    rng = random.Random(9)
+    base = sentence(rng, 80).split()
+    docs = [(i, " ".join([*base[:40], f"x{i}", *base[41:]])) for i in range(150)] + [(200 + i, " ".join(base)) for i in range(60)] + [(300 + i, None) for i in range(30)] + [(400 + i, sentence(rng, 30)) for i in range(20)]
+    rng.shuffle(docs)
+    got = by_id(minhash.near_duplicates(table(spark, docs), words=3, percent=85))
+    assert {d: tuple(r)[1:] for d, r in got.items()} == brute.near_duplicates(docs, 3, 85)
+
+
+def test_components_of_a_star_and_a_path(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 5)
+    links = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(59, 100), (500, 501), (501, 500), (7, 7)]
+    rng = random.Random(2)
+    name = dict(zip(range(600), rng.sample(range(600), 600), strict=True))
+    edges = [(name[a], name[b]) for a, b in links]
+    got = {r["node"]: r["comp"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "star")).collect()}
+    nodes = {n for e in edges for n in e}
+    assert got == {n: c for n, c in brute.components(edges, nodes).items()}
+
+
 def test_contamination_edges_and_proximity(spark):
     items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
     docs = table(spark, [(None, "red green blue"), (1, "red green blue"), (1, "red green blue"), (2, "blue x red y green"), (3, "red " + "x " * 50 + "green blue")])
