@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,23 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def release_memory() -> None:
+    """Hands freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def releasing(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over batches, after which memory is released: later stages run in the same Python workers."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        release_memory()
+
+    return run
+
+
 def free_prefix(df: DataFrame) -> str:
     """Underscores that no column's name begins with, for inner columns beside all of ``df``."""
     prefix = "__"

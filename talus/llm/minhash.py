@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import BROADCAST_LIMIT, Scratch, copied, salted, small_batches, with_null_safe
+from talus.llm.common import BROADCAST_LIMIT, Scratch, copied, releasing, salted, small_batches, with_null_safe
 from talus.llm.components import HUB, connected_components
 
 #: Minima a signature may have, and the probability with which bands may miss a pair at the threshold.
@@ -144,7 +144,7 @@ def _sets(rows: DataFrame, wanted: DataFrame, words: int, scratch: Scratch) -> D
             yield pd.DataFrame({"set_hash": [_digest(s) for s in found], "shingles": found})
 
     with small_batches(scratch.spark):
-        shingled = texts.mapInPandas(sets, "set_hash binary, shingles array<long>")
+        shingled = texts.mapInPandas(releasing(sets), "set_hash binary, shingles array<long>")
         return scratch.save(shingled.join(wanted, "set_hash").select("nid", "shingles").dropDuplicates(["nid"]), "sets")
 
 
@@ -250,7 +250,7 @@ def near_duplicates(
     schema = "".join(f"`{c}` string, " for c in keys) + "id string, n_shingles long, set_hash binary, bands array<long>, " + ", ".join(f"{p} long" for p in PLANES)
     with small_batches(spark):
         source = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), *[F.col(c).cast("string").alias(c) for c in keys])
-        signed = source.mapInPandas(sign, schema)
+        signed = source.mapInPandas(releasing(sign), schema)
         signed = scratch.save(signed.withColumn("id", F.col("id").cast(id_type)), "signed")
 
     # one node for each distinct set; rows with equal sets have equal signatures, so any of them will do

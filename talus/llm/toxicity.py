@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talus.llm.common import Scratch, small_batches
+from talus.llm.common import Scratch, release_memory, releasing, small_batches
 from talus.llm.labelled import id_bucket, labelled_sample
 
 WORD = re.compile(r"\w+")
@@ -255,6 +255,7 @@ def score_toxicity(
     )
     trained = train_subword_bag(texts, y, counts)
     del texts
+    release_memory()
     model = spark.sparkContext.broadcast(trained)  # one number a bucket
 
     keys = [key_col] if key_col else []
@@ -271,7 +272,7 @@ def score_toxicity(
         F.col(text_col).alias("text"),
     )
     with small_batches(spark):
-        found = Scratch(spark, "toxicity").save(rows.mapInPandas(scored, "".join(f"`{c}` string, " for c in keys) + "doc_id string, held_out boolean, score double"), "scores")
+        found = Scratch(spark, "toxicity").save(rows.mapInPandas(releasing(scored), "".join(f"`{c}` string, " for c in keys) + "doc_id string, held_out boolean, score double"), "scores")
     return found.select(
         F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *keys
     )
