@@ -69,14 +69,14 @@ def dtw(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def align(seq: np.ndarray, path: np.ndarray, length: int, source: int = 1) -> np.ndarray:
     """``seq`` on the target's timeline: mean of the frames mapped to each slot.
 
-    An empty slot repeats the slot before it; leading ones take the frame of their own index, or the last.
+    An empty slot repeats the slot before it; leading ones take the first frame.
     """
     seq, out, last = np.asarray(seq, float), [], None
     target, mapped = np.asarray(path)[:, 0], np.asarray(path)[:, source]
     ok = (target >= 0) & (target < length) & (mapped >= 0) & (mapped < len(seq))
     for t in range(length):
         hit = mapped[ok & (target == t)]
-        last = seq[hit].mean(axis=0) if len(hit) else seq[min(t, len(seq) - 1)] if last is None else last
+        last = seq[hit].mean(axis=0) if len(hit) else seq[0] if last is None else last
         out.append(last)
     return np.stack(out)
 

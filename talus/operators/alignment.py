@@ -42,10 +42,9 @@ def align_frames(source: DataFrame, paths: DataFrame, lengths: DataFrame, key: s
     """key, frame and values: ``source`` (rows of frames) on a target's timeline of ``lengths`` (key, length) frames.
 
     A path's steps say which frames of the source are ``mapped`` to target frame ``i``; a target frame has their mean, bin by bin.
-    One that has none repeats the one before it; leading ones take the source's frame of their own number, or its last. Steps that
-    point outside either sequence are left out. A sequence without source frames has no rows.
+    One that has none repeats the one before it; leading ones take the source's first frame. Steps that point outside either
+    sequence are left out. A sequence without source frames has no rows.
     """
-    sizes = source.groupBy(key).agg(F.count("*").alias("n_source"))
     steps = paths.select(key, F.col("i").alias("target"), F.col(mapped).alias("frame")).join(lengths, key).filter("target >= 0 AND target < length")
     hit = steps.join(source, [key, "frame"]).select(key, "target", F.posexplode("values").alias("bin", "value"))
     means = hit.groupBy(key, "target", "bin").agg(F.avg("value").alias("value"))
@@ -54,6 +53,5 @@ def align_frames(source: DataFrame, paths: DataFrame, lengths: DataFrame, key: s
     along = Window.partitionBy(key).orderBy("target").rowsBetween(Window.unboundedPreceding, 0)  # one sequence's frames
     filled = timeline.join(means, [key, "target"], "left").withColumn("values", F.last("values", ignorenulls=True).over(along))
     found = filled.filter("values IS NOT NULL")
-    nearest = filled.filter("values IS NULL").drop("values").join(sizes, key).withColumn("frame", F.least("target", F.col("n_source") - 1))
-    leading = nearest.join(source, [key, "frame"]).select(key, "target", "values")
+    leading = filled.filter("values IS NULL").drop("values").join(source.filter("frame = 0"), key).select(key, "target", "values")
     return found.unionByName(leading).withColumnRenamed("target", "frame")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talus.functions import metrics, readings, text
 from talus.functions.frames import interpolate_udf, log_mel_udf, mean_abs, residual, root_mean_square, zscore_udf
-from talus.operators import alignment, audit, batches, compare, components, dedupe, infer, leakage, manifest, sampling, sequences, splits, summary
+from talus.operators import alignment, audit, batches, compare, components, dedupe, features, infer, leakage, manifest, sampling, sequences, splits, summary
 from talus.operators.shared import Workspace, shared_folder
 from talus.plans.fixture import METHODS, PIECES_SQL, UTTERANCES_SQL, distance, pieces, table, utterances
 from talus.sources import audio, staged, tables
@@ -415,6 +415,14 @@ def reading_keys(spark, sf):
     return _read(spark, sf).select("utt_id", F.md5("reading").alias("reading"), F.size(F.split("reading", " ")).cast("long").alias("n"))
 
 
+@query(f""", t AS (SELECT utt_id, array_to_string(list_transform(regexp_extract_all(gt, '(?s){"|".join(sorted(_LEXICON, key=lambda w: (-len(w), w)))}|.'), lambda w: coalesce(map {{{", ".join(f"'{w}': '{r}'" for w, r in _LEXICON.items())}}}[w], w)), '') changed FROM u)
+SELECT utt_id, md5(changed) changed FROM t""", u=True)
+def phrase_conversion(spark, sf):
+    """Phrases of a dictionary in their other form, the longest at each place; all else stays."""
+    phrases = spark.createDataFrame(list(_LEXICON.items()), "word string, reading string")
+    return readings.with_phrases(utterances(spark, sf).select("utt_id", "gt"), "gt", phrases, "changed").select("utt_id", F.md5("changed").alias("changed"))
+
+
 @query(_READ + """, l AS (SELECT split, 'raw' layer, gt AS key FROM k UNION ALL SELECT split, 'reading', reading FROM k), m AS (SELECT layer, key, bool_or(split = 'train') a, bool_or(split = 'dev') b, bool_or(split = 'test') c FROM l GROUP BY ALL)
 SELECT layer, count_if(a AND b) train_dev_overlap, count_if(a AND c) train_test_overlap, count_if(b AND c) dev_test_overlap FROM m GROUP BY layer""", u=True)
 def reading_overlap(spark, sf):
@@ -673,19 +681,32 @@ def dtw_align(spark, sf):
     return alignment.warping_paths(pairs, key, "x", "y").withColumn("cost", metrics.rounded(F.col("cost")))
 
 
-@query(_PATHS + """, s AS (SELECT vec_id, i, j FROM path WHERE NOT (i % 4 = 0 AND vec_id % 2 = 0)), y AS (SELECT vec_id - 1 vec_id, x FROM f),
+@query(_PATHS + """, s AS (SELECT vec_id, i, j FROM path WHERE NOT ((i % 4 = 0 OR i < vec_id % 3) AND vec_id % 2 = 0)), y AS (SELECT vec_id - 1 vec_id, x FROM f),
 h AS (SELECT vec_id, i, k, avg(x[j + 1][k]) v FROM s JOIN y USING (vec_id), range(1, 9) b(k) GROUP BY ALL), t AS (SELECT vec_id, x, i, k FROM y JOIN (SELECT DISTINCT vec_id FROM path) USING (vec_id), range(10) a(i), range(1, 9) b(k)),
-l AS (SELECT vec_id, i, k, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY vec_id, k ORDER BY i ROWS UNBOUNDED PRECEDING), x[least(i, 7) + 1][k]) v FROM t LEFT JOIN h USING (vec_id, i, k))
+l AS (SELECT vec_id, i, k, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY vec_id, k ORDER BY i ROWS UNBOUNDED PRECEDING), x[1][k]) v FROM t LEFT JOIN h USING (vec_id, i, k))
 SELECT vec_id, i::INT frame, list(round_even(v, 5) + 0.0::DOUBLE ORDER BY k) AS values FROM l GROUP BY ALL""")
 def align_frames(spark, sf):
     """The next embedding's frames on a timeline of ten; some paths have holes, at their beginning too."""
     pairs, key = _neighbours(spark, sf)
     work = Workspace(spark)
-    paths = work.save(alignment.warping_paths(pairs, key, "x", "y"), "paths").filter(f"NOT (i % 4 = 0 AND {key} % 2 = 0)")
+    paths = work.save(alignment.warping_paths(pairs, key, "x", "y"), "paths").filter(f"NOT ((i % 4 = 0 OR i < {key} % 3) AND {key} % 2 = 0)")
     out = alignment.align_frames(alignment.frame_rows(pairs, key, "y"), paths, pairs.select(key, F.lit(10).alias("length")), key)
     return out.withColumn("values", F.transform("values", lambda v: metrics.rounded(v, 5) + 0.0))
 
 
+@query(_PATHS + """, y AS (SELECT vec_id - 1 vec_id, x FROM f), h AS (SELECT vec_id, i, k, avg(y.x[j + 1][k]) - any_value(f.x[i + 1][k]) d FROM path JOIN y USING (vec_id) JOIN f USING (vec_id), range(1, 9) b(k) GROUP BY ALL),
+s AS (SELECT vec_id, round_even(avg(abs(d)), 6) residual_l1, round_even(sqrt(avg(d * d)), 6) residual_l2 FROM h GROUP BY vec_id), p AS (SELECT vec_id, count(*)::INT path_len, round_even(any_value(cost), 6) cost FROM path GROUP BY vec_id)
+SELECT vec_id::VARCHAR vec_id, CASE WHEN vec_id % 3 = 0 THEN 'exists' ELSE 'generated' END status, CASE WHEN vec_id % 3 <> 0 THEN path_len END path_len, CASE WHEN vec_id % 3 <> 0 THEN cost END cost,
+ CASE WHEN vec_id % 3 <> 0 THEN residual_l1 END residual_l1, CASE WHEN vec_id % 3 <> 0 THEN residual_l2 END residual_l2 FROM s JOIN p USING (vec_id)""")
+def paired_features(spark, sf):
+    """Embeddings' frames and the next ones' as pairs; a run over a third of them, and one that does the rest."""
+    pairs, key = _neighbours(spark, sf)
+    path = _place(spark, "features")
+    for part in (pairs.filter(f"{key} % 3 = 0"), pairs):
+        out = features.build_features(part, key, "x", "y", path, features=None)
+    return out.select(key, "status", "path_len", "cost", "residual_l1", "residual_l2")
+
+
 _RAGGED = f"r AS (SELECT vec_id, list_slice({_FRAMES}, 1, 1 + (vec_id * 7) % 8) x, 1 + (vec_id * 7) % 8 n FROM embeddings), o AS (SELECT *, row_number() OVER (ORDER BY n, vec_id) - 1 spot FROM r), p AS (SELECT *, spot // 50 batch, max(n) OVER (PARTITION BY spot // 50) longest FROM o)"
 
 
