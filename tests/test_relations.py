@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.functions import frames, metrics, readings, text
-from talus.operators import alignment, audit, batches, components, digests, manifest, summary
+from talus.operators import alignment, audit, batches, components, digests, features, manifest, summary
 from talus.sources import staged, tables
 from talus.streaming import windows
 
@@ -109,14 +109,14 @@ def test_paths_and_alignment_equal_the_arrays(spark):
     df = spark.createDataFrame([*data, (98, None, [[1.0, 2.0, 3.0]]), (99, [], [[1.0, 2.0, 3.0]])], "id long, x array<array<double>>, y array<array<double>>")
     paths = alignment.warping_paths(df, "id", "x", "y").cache()
     lengths = df.filter("id < 90").select("id", (F.col("id") % 7 + 1).alias("length"))
-    holes = paths.filter("(i + id) % 3 <> 0")
+    holes = paths.filter("(i + id) % 3 <> 0 AND i >= id % 4")
     got = {(r["id"], r["frame"]): r["values"] for r in alignment.align_frames(alignment.frame_rows(df.filter("id < 90"), "id", "y"), holes, lengths, "id").collect()}
     seen = 0
     for i, x, y in data:
         path, cost = frames.dtw(frames.zscore(x), frames.zscore(y))
         mine = sorted((r["step"], r["i"], r["j"], r["cost"]) for r in paths.filter(f"id = {i}").collect())
         assert [(a, b) for _, a, b, _ in mine] == [tuple(p) for p in path.tolist()] and mine[0][3] == pytest.approx(cost)
-        kept = np.array([p for p in path.tolist() if (p[0] + i) % 3 != 0]).reshape(-1, 2)
+        kept = np.array([p for p in path.tolist() if (p[0] + i) % 3 != 0 and p[0] >= i % 4]).reshape(-1, 2)
         want = frames.align(y, kept, i % 7 + 1)
         for t in range(i % 7 + 1):
             assert got[i, t] == pytest.approx(want[t].tolist())
@@ -148,6 +148,34 @@ def test_batches_and_losses_equal_the_arrays(spark):
         assert (losses[b]["n_frames"], losses[b]["n_steps"]) == (mask.sum(), real.sum())
 
 
+def test_feature_flow_resumes_and_records_errors(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    wave = lambda n: rng.normal(size=n).tolist()
+    data = [("a", wave(1600), wave(2000)), ("b", wave(900), wave(640)), ("bad", wave(700), None), ("c", wave(3000), wave(900))]
+    df = spark.createDataFrame(data, "k string, x array<double>, y array<double>")
+    path = str(tmp_path / "payloads")
+    first = {r["k"]: r for r in features.build_features(df.filter("k IN ('a', 'bad')"), "k", "x", "y", path).collect()}
+    assert first["a"]["status"] == "generated" and first["bad"]["status"] == "error" and "Error" in first["bad"]["error"]
+    again = {r["k"]: r["status"] for r in features.build_features(df, "k", "x", "y", path).collect()}
+    assert again == {"a": "exists", "b": "generated", "bad": "error", "c": "generated"}
+    payloads = {r["k"]: r for r in spark.read.parquet(path).filter("error = ''").collect()}
+    for k, x, y in data:
+        if y is None:
+            continue
+        norm, other = frames.log_mel(np.array(x)).astype(float), frames.log_mel(np.array(y)).astype(float)
+        steps, cost = frames.dtw(frames.zscore(norm), frames.zscore(other))
+        aligned = frames.align(other, steps, len(norm))
+        got = payloads[k]
+        assert np.allclose(got["aligned"], aligned) and np.allclose(got["residual"], aligned - norm) and got["cost"] == pytest.approx(cost)
+        assert [(p["i"], p["j"]) for p in got["path"]] == [tuple(p) for p in steps.tolist()] and (got["n_norm"], got["n_other"]) == (len(norm), len(other))
+    assert first["a"]["residual_l1"] == pytest.approx(np.abs(payloads["a"]["residual"]).mean(), abs=1e-6)
+    assert first["a"]["residual_l2"] == pytest.approx(np.sqrt(np.square(payloads["a"]["residual"]).mean()), abs=1e-6)
+    embedded = spark.createDataFrame([("e", [[1.0], [2.0], [4.0]], [[1.0], [4.0]], [[0.0, 1.0], [2.0, 3.0]], [[5.0, 5.0]])], f"k string, x {FRAMES}, y {FRAMES}, u {FRAMES}, v {FRAMES}")
+    row = features.feature_payloads(embedded, "k", "x", "y", features=None, embeddings=("u", "v")).first()
+    assert len(row["norm_embedding"]) == 3 and row["embedding_aligned"] == [[5.0, 5.0]] * 3
+
+
+FRAMES = "array<array<double>>"
 LEXICON = [("銀行", "ngan4hong4"), ("銀", "ngan4"), ("行", "hang4"), ("你", "nei5"), ("銀行家", "ngan4hong4gaa1"), ("家好人", "x"), ("行", "zzz"), ("", "none"), ("空", None)]
 
 
@@ -164,6 +192,13 @@ def test_readings_by_trie_and_by_join(spark):
     assert rows(readings.with_readings(df, "t", lexicon.limit(0)).filter("id = 3 OR id = 5").select("reading")) == [("",), ("UNK:空 UNK:x UNK:銀",)]
 
 
+def test_phrases_are_converted_by_the_longest_match(spark):
+    phrases = spark.createDataFrame([("头发", "頭髮"), ("发", "發"), ("头", "頭"), ("发现", "發現")], "word string, reading string")
+    df = spark.createDataFrame([(1, "头发发现a头 发"), (2, ""), (3, None)], "id int, t string")
+    for limit in (readings.LEXICON_BYTES, 0):
+        assert rows(readings.with_phrases(df, "t", phrases, "out", limit).select("id", "out")) == [(1, "頭髮發現a頭 發"), (2, ""), (3, None)]
+
+
 def test_expectations_as_a_table_and_as_checks(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (2, None, 2.05), (3, "b", float("nan")), (4, "a", None)], "id int, s string, v double")
     rules = spark.createDataFrame([("s", "a", None, "error"), ("v", "2", 0.1, "warning"), ("gone", "1", None, "error"), ("id", "x", 1.0, "error")], "column string, value string, tolerance double, severity string")
