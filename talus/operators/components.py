@@ -7,26 +7,36 @@ from pyspark.sql import functions as F
 
 from talus.operators.digests import ordered_digests, ordered_texts
 from talus.operators.leakage import long_layers
-from talus.operators.shared import Workspace
+from talus.operators.shared import Workspace, copied, salted
+
+#: Edges of a node, or nodes of a component, that meet its label in one task.
+HUB = 100_000
 
 
 def label_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``comp`` of an undirected graph with edges (a, b); a component is named by its smallest node.
 
     Smallest labels spread along edges, and each round also follows the labels of labels. A round is a written table, so
-    plans stay short and a lost executor costs one round; the tables of earlier rounds are deleted.
+    plans stay short and a lost executor costs one round; the tables of earlier rounds are deleted. The label of a hub, or of a
+    large component, is sent to as many tasks as share its edges or nodes.
     """
     work, step, pairs = Workspace(edges.sparkSession), 0, edges.select("a", "b")
-    both = work.save(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = work.save(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
+    dealt, hubs = salted(both, "b", HUB, "a", work, "hubs")
+    both = work.save(dealt, "edges")
+    work.drop("pairs")
     labels = work.save(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"), "labels-0")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
+        told = both.join(copied(labels.withColumnRenamed("node", "b"), "b", hubs), ["b", "__salt"])
+        heard = told.groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
         near = work.save(labels.join(heard, "node", "left").select("node", F.least("comp", "heard").alias("comp"), F.col("comp").alias("was")), "near")
         up = near.select(F.col("node").alias("comp"), F.col("comp").alias("higher"))
-        new = work.save(near.join(up, "comp", "left").select("node", F.least("comp", "higher").alias("comp"), "was"), f"labels-{step + 1}")
-        work.drop("near", f"labels-{step}")
+        dealt, large = salted(near, "comp", HUB, "node", work, "large")
+        found = dealt.join(copied(up, "comp", large), ["comp", "__salt"], "left")
+        new = work.save(found.select("node", F.least("comp", "higher").alias("comp"), "was"), f"labels-{step + 1}")
+        work.drop("near", "large", f"labels-{step}")
         if new.filter("comp <> was").isEmpty():
-            work.drop("edges")
+            work.drop("edges", "hubs")
             return new.select("node", "comp")
         labels, step = new.select("node", "comp"), step + 1
 

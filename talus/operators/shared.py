@@ -37,10 +37,34 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df if splits >= cores else df.repartition(cores, *keys)
 
 
+#: Bytes of a table that is broadcast once it has been counted.
+BROADCAST_BYTES = 16 << 20
+
+
+def counted_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint where its rows are few enough; otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def salted(rows: DataFrame, key: str, most: int, by: str, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``__salt``, and the keys of more than ``most`` rows, with ``__copies``, by how many salts their rows are dealt out."""
+    many = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
+    many = work.save(many.select(key, F.ceil(F.col("__n") / most).alias("__copies")), name)
+    found = rows.join(counted_broadcast(many, 32), key, "left")
+    return found.withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(by), "__copies"), F.lit(0).cast("long"))).drop("__copies"), many
+
+
+def copied(rows: DataFrame, key: str, many: DataFrame) -> DataFrame:
+    """``rows``, one a key, once for each salt of its key, to meet ``salted`` rows on key and ``__salt``."""
+    found = rows.join(counted_broadcast(many, 32), key, "left")
+    return found.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__copies", F.lit(1).cast("long")) - 1))).drop("__copies")
+
+
 def ranked(df: DataFrame, *order: str | Column, name: str = "row_no") -> DataFrame:
     """``df`` with its places in an order, from 1. Ranges of the order are sorted apart and numbered by their offsets.
 
-    The order should be total; equal rows are numbered in any order. Only one number for each range meets in one task.
+    The order should be total; equal rows are numbered in any order. Only one number for each range meets in one task. The
+    ranges are a written copy of ``df``, which the result reads; it stays until the shared folder is cleaned.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = Workspace(df.sparkSession).save(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranged")

@@ -758,15 +758,17 @@ _BROKEN = """CASE vec_id % 7 WHEN 1 THEN NULL WHEN 2 THEN list_transform(x, lamb
 SELECT * FROM (SELECT 'error' severity, 'missing_array' code, vec_id::VARCHAR AS key, 'norm' message FROM b WHERE y IS NULL
 UNION ALL SELECT 'error', 'bad_width', vec_id::VARCHAR, 'norm' FROM b WHERE vec_id % 7 = 2 UNION ALL SELECT 'error', 'not_finite', vec_id::VARCHAR, 'norm' FROM b WHERE vec_id % 7 = 4
 UNION ALL SELECT 'error', 'unequal_length', vec_id::VARCHAR, 'norm' FROM b WHERE vec_id % 7 = 3
+UNION ALL SELECT 'error', 'residual_mismatch', vec_id::VARCHAR, 'residual' FROM b WHERE vec_id % 7 = 4 OR vec_id % 13 = 6 AND vec_id % 7 <> 1
 UNION ALL SELECT 'error', 'path_shape', vec_id::VARCHAR, 'x/' || vec_id::VARCHAR || '.pt' FROM b WHERE vec_id % 11 = 5)""")
 def vector_audit(spark, sf):
-    """Frames of embeddings, some of them broken in one way each, and some with a path in the wrong place."""
+    """Frames of embeddings, some of them broken in one way each, some with a path in the wrong place, some with a residual of another pair."""
     df, key, vec = _vectors(spark, sf)
     x, case = _frames(vec), F.col(key) % 7
     broken = F.when(case == 1, F.lit(None)).when(case == 2, F.transform(x, lambda f: F.slice(f, 1, 7))).when(case == 3, F.slice(x, 1, 7)).when(case == 4, F.transform(x, lambda f: F.transform(f, lambda v: F.lit(float("nan")).cast("float")))).otherwise(x)
     name = F.concat(F.col(key).cast("string"), F.lit(".pt"))
-    rows = df.select(key, x.alias("aligned"), broken.alias("norm"), F.lit("train").alias("split"), F.when(F.col(key) % 11 == 5, F.concat(F.lit("x/"), name)).otherwise(F.concat(F.lit("root/train/"), name)).alias("path"))
-    checks = audit.frame_checks({"aligned": 8, "norm": 8}, ["aligned", "norm"]) + audit.path_checks("path", "split", key, "root")
+    rest = F.transform(x, lambda f: F.transform(f, lambda v: F.when(F.col(key) % 13 == 6, 0.5).otherwise(0.0)))  # what is left of equal frames is 0
+    rows = df.select(key, x.alias("aligned"), broken.alias("norm"), rest.alias("residual"), F.lit("train").alias("split"), F.when(F.col(key) % 11 == 5, F.concat(F.lit("x/"), name)).otherwise(F.concat(F.lit("root/train/"), name)).alias("path"))
+    checks = audit.frame_checks({"aligned": 8, "norm": 8, "residual": 8}, ["aligned", "norm"]) + audit.path_checks("path", "split", key, "root")
     return audit.issues(rows, checks, key)
 
 
