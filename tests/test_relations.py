@@ -248,3 +248,14 @@ def test_a_stream_restarts_from_its_checkpoint_and_counts_late_rows(spark, tmp_p
     assert sorted(got.values()) == [1, 1, 2, 2] and late == 1  # 20 came after its window had closed; 41000 joined 40000
     lines = [x for x in heard if x["event"] == "progress"]
     assert {"batch", "rows", "late", "seconds"} <= set(lines[0])
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 5)
+    links = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(25)] + [(39, 100), (500, 501), (501, 500), (7, 7)]
+    rng = random.Random(2)
+    name = dict(zip(range(600), rng.sample(range(600), 600), strict=True))
+    edges = [(name[a], name[b]) for a, b in links]
+    got = dict(rows(components.label_components(spark.createDataFrame(edges, "a long, b long"))))
+    one = min(name[i] for i in [*range(40), *range(100, 126)])
+    assert got == {**{name[i]: one for i in [*range(40), *range(100, 126)]}, name[500]: min(name[500], name[501]), name[501]: min(name[500], name[501])}
