@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talus.functions.frames import loudness, resample
+from talus.operators.shared import counted_broadcast
 
 HEADER = T.StructType([T.StructField(n, t) for n, t in (("frames", T.LongType()), ("sample_rate", T.IntegerType()), ("channels", T.IntegerType()), ("duration_sec", T.DoubleType()), ("error", T.StringType()))])
 
@@ -127,11 +128,14 @@ def checkpoint_folders(spark: SparkSession, root: str) -> DataFrame:
 
 
 def retention(paths: DataFrame, best: DataFrame, column: str = "path") -> DataFrame:
-    """``path``, ``step`` and ``keep`` of folders named checkpoint-N: the best step stays. A report; nothing is deleted."""
+    """``path``, ``step`` and ``keep`` of folders named checkpoint-N: the best step stays. A report; nothing is deleted.
+
+    ``best`` has a row a run.
+    """
     step = F.regexp_extract(column, r"checkpoint-(\d+)$", 1).try_cast("long")
     rows = paths.withColumn("step", step).filter("step is not null")
     kept = best.select(F.col("best_step").cast("long").alias("step"), F.lit(True).alias("keep"))
-    return rows.join(F.broadcast(kept.distinct()), "step", "left").select(column, "step", F.coalesce("keep", F.lit(False)).alias("keep"))
+    return rows.join(counted_broadcast(kept.distinct(), 16), "step", "left").select(column, "step", F.coalesce("keep", F.lit(False)).alias("keep"))
 
 
 def latest_checkpoint(paths: DataFrame, column: str = "path") -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.functions import frames, metrics, readings, text
-from talus.operators import alignment, audit, batches, components, digests, features, manifest, summary
+from talus.operators import alignment, audit, batches, compare, components, digests, features, manifest, summary
 from talus.sources import staged, tables
 from talus.streaming import windows
 
@@ -259,3 +259,12 @@ def test_components_of_hubs(spark, monkeypatch):
     got = dict(rows(components.label_components(spark.createDataFrame(edges, "a long, b long"))))
     one = min(name[i] for i in [*range(40), *range(100, 126)])
     assert got == {**{name[i]: one for i in [*range(40), *range(100, 126)]}, name[500]: min(name[500], name[501]), name[501]: min(name[500], name[501])}
+
+
+def test_a_missing_prediction_is_an_error_for_a_count_too(spark):
+    base = spark.createDataFrame([(1, 0.5, 0.4), (2, 0.5, 0.4)], "utt_id int, zero_shot_cer double, baseline_cer double")
+    new = spark.createDataFrame([(1, 0.9, True, 1)], "utt_id int, cer double, critical boolean, position int")
+    for read in (lambda df: df.count(), lambda df: df.select("utt_id").collect(), lambda df: df.collect()):
+        with pytest.raises(Exception, match="rows without a new prediction: 2"):
+            read(compare.three_way(base, new))
+    assert compare.three_way(base.filter("utt_id = 1"), new).count() == 1
