@@ -179,8 +179,8 @@ def score_quality(
     held out; then all bytes of every text are scored. Ids, languages and sources are no inputs of a score.
 
     Defined cases: a null text counts as empty and has the score of blank bytes. A null id is not held out. Repeated rows
-    are scored alike. Without labels the score is 0, without a second class the share of label 1. Further columns are
-    ignored.
+    are scored alike. Without labels the score is 0, without a second class the share of label 1. Very long texts are scored
+    whole, chunk by chunk. Further columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts, y, counts = labelled_sample(

@@ -247,7 +247,8 @@ def score_toxicity(
     held out; then every whole text is scored. Ids, languages and sources are no inputs of a score.
 
     Defined cases: a null or wordless text has the score of a neutral window. A null id is not held out. Repeated rows are
-    scored alike. Without labels the score is 0, without a second class the share of label 1. Further columns are ignored.
+    scored alike. Without labels the score is 0, without a second class the share of label 1. Very long texts are scored
+    whole; in the sample, one that passes the bound is left out. Further columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts, y, counts = labelled_sample(

@@ -97,7 +97,7 @@ def filter_urls(
     suffix instead, with the same result. Where no rule fits, rule is null and the verdict is ``default``.
 
     Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule. Repeated rows and
-    null ids pass through. Further columns are ignored.
+    null ids pass through. Very long urls are judged whole. Further columns are ignored. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     parts = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))

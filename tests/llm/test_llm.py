@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -377,6 +378,28 @@ def test_word_logits_against_loops():
     assert len(one & two) >= 9  # n-grams inside are shared, whatever their place
 
 
+def test_toxicity_scores_against_loops():
+    """A text's score from the logits of its words, window by window and over all of it."""
+    rng = np.random.default_rng(8)
+    model = toxicity.SubwordBag(rng.normal(0, 1, 1 << 10).astype(np.float32), 1.3, -0.4, 0.7)
+    words = ["some", "words", "grün", "a", "misspelled", "日本語", "x1"]
+    texts = ["", "...", "some", "Some words", " ".join(words), ", ".join(words * 30).upper(), "a " * 5000]
+    for text, got in zip(texts, model.scorer()(texts), strict=True):
+        split = re.findall(r"\w+", text.lower())
+        logits = [float(model.word_logits([w])[0]) for w in split]
+        windows = [np.mean(logits[i : i + 4]) for i in range(max(len(logits) - 3, 1))] if logits else [0.0]
+        z = 1.3 * max(windows) + 0.7 * (np.mean(logits) if logits else 0.0) - 0.4
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_urls_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "http://a.com/fr/x"), (1, "http://a.com/fr/x"), (None, "http://a.com/de/"), (None, None), (2, "http://b.org/" + "x" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    for limit in (16 << 20, 0):
+        got = sorted(((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, q.URL_RULES, broadcast_limit=limit).collect()), key=repr)
+        assert got == sorted([(1, "com/fr/", "allow"), (1, "com/fr/", "allow"), (None, "com/de/", "block"), (None, None, "allow"), (2, "org/", "allow")], key=repr)
+
+
 def test_line_dedup_beside_columns_of_inner_names(spark):
     run = "\n".join(f"line {i} of a run that repeats" for i in range(9))
     names = ["__id", "__seen", "__key", "__raw", "__at", "__gone", "text_key", "spans", "___key", "__n_lines"]
