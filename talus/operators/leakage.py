@@ -11,6 +11,10 @@ from talus.functions.metrics import rounded
 from talus.operators.summary import mean
 
 
+#: Beginnings of passages that are looked up in a plan's own set.
+LEADS = 4000
+
+
 def long_layers(df: DataFrame, layers: dict[str, str], *keep: str) -> DataFrame:
     """One row per row and layer: the kept columns, ``layer`` and ``key``."""
     keys = F.array(*[F.struct(F.lit(name).alias("layer"), F.col(c).cast("string").alias("key")) for name, c in layers.items()])
@@ -69,19 +73,25 @@ def passage_containment(docs: DataFrame, passages: DataFrame, doc_key: str = "do
     """Documents that contain a passage word for word, as (document, passage).
 
     A passage is looked up by a digest of its first ``head`` words, or of all where it has fewer; places of a document
-    travel as digest and position alone, and only texts that have candidates are read again and compared. Passages without
-    words are in no document.
+    travel as digest and position alone, and only texts that have candidates are read again and compared. Where passages have
+    at most ``LEADS`` different beginnings of up to three words, places that begin otherwise are left out before any
+    digest. Passages without words are in no document.
     """
     words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w: w != "")
     digest = lambda ws, at, n: F.xxhash64(F.array_join(F.slice(ws, at, n), " "))
     heads = passages.select(passage_key, words.alias("pw")).filter("size(pw) > 0").withColumn("k", F.least(F.size("pw"), F.lit(head)))
     heads = heads.select(passage_key, F.array_join("pw", " ").alias("passage"), F.size("pw").alias("n"), "k", digest("pw", F.lit(1), F.col("k")).alias("h"))
     lengths = [r["k"] for r in heads.select("k").distinct().orderBy("k").collect()] or [head]  # ``head`` numbers at most
+    first = F.least("k", F.lit(3))
+    leads = heads.select(first.alias("lead"), F.array_join(F.slice(F.split("passage", " "), 1, first), " ").alias("words")).distinct().limit(LEADS + 1).collect()
+    begins = {lead: [r["words"] for r in leads if r["lead"] == lead] for lead in (1, 2, 3)} if len(leads) <= LEADS else {}
     cut = docs.select(doc_key, words.alias("dw"))
     none = F.array().cast("array<struct<k:int,at:int,h:bigint>>")
 
     def places(k: int) -> Column:
         start = F.sequence(F.lit(1), F.greatest(F.size("dw") - k + 1, F.lit(1)))
+        if begins:
+            start = F.filter(start, lambda i: F.array_join(F.slice("dw", i, F.lit(min(k, 3))), " ").isin(begins[min(k, 3)]))
         found = F.transform(start, lambda i: F.struct(F.lit(k).alias("k"), (i - 1).alias("at"), digest("dw", i, F.lit(k)).alias("h")))
         return F.when(F.size("dw") >= k, found).otherwise(none)
 
