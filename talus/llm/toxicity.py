@@ -135,6 +135,14 @@ def _subword_table(words: list[str], bits: int, lengths: range, step: int = 20_0
     return np.concatenate(parts), np.cumsum(sizes) - sizes
 
 
+def _sums(into: np.ndarray, of: np.ndarray, value: np.ndarray, size: int, step: int = 1 << 18) -> np.ndarray:
+    """For each number in ``into`` the sum of the values that ``of`` names beside it; in steps, to keep what is held small."""
+    out = np.zeros(size)
+    for s in range(0, len(into), step):
+        out += np.bincount(into[s : s + step], weights=value[of[s : s + step]], minlength=size)
+    return out
+
+
 def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int], *, buckets: int = 1 << 17, dim: int = 8, rounds: int = 250, min_texts: int = 3, doubted: float = 0.05, seed: int = 7) -> SubwordBag:
     """Vectors and softmax trained together by Adam on whole texts.
 
@@ -190,7 +198,7 @@ def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int
     moments = [np.zeros_like(vectors), np.zeros_like(vectors), np.zeros(dim), np.zeros(dim), 0.0, 0.0]
     for t in range(1, rounds + 1):
         q = (vectors * u.astype(np.float32)).sum(axis=1)
-        word = np.bincount(of_word, weights=q[learnt_flat], minlength=len(words)) / spread
+        word = _sums(of_word, learnt_flat, q, len(words)) / spread
         logit = np.add.reduceat(word[fit], at) / lens + bias
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         weight = np.ones(len(owner))
@@ -203,7 +211,7 @@ def train_subword_bag(texts: list[str], labels: list[int], counts: dict[int, int
             weight[target == label] /= max(weight[target == label].sum(), 1e-9) * 2
         dz = weight * (p - target)
         dword = np.bincount(fit, weights=np.repeat(dz / lens, lens), minlength=len(words)) / spread
-        db = np.bincount(learnt_flat, weights=dword[of_word], minlength=len(taught)).astype(np.float32)
+        db = _sums(learnt_flat, of_word, dword, len(taught)).astype(np.float32)
         grads = (db[:, None] * u.astype(np.float32) + np.float32(1e-8) * vectors, (db[:, None] * vectors).sum(axis=0) + 1e-6 * u, dz.sum())
         new = []
         for k, (value, grad) in enumerate(zip((vectors, u, bias), grads, strict=True)):
