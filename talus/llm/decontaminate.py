@@ -3,7 +3,7 @@
 The index holds the postings (term, document, position) of all words of the training texts that the benchmark has too; a
 text is tokenised once, for the index. A window's phrase can only occur where the postings of its two rarest terms, each
 moved back by its place in the item, meet. At such a shift the lists of all the item's terms, moved back alike, are intersected,
-and every run of places that are all there, as long as a window, is an occurrence. Proximity matches take the same lists.
+and every run of places that are all there, as long as a window, is an occurrence. Proximity matches take the same lists, within bins of places.
 """
 
 from __future__ import annotations
@@ -66,8 +66,8 @@ class BenchmarkIndex:
             .agg(F.array_sort(F.collect_list(F.struct("frequency", "at", "t"))).alias("ranked"))
         )
         # a window with a term that never occurs cannot be met
-        live = ranked.filter(F.col("ranked")[0]["frequency"] > 0)
-        self.chosen = scratch.save(live.select("item", "start", F.slice("ranked", 1, 2).alias("chosen")), "chosen")
+        self.live = ranked.filter(F.col("ranked")[0]["frequency"] > 0)
+        self.chosen = scratch.save(self.live.select("item", "start", F.slice("ranked", 1, 2).alias("chosen")), "chosen")
 
     def _small(self, df: DataFrame, row_bytes: int) -> DataFrame:
         return broadcast_if_small(df, row_bytes, self.limit)
@@ -106,14 +106,38 @@ class BenchmarkIndex:
     def proximity_matches(self, slop: int = 20) -> DataFrame:
         """item, start, doc_key, first, last: windows all of whose words occur within ``slop`` words of a text, in any order.
 
-        The lists of a window's rarest terms propose texts; there the lists of all its terms are looked at.
+        The lists of a window's two rarest terms propose places: those of the rarest that have the other near. Around each place
+        the lists of all terms are read once, and the windows of that pair are looked for there. Windows that share a pair
+        share its places; a place has fewer than twice ``slop`` words around it, so nothing grows with the frequent terms.
         """
-        rarest = self.chosen.select("item", "start", F.explode("chosen.t").alias("t")).distinct()
-        proposed = self._near(self.postings, rarest, slop).select("item", "start", "doc_key").distinct()
-        proposed = self.scratch.save(proposed, "proposed")
-        live = self.windows.select("item", "start", "t").join(self._small(self.chosen.select("item", "start"), 16), ["item", "start"], "left_semi").distinct()
-        found = self._near(self._lists(proposed.select("doc_key")), live, slop)
-        return found.join(proposed, ["item", "start", "doc_key"], "left_semi")
+        terms = self.live.select("item", "start", F.array_distinct("ranked.t").alias("terms"))
+        sets = self.scratch.save(terms.withColumns({"ta": F.col("terms")[0], "tb": F.col("terms")[F.least(F.lit(1), F.size("terms") - 1)]}), "sets")
+        pairs = self.scratch.save(sets.select("ta", "tb").distinct(), "pairs")
+        spots = self.postings.withColumn("bin", F.floor(F.col("pos") / slop))
+        near = F.abs(F.col("pos") - F.col("at")) < slop
+
+        rarest = self.postings.withColumnsRenamed({"t": "ta", "pos": "at"}).join(self._small(pairs, 16), "ta").select("ta", "tb", "doc_key", "at").distinct()
+        rarest = self._binned(self.scratch.save(rarest, "rarest"), slop)
+        met = spots.withColumnRenamed("t", "tb").join(self._small(pairs, 16), "tb").join(self._small(rarest, 40), ["ta", "tb", "doc_key", "bin"])
+        met = self.scratch.save(met.filter(near).select("ta", "tb", "doc_key", "at").distinct(), "near")
+
+        places = met.select("doc_key", "at").distinct()
+        known = spots.join(self._small(places.select("doc_key").distinct(), 16), "doc_key", "left_semi")
+        around = known.join(self._small(self._binned(places, slop), 24), ["doc_key", "bin"]).filter(near)
+        around = around.groupBy("doc_key", "at").agg(F.array_sort(F.collect_set(F.struct("pos", "t"))).alias("around"))
+
+        # a window's spans that hold the place: all their words are around it
+        wanted = met.join(self._small(sets, 32), ["ta", "tb"]).join(around, ["doc_key", "at"])
+        wanted = wanted.withColumn("spots", F.filter("around", lambda s: F.array_contains("terms", s["t"])))
+        inside = lambda s: F.filter("spots", lambda t: (t["pos"] >= s["pos"]) & (t["pos"] < s["pos"] + slop))
+        holding = F.filter("spots", lambda s: (s["pos"] <= F.col("at")) & (s["pos"] > F.col("at") - slop))
+        full = F.filter(F.transform(holding, lambda s: F.struct(s["pos"].alias("first"), inside(s).alias("inside"))), lambda s: F.size(F.array_distinct(s["inside"]["t"])) == F.size("terms"))
+        return (
+            wanted.filter(F.size(F.array_distinct("spots.t")) == F.size("terms"))
+            .select("item", "start", "doc_key", F.explode(full).alias("s"))
+            .select("item", "start", "doc_key", F.col("s.first").alias("first"), F.array_max("s.inside.pos").alias("last"))
+            .distinct()
+        )
 
     def proximity_report(self, slop: int = 20) -> DataFrame:
         """doc_id, item_id, n_near (windows of the item whose words stand close together in the document) and first and last, the places that they span."""
@@ -121,32 +145,10 @@ class BenchmarkIndex:
         named = near.join(self._small(self.items.select("item", "item_id"), 16), "item")
         return self.documents.join(named, "doc_key").select("doc_id", "item_id", "n_near", "first", "last")
 
-    def _near(self, spots: DataFrame, wanted: DataFrame, slop: int) -> DataFrame:
-        """Spans of at most ``slop`` words that hold all wanted terms of a window.
-
-        Spots fall into bins of ``slop`` words, and each also into the bin before, so no span is cut and a bin stays small.
-        """
-        sizes = wanted.groupBy("item", "start").agg(F.count("*").alias("n_terms"))
-        binned = spots.withColumn("bin", F.explode(F.array(F.floor(F.col("pos") / slop), F.floor(F.col("pos") / slop) - 1)))
-        grouped = (
-            binned.join(self._small(wanted, 32), "t")
-            .groupBy("item", "start", "doc_key", "bin")
-            .agg(F.array_sort(F.collect_set(F.struct("pos", "t"))).alias("spots"))
-            .join(self._small(sizes, 32), ["item", "start"])
-        )
-        span = F.transform(
-            "spots",
-            lambda s: F.struct(
-                s["pos"].alias("first"),
-                F.filter("spots", lambda t: (t["pos"] >= s["pos"]) & (t["pos"] < s["pos"] + slop)).alias("inside"),
-            ),
-        )
-        full = F.filter(span, lambda s: F.size(F.array_distinct(F.transform(s["inside"], lambda t: t["t"]))) == F.col("n_terms"))
-        return (
-            grouped.select("item", "start", "doc_key", F.explode(full).alias("s"))
-            .select("item", "start", "doc_key", F.col("s.first").alias("first"), F.array_max(F.transform("s.inside", lambda t: t["pos"])).alias("last"))
-            .distinct()
-        )
+    def _binned(self, places: DataFrame, slop: int) -> DataFrame:
+        """``places`` once for each bin of ``slop`` words that has words near ``at``."""
+        bin_ = F.floor(F.col("at") / slop)
+        return places.withColumn("bin", F.explode(F.array(bin_ - 1, bin_, bin_ + 1)))
 
     def report(self) -> DataFrame:
         """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""

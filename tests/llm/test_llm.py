@@ -175,7 +175,7 @@ def test_estimate_is_close_to_the_similarity(spark):
 def test_contamination(spark, limit):
     rng = random.Random(4)
     items = [(i, sentence(rng, n)) for i, n in enumerate((4, 10, 14, 30, 1))] + [(10, None), (11, "..."), (12, "Ä " * 12), (3, sentence(rng, 11))]
-    docs = [(i, sentence(rng, 30)) for i in range(8)]
+    docs = [(i, sentence(rng, 30)) for i in range(40)]
     docs += [(20 + i, f"x {items[i][1].upper()}! {sentence(rng, 5)} {items[1][1]}") for i in range(4)] + [(30, None), (31, ""), (32, "ä " * 40), (33, "Ä " * 40), (34, items[2][1][:40]), (35, items[0][1])]
     got = by_id(decontaminate.contamination(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_limit=limit))
     assert {d: tuple(r)[1:] for d, r in got.items()} == brute.contamination(docs, items)
@@ -252,6 +252,35 @@ def test_proximity_against_all_places(spark):
     assert set(got) == want and len(want) > 20 and len(got) == len(want) + len([w for w in want if w[0] == 21])
 
 
+def test_proximity_spans_are_whole(spark):
+    """One row for each place that a span begins at, with the span's last word; bins of places cut none."""
+    items = spark.createDataFrame([(1, "red green blue")], "item_id long, text string")
+    for shift in range(6):
+        docs = table(spark, [(1, "x " * shift + "red green blue green")])
+        got = {(r["first"], r["last"]) for r in decontaminate.BenchmarkIndex(docs, items).proximity_matches(slop=5).collect()}
+        assert got == {(shift, shift + 3)}
+
+
+def test_proximity_shuffles_no_more_than_the_lists(spark):
+    """Each window has a rare word among frequent ones, in texts that have all of them: what is shuffled must not grow with windows times words."""
+    rng = random.Random(5)
+    common, rare = [f"w{i}" for i in range(12)], [f"r{i}" for i in range(40)]
+    items = [(i, " ".join([*(rng.choice(common) for _ in range(9)), rare[i], *(rng.choice(common) for _ in range(9))])) for i in range(40)]
+    docs = [(i, " ".join(rng.choice(common) for _ in range(300)) + " " + rare[i % 40]) for i in range(80)]
+    index = decontaminate.BenchmarkIndex(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled(after=-1):
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        found = [(s.stageId(), s.shuffleWriteRecords()) for s in (stages.apply(i) for i in range(stages.size()))]
+        return max(k for k, _ in found), sum(n for k, n in found if k > after)
+
+    last, _ = shuffled()
+    assert index.proximity_report(slop=20).count() > 0
+    n = shuffled(last)[1]
+    assert n < 4 * index.postings.count()
+
+
 def test_licences(spark):
     mit = dict(licenses.LICENSES)["MIT"]
     docs = [(1, "Copyright (c) 2020 Someone\n\n" + mit), (2, mit.replace('"', "“").upper().replace("\n\n", "\n")), (3, mit + " more"), (4, None), (5, ""), (6, "a\nReleased under the MIT  licence!\nLicensed under CC BY 4.0"), (7, "Copyright 2020 X\n"), (7, "Copyright 2020 X\n")]
