@@ -216,27 +216,21 @@ def generate_patterns(demand: dict[int, int], price: np.ndarray, capacity: int,
     return used
 
 
-def pack_lengths(demand: dict[int, int], capacity: int, grain: int = 8, most_exact: int = 512, tolerance: float = 1e-3) -> list[tuple[tuple[int, ...], int]]:
+def pack_lengths(demand: dict[int, int], capacity: int, grain: int = 8, most_exact: int = 512) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of exact lengths, and how often each is used; together they hold exactly the demand.
 
-    The first prices are in proportion to length: no pattern is worth more than one sequence at them, so they bound the
-    program from below by the tokens alone. Where the patterns generated at these prices stay within ``tolerance`` of that
-    bound, the program is solved. Otherwise it is solved by the simplex: up to ``most_exact`` lengths are its classes
-    themselves, and its patterns are used as often as its solution, rounded down, says; more lengths are classes of ``grain``,
-    whose prices are drawn out to exact lengths. What remains is packed by further patterns at the program's prices. Patterns
-    are generated in two orders, and of all plans the one of fewest sequences is taken.
+    The program is always solved by the simplex: up to ``most_exact`` lengths are its classes themselves, and its patterns are
+    used as often as its solution, rounded down, says; more lengths are classes of ``grain``, whose prices are drawn out to
+    exact lengths. What remains is packed by further patterns at the program's prices. Where rounding leaves much, patterns
+    for all of the demand at these prices may be better. They are generated in two orders; the plan of fewest sequences is taken.
     """
     left = {s: n for s, n in demand.items() if n > 0}
-    enough = sum(s * n for s, n in left.items()) / capacity * (1 + tolerance) + 1
-    plans = []
-    for order in (False, True):
-        plans.append(generate_patterns(left, np.arange(capacity + 1) / capacity, capacity, order))
-        if plans[-1].total() <= enough:
-            return list(plans[-1].items())
-    used: Counter[tuple[int, ...]] = Counter()
+    if not left:
+        return []
+    starts = [(Counter(), dict(left))]
     if len(left) <= most_exact:
         prices, basis = solve_linear_program(left, capacity)
-        used += round_down(basis, left)
+        starts.append((round_down(basis, left), left))
     else:
         classes: Counter[int] = Counter()
         for s, n in left.items():
@@ -244,7 +238,7 @@ def pack_lengths(demand: dict[int, int], capacity: int, grain: int = 8, most_exa
         prices = {c * grain: p for c, p in solve_linear_program(classes, capacity // grain)[0].items()}
     known = sorted(prices)
     price = np.interp(np.arange(capacity + 1), [0, *known], [0.0, *(prices[s] for s in known)])
-    plans += [used + generate_patterns(left, price, capacity, order) for order in (False, True)]
+    plans = [used + generate_patterns(rest, price, capacity, order) for used, rest in starts for order in (False, True)]
     return list(min(plans, key=Counter.total).items())
 
 

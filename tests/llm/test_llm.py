@@ -501,6 +501,18 @@ def test_cutting_stock_where_lengths_hardly_fit():
     assert packed(trap, 2048) <= bound + len(trap)  # rounding costs at most a sequence a length
 
 
+def test_cutting_stock_is_always_solved(monkeypatch):
+    """Also where prices in proportion to length would do: the patterns come from the prices of the program's simplex."""
+    solved, solve = [], packing.solve_linear_program
+    monkeypatch.setattr(packing, "solve_linear_program", lambda demand, capacity, *a, **b: solved.append(sum(demand.values())) or solve(demand, capacity, *a, **b))
+    rng = random.Random(8)
+    for lengths in (60, 300, 900):  # exact lengths, and classes of them
+        demand = {s: rng.randrange(1, 40) for s in rng.sample(range(1, 1024), lengths)}
+        assert packed(demand, 2048) <= -(-sum(s * n for s, n in demand.items()) // 2048) * 1.001 + 1
+        assert solved == [sum(demand.values())]
+        solved.clear()
+
+
 def test_packing(spark):
     pytest.importorskip("public_tokenizers")
     docs = [*corpus(), (907, "again"), (None, "no id")]
